@@ -1,0 +1,325 @@
+"""Cutting oversized spans of pages into pieces under a limit.
+
+Method: structure-tree packing.  The text of a span is a tree: pages, sections
+by heading level, blocks (paragraphs, listings, tables, lists), sentences or
+lines, words.  Each page is parsed once, into marks: places where a node of the
+tree begins, with the node's depth.  Packing works on marks and lengths alone:
+sibling subtrees are merged, from left to right, as long as they fit, and only
+a node that alone exceeds the limit is opened.  Texts are fetched again only to
+write the pieces out.
+
+Sizes are in tokens of four characters: a page has its characters divided by 4,
+rounded down; a part of a page has them rounded up.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators.pages import holding, page_text
+from quire.session import cut, table
+
+#: Depths of the tree below a page; headings have depth 1 to 6.
+BLOCK, SENTENCE, WORD, NOWHERE = 8, 9, 10, 15
+NAMES = {0: "page", BLOCK: "block", SENTENCE: "sentence", WORD: "word", NOWHERE: "character"}
+#: Sentences longer than this have their words marked.
+LONG_SENTENCE = 400
+#: Pages of a span that are packed together; longer spans are packed block by
+#: block, so that no task holds a span of any length.
+PAGES_TOGETHER = 2048
+#: Pages before a block from which its first piece can take its overlap.
+PAGES_BEFORE = 8
+
+_LINE = re.compile(r"[^\n]*\n?")
+_FENCE = re.compile(r"\s*(```|~~~)")
+_HASHES = re.compile(r"(#{1,6})\s+\S")
+_NUMBERED = re.compile(r"(?:chapter\s+)?(\d{1,3}(?:\.\d{1,3}){0,4})\.?\s+\w[^.!?;:|]{0,90}$", re.IGNORECASE)
+_ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s")
+_END = re.compile(r"[.!?…][\"'”’»)\]]*\s+")
+_SPACE = re.compile(r"\s+")
+
+
+def marks(text: str) -> list[int]:
+    """Where nodes of the tree begin inside a text: offset * 16 + depth, in
+    order, each offset once with its least depth."""
+    least: dict[int, int] = {}
+
+    def mark(at: int, depth: int) -> None:
+        if 0 < at < len(text) and least.get(at, NOWHERE) > depth:
+            least[at] = depth
+
+    def prose(start: int, stop: int) -> None:
+        at = start
+        for end in [*(m.end() for m in _END.finditer(text, start, stop)), stop]:
+            if at > start:
+                mark(at, SENTENCE)
+            if end - at > LONG_SENTENCE:
+                for m in _SPACE.finditer(text, at, end):
+                    mark(m.end(), WORD)
+            at = end
+
+    fence, kind, begun, at = "", "blank", 0, 0
+    for line in _LINE.findall(text):
+        if not line:
+            break
+        end, bare = at + len(line), line.strip()
+        if fence:
+            now = "listing"
+            if bare.startswith(fence):
+                fence = ""
+        elif m := _FENCE.match(line):
+            fence, now = m[1], "listing"
+            mark(at, BLOCK)
+        elif not bare:
+            now = "blank"
+        elif m := _HASHES.match(bare):
+            now = "heading"
+            mark(at, len(m[1]))
+        elif kind in ("blank", "heading") and (m := _NUMBERED.match(bare)):
+            now = "heading"
+            mark(at, min(6, 1 + m[1].count(".")))
+        elif bare[0] == "|":
+            now = "table"
+        elif _ITEM.match(line):
+            now = "item"
+        else:
+            now = "item" if kind == "item" and line[0] in " \t" else "prose"
+        if now != kind:
+            if kind == "prose":
+                prose(begun, at)
+            if now != "blank":
+                mark(at, BLOCK)
+            begun = at
+        elif now in ("listing", "table", "item"):
+            mark(at, SENTENCE)
+        if now in ("listing", "table", "item") and len(line) > LONG_SENTENCE:
+            prose(at, end)
+        kind, at = now, end
+    if kind == "prose":
+        prose(begun, len(text))
+    return [at * 16 + depth for at, depth in sorted(least.items())]
+
+
+def open_node(start: int, stop: int, inside: list[tuple[int, int]], limit: int) -> list[tuple[int, int, int]]:
+    """Cut characters start..stop of one page into parts of at most ``limit``
+    tokens.  ``inside`` has the marks (offset, depth) between.  Returns
+    (start, stop, depth of the boundary it starts at)."""
+    most = 4 * limit
+    if stop - start <= most:
+        return [(start, stop, 0)]
+    if not inside:
+        return [(at, min(at + most, stop), NOWHERE if at > start else 0) for at in range(start, stop, most)]
+    depth = min(d for _, d in inside)
+    parts: list[tuple[int, int, int]] = []
+    edges = [start, *(at for at, d in inside if d == depth), stop]
+    k = 0
+    for a, b in zip(edges, edges[1:]):
+        below = []
+        while k < len(inside) and inside[k][0] < b:
+            if inside[k][0] > a:
+                below.append(inside[k])
+            k += 1
+        for n, (s, e, d) in enumerate(open_node(a, b, below, limit)):
+            if n == 0 and a > start:
+                d = depth
+            # merge siblings, and what is left of an opened one, while they fit
+            if parts and e - parts[-1][0] <= most and d > 0:
+                parts[-1] = (parts[-1][0], e, parts[-1][2])
+            else:
+                parts.append((s, e, d))
+    return parts
+
+
+def _tokens(start: int, stop: int, length: int) -> int:
+    return (stop - start) // 4 if start == 0 and stop == length else -(-(stop - start) // 4)
+
+
+def pack_span(pages: list[tuple[int, int, list[int]]], most: int, overlap: int, before: int = 0) -> list[dict]:
+    """Pieces of one run of pages (page, length, marks), in order.  The first
+    ``before`` pages only lend their text to the overlap of the first piece."""
+    overlap = max(0, min(overlap, most // 4))
+    room = most - overlap - overlap // 2  # what is left beside an overlap
+    parts: list[tuple[int, int, int, int, int, bool]] = []  # page's place, start, stop, tokens, depth, opened
+    for k, (_, length, page_marks) in enumerate(pages):
+        if k < before or not length:
+            continue
+        if length // 4 <= most:
+            parts.append((k, 0, length, length // 4, 0, False))
+        else:
+            inside = [(m >> 4, m & 15) for m in page_marks]
+            parts += [(k, s, e, _tokens(s, e, length), d, True) for s, e, d in open_node(0, length, inside, max(1, room))]
+    groups: list[list] = []
+    size = 0
+    for part in parts:
+        if groups and size + part[3] <= room:
+            groups[-1].append(part)
+            size += part[3]
+        else:
+            groups.append([part])
+            size = part[3]
+    out = []
+    for n, group in enumerate(groups):
+        k, start = group[0][0], group[0][1]
+        size = sum(p[3] for p in group)
+        here = (k, start)
+        if (n or before) and overlap:
+            back_k, back, extra = _step_back(pages, k, start, min(overlap, most - size), min(overlap + overlap // 2, most - size))
+            here, size = (back_k, back), size + extra
+        last = group[-1]
+        out.append(
+            {
+                "first_page": pages[here[0]][0],
+                "start": here[1],
+                "own_page": pages[k][0],
+                "own_start": start,
+                "last_page": pages[last[0]][0],
+                "stop": last[2],
+                "tokens": size,
+                "boundary": NAMES.get(group[0][4], "heading"),
+                "opened": any(p[5] for p in group),
+            }
+        )
+    return out
+
+
+def _step_back(pages: list, k: int, start: int, least: int, most: int) -> tuple[int, int, int]:
+    """Where an overlap of ``least`` to ``most`` tokens before (k, start)
+    begins: at the mark of least depth, the nearest of those, else at the
+    character that gives exactly ``least``.  Less only where there is less text."""
+    taken, at = 0, start
+    while least > 0:
+        if at == 0:
+            if k == 0:
+                break
+            k -= 1
+            at = pages[k][1]
+            continue
+        length = pages[k][1]
+        whole = _tokens(0, at, length)
+        if taken + whole < least:
+            taken, at = taken + whole, 0
+            continue
+        low, high = at - 4 * (most - taken), at - 4 * (least - taken)
+        best = None
+        for m in pages[k][2]:
+            if max(low, 1) <= m >> 4 <= high and (best is None or m & 15 <= best & 15):
+                best = m
+        begin = best >> 4 if best is not None else max(high, 0)
+        if low <= 0 and (best is None or taken + whole == least):
+            begin = 0 if taken + whole <= most else begin
+        return k, begin, taken + -(-(at - begin) // 4) if begin or at < length else taken + whole
+    return k, at, taken
+
+
+def page_marks(page_texts: DataFrame) -> DataFrame:
+    """(book, page, length, marks) of every page, by the row that holds.  Texts
+    are parsed where they are scanned and never move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(4).to_pylist()
+            lengths = pa.array([len(t) for t in texts], pa.int32())
+            found = pa.array([marks(t) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lengths, found], names=["book", "page", "extracted_at", "loaded_at", "length", "marks"])
+
+    rows = page_texts.select("book", F.col("page").cast("int").alias("page"), "extracted_at", "loaded_at", page_text(page_texts).alias("text"))
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ("book", "page", "extracted_at", "loaded_at"))
+    return holding(rows.mapInArrow(run, f"{kinds}, length int, marks array<bigint>"), F.col("length"), F.col("marks"))
+
+
+def split_spans(spans: DataFrame, page_texts: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Pieces of every span whose size exceeds max_tokens of its budget.
+
+    Returns (span_id, run, piece, first_page, start, own_page,
+    own_start, last_page, stop, tokens, boundary, opened): a piece runs from
+    character ``start`` of first_page to ``stop`` of last_page; what comes
+    before own_page and own_start is the overlap with the piece before.  No
+    piece is above the limit; a page below the limit is never opened.
+
+    Spans with a null id, book, page or budget, and empty ranges, are left out;
+    repeated rows count once; a page without a row is empty.  A page that no
+    span needs costs no more than its parse."""
+    pages = cut(page_marks(page_texts))
+    last = pages.groupBy("book").agg(F.max("page").alias("last"))
+    limits = budgets.where("max_tokens > 0").select("budget", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap")).dropDuplicates(["budget"])
+    wanted = spans.select("span_id", "book", "page_start", "page_end", "budget").where("span_id IS NOT NULL").distinct()
+    wanted = wanted.join(limits, "budget").join(last, "book")
+    wanted = wanted.withColumn("a", F.greatest("page_start", F.lit(1))).withColumn("b", F.least("page_end", "last")).where("a <= b")
+    on_page = wanted.select("span_id", "book", "max_tokens", "overlap", "a", F.explode(F.sequence("a", "b")).alias("page"))
+    size = F.sum(F.expr("length div 4"))
+    big = on_page.join(pages.select("book", "page", "length"), ["book", "page"]).groupBy("span_id").agg(size.alias("size"), F.first("max_tokens").alias("m"))
+    big = big.where("size > m").select("span_id")
+    run_no = F.expr(f"(page - a) div {PAGES_TOGETHER}")
+    lent = F.expr(f"(page - a) % {PAGES_TOGETHER} >= {PAGES_TOGETHER - PAGES_BEFORE}")
+    rows = on_page.join(big, "span_id", "left_semi").join(pages, ["book", "page"])
+    runs = F.when(lent, F.array(F.struct(run_no.alias("run"), F.lit(False).alias("lent")), F.struct((run_no + 1).alias("run"), F.lit(True).alias("lent"))))
+    rows = rows.withColumn("r", F.explode(runs.otherwise(F.array(F.struct(run_no.alias("run"), F.lit(False).alias("lent"))))))
+    grouped = rows.groupBy("span_id", "r.run").agg(
+        F.first("max_tokens").alias("most"), F.first("overlap").alias("overlap"), F.collect_list(F.struct("page", "length", "marks", "r.lent")).alias("pages")
+    )
+    fields = "first_page int, start int, own_page int, own_start int, last_page int, stop int, tokens int, boundary string, opened boolean"
+    names = [f.split()[0] for f in fields.split(", ")]
+    kind = spans.schema["span_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in ["span_id", "run", "piece", *names]}
+            for r in batch.to_pylist():
+                held = sorted(r["pages"], key=lambda p: p["page"])
+                before = sum(p["lent"] for p in held)
+                if before == len(held):
+                    continue
+                for n, piece in enumerate(pack_span([(p["page"], p["length"], p["marks"]) for p in held], r["most"], r["overlap"], before)):
+                    for name, value in {"span_id": r["span_id"], "run": r["run"], "piece": n, **piece}.items():
+                        out[name].append(value)
+            types = [batch.schema.field(0).type, pa.int64(), pa.int32(), *[pa.int32()] * 7, pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+
+    return grouped.select("span_id", F.col("run").cast("bigint").alias("run"), "most", "overlap", "pages").mapInArrow(
+        pack, f"span_id {kind}, run bigint, piece int, {fields}"
+    )
+
+
+def piece_texts(pieces: DataFrame, spans: DataFrame, page_texts: DataFrame) -> DataFrame:
+    """(span_id, run, piece, tokens, boundary, text): the pieces with their
+    text, pages joined by an empty line.  Texts move once, by page."""
+    rows = page_texts.select("book", "page", "extracted_at", "loaded_at", page_text(page_texts).alias("text"))
+    texts = holding(rows, F.col("text"))
+    books = spans.where("span_id IS NOT NULL").select("span_id", "book").distinct()
+    on_page = pieces.join(books, "span_id").withColumn("page", F.explode(F.sequence("first_page", "last_page")))
+    start = F.when(F.col("page") == F.col("first_page"), F.col("start")).otherwise(0)
+    length = F.when(F.col("page") == F.col("last_page"), F.col("stop")).otherwise(F.length("text")) - start
+    part = on_page.join(texts, ["book", "page"]).withColumn("part", F.substring("text", start + 1, length)).where("part <> ''")
+    whole = part.groupBy("span_id", "run", "piece").agg(
+        F.first("tokens").alias("tokens"), F.first("boundary").alias("boundary"), F.sort_array(F.collect_list(F.struct("page", "part"))).alias("parts")
+    )
+    return whole.select("span_id", "run", "piece", "tokens", "boundary", F.array_join("parts.part", "\n\n").alias("text"))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_spans(table(spark, sf_dir, "spans"), table(spark, sf_dir, "page_texts"), table(spark, sf_dir, "budgets"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.max("opened"), "inside").otherwise("page")
+    return _pieces(spark, sf_dir).groupBy("span_id").agg(kind.alias("cut"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_texts(_pieces(spark, sf_dir), table(spark, sf_dir, "spans"), table(spark, sf_dir, "page_texts"))
+
+
+P2_ORACLE = """
+WITH page AS (
+  SELECT book, page, max_by(length(coalesce(extracted, layer, '')), (coalesce(extracted_at, TIMESTAMP '1900-01-01'), coalesce(loaded_at, TIMESTAMP '1900-01-01'))) // 4 AS size
+  FROM page_texts GROUP BY book, page),
+s AS (SELECT DISTINCT span_id, book, page_start, page_end, max_tokens FROM spans JOIN budgets USING (budget))
+SELECT span_id, CASE WHEN max(size) > max_tokens THEN 'inside' ELSE 'page' END AS cut
+FROM s JOIN page p ON p.book = s.book AND p.page BETWEEN s.page_start AND s.page_end
+GROUP BY span_id, max_tokens HAVING sum(size) > max_tokens
+"""
