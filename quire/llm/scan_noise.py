@@ -21,11 +21,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.llm.lookalikes import mapping
 from quire.operators.pages import holding, page_text, scanned_pages
 from quire.session import cut, table
 
@@ -41,17 +43,21 @@ COUNTED_TOGETHER = 400_000
 
 # What is read for what, and what it costs to undo it.
 CONFUSIONS = {
-    "e": "c", "a": "o", "o": "0", "l": "1 I i", "i": "1 l", "s": "5", "z": "2", "t": "f", "n": "u", "h": "b li",
-    "m": "rn", "rn": "m", "u": "ii", "d": "cl", "c": "e", "w": "vv", "b": "8 h", "g": "9", "r": "k",
+    "e": "c", "c": "e", "a": "o", "o": "0", "ó": "6", "l": "1 i", "i": "1 l", "s": "5", "z": "2", "t": "f", "f": "t",
+    "n": "u ii", "u": "ii li n", "h": "b li", "b": "8 6 h", "m": "rn ru", "rn": "m", "d": "cl ci", "cl": "d",
+    "li": "h", "ri": "n", "nn": "rm", "w": "vv", "v": "y", "g": "9", "q": "9", "r": "k",
 }
-CONFUSIONS_UPPER = {"R": "K", "E": "F", "O": "0", "B": "8", "I": "l 1", "S": "5", "Z": "2"}
+CONFUSIONS_UPPER = {"R": "K", "E": "F", "O": "0", "B": "8", "I": "1", "S": "5", "Z": "2"}
 DIGITS_READ = {"l": "1", "I": "1", "i": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2"}
 CONFUSED, ACCENT_LOST, STRAY, OTHER = 0.3, 0.3, 0.3, 1.0
 STRAYS = "'.~|`’"
 MARKS = "-¬\xad‐‑~"
-# classes of the skeleton, then the pairs that stand for one
-_CLASSES = str.maketrans("cftoó0l1|!j52uhb8k9", "eeeaaaiiiiisznnnnrg")
-_PAIRS = (("rn", "m"), ("ei", "d"), ("vv", "w"), ("ii", "n"))
+# classes of the skeleton: single characters that are read for each other
+_CLASSES = str.maketrans("cftoó06l1|!j52uhb89k", "eeeaaaaiiiiisznnnngr")
+# pairs: what was read, what it may have been
+_PAIRS = tuple(
+    (read, right) for right, all_read in CONFUSIONS.items() for read in all_read.split() if len(read) + len(right) > 2
+)
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _EDGE_PUNCT = ".,;:!?()[]{}<>\"“”„‚‘«»…*_`#=+/\\"
@@ -61,20 +67,21 @@ _NUMBERISH = re.compile(r"[0-9OolISsBZzi]+(?:[.,][0-9OolISsBZzi]+)?")
 _FORM = re.compile(r"[\w\-'’.~|]+")
 _NO = r"[-–]?[0-9OoIlSBZ]{1,5}"
 _PAGE_NO = re.compile(
-    rf"(?:(?:page|pg\.|p\.|strona|str\.|s\.|seite)\s*({_NO})|[-–—]\s*({_NO})\s*[-–—]|({_NO})\s*/\s*{_NO}|\[\s*({_NO})\s*\]|\(\s*({_NO})\s*\)|[|·•~]\s*({_NO})\s*[|·•~]|({_NO}))$",
-    re.IGNORECASE,
+    rf"(?:(?i:page|pg\.|p\.|strona|str\.|s\.|seite)\s*({_NO})|[-–—]\s*({_NO})\s*[-–—]|({_NO})\s*/\s*{_NO}|\[\s*({_NO})\s*\]|\(\s*({_NO})\s*\)|[|·•~]\s*({_NO})\s*[|·•~]|({_NO}))$"
 )
-# dresses of a head around its title: (pattern, whether it is only taken in capitals)
+# dresses of a head around its title, and how it counts: with a number it may
+# recur or spell a title, with a suffix it must spell one, and capitals alone,
+# too
 _DRESSES = (
-    (re.compile(rf"{_NO}(?:\s{{2,}}|\t)(?P<t>\S.*)$"), False),
-    (re.compile(rf"(?P<t>.*\S)(?:\s{{2,}}|\t){_NO}$"), False),
-    (re.compile(rf"\[\s*{_NO}\s*\]\s+(?P<t>\S.*)$"), False),
-    (re.compile(rf"(?P<t>.*\S)\s+\[\s*{_NO}\s*\]$"), False),
-    (re.compile(rf"(?P<t>.*\S)\s+[|·•]\s+{_NO}$"), False),
-    (re.compile(rf"{_NO}\s+[|·•]\s+(?P<t>\S.*)$"), False),
-    (re.compile(rf"\w{{1,4}}\.\s*{_NO}\s+[|·•]\s+(?P<t>\S.*)$"), False),
-    (re.compile(r"(?P<t>.*\S)\s{2,}[—–-]\s{2,}\S.{0,24}$"), False),
-    (re.compile(r"(?P<t>\S.*)$"), True),
+    (re.compile(rf"{_NO}\s{{3,}}(?P<t>\S.*)$"), "numbered"),
+    (re.compile(rf"(?P<t>.*\S)\s{{3,}}{_NO}$"), "numbered"),
+    (re.compile(rf"\[\s*{_NO}\s*\]\s+(?P<t>\S.*)$"), "numbered"),
+    (re.compile(rf"(?P<t>.*\S)\s+\[\s*{_NO}\s*\]$"), "numbered"),
+    (re.compile(rf"(?P<t>.*\S)\s+[|·•]\s+{_NO}$"), "numbered"),
+    (re.compile(rf"{_NO}\s+[|·•]\s+(?P<t>\S.*)$"), "numbered"),
+    (re.compile(rf"\w{{1,4}}\.\s*{_NO}\s+[|·•]\s+(?P<t>\S.*)$"), "numbered"),
+    (re.compile(r"(?P<t>.*\S)\s{2,}[—–-]\s{2,}\S.{0,24}$"), "suffixed"),
+    (re.compile(r"(?P<t>\S.*)$"), "capitals"),
 )
 _TITLE_NO = re.compile(r"^(?:(?:chapter|rozdział|ch\.)\s*)?\d+(?:\.\d+)*\.?\s+", re.IGNORECASE)
 
@@ -86,11 +93,34 @@ def bare(text: str) -> str:
 
 
 def skeleton(text: str) -> str:
-    """What is left of a text when characters that are read for each other are
-    one: letters and digits only."""
-    s = "".join(c for c in bare(text).translate(_CLASSES) if c.isalnum())
-    for pair, one in _PAIRS:
-        s = s.replace(pair, one)
+    """What is left of a text when single characters that are read for each
+    other are one: letters and digits only."""
+    return "".join(c for c in bare(text).translate(_CLASSES) if c.isalnum())
+
+
+def readings(form: str, most: int = 2) -> set[str]:
+    """A form and what it is with up to ``most`` of its pairs undone."""
+    out = last = {form}
+    for _ in range(most):
+        last = {
+            w[:k] + right + w[k + len(read) :]
+            for w in last
+            for read, right in _PAIRS
+            for k in range(len(w))
+            if w.startswith(read, k)
+        } - out
+        out = out | last
+    return out
+
+
+def title_key(text: str) -> str:
+    """A key of a title or head in which pairs are one, too; it need not be
+    reversible, only alike for what looks alike."""
+    one, several, invisible = mapping()
+    text = "".join(several.get(c, one.get(c, c)) for c in text.casefold() if c not in invisible)
+    s = skeleton(text)
+    for pair, to in (("rn", "m"), ("rm", "nn"), ("ei", "d"), ("ii", "n"), ("ri", "n"), ("vv", "w"), ("i", ""), ("nn", "n")):
+        s = s.replace(pair, to)
     return s
 
 
@@ -132,7 +162,7 @@ def distance(read: str, right: str, upper: bool = False, most: float = 2.0) -> f
                 else:
                     step = costs.get((b, a)) or (ACCENT_LOST if bare(a) == bare(b) else OTHER)
                     best = min(best, row[i - 1][j - 1] + step)
-                for p, q in ((2, 1), (1, 2)):
+                for p, q in ((2, 1), (1, 2), (2, 2)):
                     if i >= p and j >= q and (step := costs.get((right[j - q : j], read[i - p : i]))):
                         best = min(best, row[i - p][j - q] + step)
             row[i][j] = best
@@ -153,7 +183,7 @@ def recase(form: str, word: str) -> str:
         capitals = sum(c.isupper() for c in letters)
         if capitals > len(letters) / 2 and (len(letters) > 1 or len(word) < 3):
             return word.upper()
-        if form[0].isupper() or (form[0] in "015" and capitals and False):
+        if form[0].isupper():
             return word[0].upper() + word[1:]
     return word
 
@@ -225,8 +255,8 @@ def _page_lines(text: str, start: int) -> list[tuple[int, str]]:
 
 
 def _heads(lines: list[tuple[int, str]]) -> dict[int, tuple[str, str, int | None]]:
-    """Lines at the edges that may be a head (kind, skeleton, None) or a page
-    number (kind, '', number), by place."""
+    """Lines at the edges, by place, that may be a head (kind, key, whether it
+    is dressed with a number) or a page number (kind, '', number)."""
     full = [k for k, (_, line) in enumerate(lines) if line.strip()]
     edge = dict.fromkeys([*full[:EDGE], *full[-EDGE:]])
     out: dict[int, tuple[str, str, int | None]] = {}
@@ -234,14 +264,14 @@ def _heads(lines: list[tuple[int, str]]) -> dict[int, tuple[str, str, int | None
         line = lines[k][1].strip()
         if len(line) > 160:
             continue
-        if m := _PAGE_NO.match(line):
+        if (m := _PAGE_NO.match(line)) and any(c.isdigit() for c in line):
             digits = "".join(DIGITS_READ.get(c, c) for c in next(g for g in m.groups() if g)).replace("–", "-")
             out[k] = ("page_number" if not m.groups()[-1] else "bare_number", "", int(digits) if digits.lstrip("-").isdigit() else None)
             continue
-        for pattern, capitals in _DRESSES:
-            if (m := pattern.match(line)) and (not capitals or sum(c.islower() for c in line) <= len(line) / 10):
-                if s := skeleton(m["t"]):
-                    out[k] = ("header", s, None)
+        for pattern, dress in _DRESSES:
+            if (m := pattern.match(line)) and (dress != "capitals" or sum(c.islower() for c in line) <= len(line) / 10):
+                if s := title_key(m["t"]):
+                    out[k] = ("header", s, int(dress == "numbered"))
                 break
     return out
 
@@ -270,8 +300,6 @@ def occurrences(text: str, segments: list[tuple[int, int, bool]] | None, known:
                 yield (at, at + len(line), kind, None, None, None, None, None, None, line.strip(), skel, number, page)
                 # its words are words to repair if it turns out to be no head
                 yield from _words(at, line, known, "line_word") if kind == "header" else ()
-                if kind == "bare_number":
-                    flow.append((at, line))
             elif line.strip():
                 flow.append((at, line))
             elif k + 1 < len(lines) and flow and flow[-1] is not None and any(x[1].strip() for x in lines[k:]) and any(j not in heads and lines[j][1].strip() for j in range(k)):
@@ -378,13 +406,15 @@ def _occurrences(known: frozenset):
 # ------------------------------------------------------------- candidates
 
 
-def _delete_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _delete_keys(batches: Iterator[pa.RecordBatch], undo: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, keys = [], []
         for word in batch.column(0).to_pylist():
-            for key in deletes(skeleton(word)):
-                words.append(word)
-                keys.append(key)
+            found = deletes(skeleton(word))
+            if undo:
+                found = {k for r in readings(word.lower()) for k in deletes(skeleton(r))}
+            words += [word] * len(found)
+            keys += found
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.string())], names=["word", "key"])
 
 
@@ -404,7 +434,7 @@ def candidates(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(form, word, cost, n): words of the lexicon within the allowed distance
     of each unknown form, by the symmetric-delete index.  A word meets only
     forms with which it shares a key."""
-    asked = forms.select("form").distinct().mapInArrow(_delete_keys, "word string, key string").withColumnRenamed("word", "form")
+    asked = forms.select("form").distinct().mapInArrow(partial(_delete_keys, undo=True), "word string, key string").withColumnRenamed("word", "form")
     index = lexicon.select("word").mapInArrow(_delete_keys, "word string, key string")
     met = asked.join(index, "key").select("form", "word").distinct()
     near = met.mapInArrow(_measured, "form string, word string, cost double").where("cost IS NOT NULL")
@@ -439,7 +469,7 @@ def _scanned_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         out = []
         for text, segments in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             at = 0
-            for s in segments:
+            for s in segments or [{"length": len(text), "scanned": True}]:
                 if s["scanned"]:
                     out.append(text[at : at + s["length"]])
                 at += s["length"] + 2
@@ -456,8 +486,9 @@ class ScanNoise:
 
     def __init__(self, books: DataFrame, bookmarks: DataFrame, chunks: DataFrame, figures: DataFrame, page_texts: DataFrame, extract_results: DataFrame):
         self.records = cut(scanned_records(chunks, figures, page_texts, extract_results))
-        all_counts = word_counts(chunks.select("text"))
-        noisy = word_counts(self.records.where("segments IS NOT NULL").mapInArrow(_scanned_parts, "text string"))
+        captions = figures.select("figure_id", "caption").distinct().select(F.col("caption").alias("text"))
+        all_counts = word_counts(chunks.select("text").unionAll(captions))
+        noisy = word_counts(self.records.mapInArrow(_scanned_parts, "text string"))
         noisy = noisy.where("b IS NULL").select("a", F.col("n").alias("m"))
         all_counts = cut(all_counts)
         singles = all_counts.where("b IS NULL").select("a", "n").join(noisy, "a", "left")
@@ -468,10 +499,18 @@ class ScanNoise:
         self.found = cut(self.records.mapInArrow(_occurrences(frozenset(held)), _OCCURRENCE))
         self.titles = _titles(books, bookmarks)
 
+    def _heads(self) -> DataFrame:
+        """Lines in the dress of a head that spell a title of the book, or that
+        come with a number on several of its pages."""
+        head = self.found.where("kind = 'header'")
+        recur = head.where("number = 1").groupBy("book", "skeleton").agg(F.countDistinct("page").alias("pages")).where("pages > 1")
+        recur = recur.select("book", "skeleton", F.lit(1).alias("number"))
+        titled = self.titles.withColumn("number", F.explode(F.array(F.lit(0), F.lit(1))))
+        return head.join(titled.unionByName(recur).distinct(), ["book", "skeleton", "number"], "left_semi")
+
     def lines(self) -> DataFrame:
         """(rec_id, start, stop, kind, value): heads and page numbers."""
-        head = self.found.where("kind = 'header'")
-        header = head.join(self.titles, ["book", "skeleton"], "left_semi").select("rec_id", "start", "stop", "kind", F.col("line").alias("value"))
+        header = self._heads().select("rec_id", "start", "stop", "kind", F.col("line").alias("value"))
         numbers = self.found.where("kind IN ('page_number', 'bare_number')").withColumn("offset", F.col("number") - F.col("page"))
         # a number without a dress is the page's if it runs with the pages
         per = numbers.groupBy("book", "offset").agg(F.countDistinct("page").alias("n"))
@@ -490,7 +529,7 @@ class ScanNoise:
         kind = F.when(F.col("kind") == "number", "misread").otherwise("hyphen")
         sure = sure.select("rec_id", "start", "stop", kind.alias("kind"), F.col("form").alias("value"))
         line_words = self.found.where("kind = 'line_word'")
-        no_head = line_words.join(self.found.where("kind = 'header'").join(self.titles, ["book", "skeleton"], "left_semi").select("rec_id", "line"), ["rec_id", "line"], "left_anti")
+        no_head = line_words.join(self._heads().select("rec_id", "line"), ["rec_id", "line"], "left_anti")
         singles = self.found.where("kind = 'word'").unionByName(no_head).select("rec_id", "start", "stop", F.lit("word").alias("kind"), "form", "left", "right", "mark", "before", "after")
         breaks = self.found.where("kind IN ('break', 'loose')").select(*singles.columns)
         asked = cut(singles.unionAll(breaks).withColumn("id", F.xxhash64("rec_id", "start", "kind")))
@@ -546,7 +585,7 @@ def _titles(books: DataFrame, bookmarks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            skels = [skeleton(_TITLE_NO.sub("", t.strip())) for t in batch.column(1).to_pylist()]
+            skels = [title_key(_TITLE_NO.sub("", t.strip())) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(skels, pa.string())], names=["book", "skeleton"])
 
     own = books.select(F.col("slug").alias("book"), "title")

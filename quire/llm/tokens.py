@@ -29,7 +29,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.session import table
 
 #: Words kept per worker and vocabulary; beyond it the memory of words starts
 #: anew.  It bounds memory only, never the result.
@@ -318,3 +320,7 @@ def token_counts(
 
     out = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
     return out.mapInArrow(run, f"id {kind}, sizes array<int>").withColumnRenamed("id", id_col)
+
+
+def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
