@@ -6,12 +6,13 @@ offsets.  Lines and paragraphs can't be the units here, since a shared span may
 begin and end in the middle of both; the units are the windows of ``least``
 code points, taken only around anchors that the content itself picks:
 
-1. An anchor is a position whose 64 code points have the least digest in a
-   window of ``least - 63`` positions.  Any span of ``least`` code points holds
-   such an anchor, the same wherever the span stands.
+1. An anchor is a position whose GRAM code points have the least digest in a
+   window of ``least - GRAM + 1`` positions.  Any span of ``least`` code points
+   holds such an anchor, the same wherever the span stands.
 2. Only anchors whose digest occurs in several texts go on, with the text
-   around them.  If that is the same everywhere, it is one shared unit;
-   otherwise every window of ``least`` around the anchor is a unit.
+   around them.  What two surroundings have in common is a unit if it has
+   ``least`` code points; around anchors that occur often, every window of
+   ``least`` code points is a unit instead, so nothing is paired there.
 3. Units with equal digests (128 bits) in several texts are the shared spans.
 
 Equal texts are one text throughout, by digest, and are spread to documents at
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 
 from quire.session import cut, table
 
-#: Code points of an anchor.
-GRAM = 64
+#: Code points of an anchor: long enough that texts made of the same phrases
+#: seldom share one by chance.
+GRAM = 96
+#: Occurrences of an anchor up to which their surroundings are compared with
+#: each other; beyond, every window around the anchor is hashed.
+COMPARED = 64
 #: Code points that are hashed together, so that arrays stay in the cache.
 TOGETHER = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
@@ -44,10 +49,19 @@ def gram_digests(points: np.ndarray) -> np.ndarray:
     """Digest of the GRAM code points from each position on."""
     h = points.astype(np.uint64) * np.uint64(_ODD)
     h ^= h >> np.uint64(29)
-    size = 1
-    while size < GRAM:
+    size, out, covered = 1, None, 0
+    while True:
+        if GRAM & size:  # put the powers of two that make up GRAM side by side
+            if out is None:
+                out = h
+            else:
+                out = out[: len(h) - covered] * np.uint64(pow(_BASE, size, 1 << 64)) + h[covered : covered + len(out)]
+            covered += size
+        if size * 2 > GRAM:
+            break
         h = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
         size *= 2
+    h = out[: len(points) - GRAM + 1].copy()
     h ^= h >> np.uint64(32)
     h *= _MIX
     h ^= h >> np.uint64(29)
@@ -97,21 +111,20 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _anchor_rows(least: int):
+    """Over (key, text): (digest, key, at) of every anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).to_pylist()
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in _groups([len(t) for t in texts]):
                 found = anchors(texts[a:b], least)
-                count = [len(p) for p, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([d for _, d in found])),
-                        pa.array(np.repeat(t1[a:b], count)),
-                        pa.array(np.repeat(t2[a:b], count)),
+                        pa.array(np.repeat(keys[a:b], [len(p) for p, _ in found])),
                         pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)),
                     ],
-                    names=["digest", "t1", "t2", "at"],
+                    names=["digest", "key", "at"],
                 )
 
     return run
@@ -141,25 +154,70 @@ def _contexts(least: int):
     return run
 
 
-def _units(least: int):
-    """Over (doc, start, context, whole): the units in each context."""
+def _digest(text: str) -> tuple[int, int]:
+    raw = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+_UNIT = "u1 bigint, u2 bigint, doc bigint, start int, stop int"
+
+
+def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[] for _ in range(5)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["u1", "u2", "doc", "start", "stop"])
+
+
+def _windows(least: int):
+    """Over (doc, start, context): every window of a context as a unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, starts, stops, firsts, seconds = [], [], [], [], []
-            for doc, start, context, whole in zip(*(c.to_pylist() for c in batch.columns)):
-                size = len(context) if whole else least
-                for k in range(len(context) - size + 1):
-                    digest = blake2b(context[k : k + size].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    docs.append(doc)
-                    starts.append(start + k)
-                    stops.append(start + k + size)
-                    firsts.append(int.from_bytes(digest[:8], "little", signed=True))
-                    seconds.append(int.from_bytes(digest[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
-                names=["u1", "u2", "doc", "start", "stop"],
-            )
+            rows = []
+            for doc, start, context in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(*_digest(context[k : k + least]), doc, start + k, start + k + least) for k in range(len(context) - least + 1)]
+            yield _unit_batch(rows)
+
+    return run
+
+
+def common(a: str, b: str) -> int:
+    """How many first characters two strings have in common."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low + 1 < high:  # the first ``low`` agree, the first ``high`` don't
+        middle = (low + high) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def _compared(least: int):
+    """Over (held), the occurrences of one anchor: what they have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for held in batch.column(0).to_pylist():
+                classes: dict[tuple[str, str], list[tuple[int, int]]] = {}
+                for o in held:
+                    left, right = o["context"][: o["before"]][::-1], o["context"][o["before"] :]
+                    classes.setdefault((left, right), []).append((o["doc"], o["start"] + o["before"]))
+                shapes = list(classes)
+                for i, (left, right) in enumerate(shapes):
+                    own = classes[left, right]
+                    if len(own) > 1 and len(left) + len(right) >= least:
+                        u = _digest(left[::-1] + right)
+                        rows += [(*u, doc, at - len(left), at + len(right)) for doc, at in own]
+                    for other_left, other_right in shapes[:i]:
+                        back, ahead = common(left, other_left), common(right, other_right)
+                        if ahead >= GRAM and back + ahead >= least:
+                            u = _digest(left[:back][::-1] + right[:ahead])
+                            rows += [(*u, doc, at - back, at + ahead) for doc, at in [*own, *classes[other_left, other_right]]]
+            yield _unit_batch(rows)
 
     return run
 
@@ -182,31 +240,27 @@ class SharedSpans:
             raise ValueError(f"spans have at least {2 * GRAM} code points")
         text = documents[text_col]
         docs = documents.where(documents[id_col].isNotNull() & (F.length(text) >= least)).select(
-            documents[id_col].cast("bigint").alias("doc_id"),
-            text.alias("text"),
-            F.xxhash64(text).alias("t1"),
-            F.xxhash64(F.lit(1), text).alias("t2"),
-            F.length(text).alias("size"),
+            documents[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1")
         )
-        ids = cut(docs.select("doc_id", "t1", "t2", "size").distinct())
+        ids = cut(docs.select("doc_id", "t1", F.xxhash64(F.lit(1), "text").alias("t2"), F.length("text").alias("size")).distinct())
         copies = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
         self.texts = ids.join(copies, ["t1", "t2"]).select("doc_id", "first", "size", "copies")
-        found = cut(docs.select("t1", "t2", "text").mapInArrow(_anchor_rows(least), "digest bigint, t1 bigint, t2 bigint, at int"))
-        often = found.groupBy("digest").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select("digest")
-        hits = found.join(often, "digest").distinct()
-        firsts = hits.join(copies.select("t1", "t2", "first"), ["t1", "t2"])
-        per_doc = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("digest", "at")).alias("hits"))
-        # of repeated rows of a document only one text is needed
+        rows, run = "digest bigint, key bigint, at int", _anchor_rows(least)
+        # anchors are found twice rather than kept: they'd take as much room as the texts
+        often = docs.select("t1", "text").mapInArrow(run, rows).groupBy("digest").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+        often = often.where("a <> b").select("digest")
+        hits = docs.select("doc_id", "text").mapInArrow(run, rows).join(often, "digest").withColumnRenamed("key", "doc_id")
+        firsts = ids.join(copies, ["t1", "t2"]).where("doc_id = first").select("doc_id")
+        per_doc = hits.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "at")).alias("hits"))
         with_text = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", "hits")
         contexts = with_text.mapInArrow(_contexts(least), "doc bigint, digest bigint, start int, before int, context string")
-        contexts = cut(contexts)
-        c = F.xxhash64("before", "context")
-        same = contexts.groupBy("digest").agg((F.min(c) == F.max(c)).alias("whole"))
-        around = contexts.join(same, "digest").where(F.length("context") >= least)
-        units = around.select("doc", "start", "context", "whole").mapInArrow(
-            _units(least), "u1 bigint, u2 bigint, doc bigint, start int, stop int"
-        )
-        self.units = cut(units.distinct())
+        contexts = cut(contexts.where(F.length("context") >= least).distinct())
+        count = contexts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+        around = contexts.join(count, "digest")
+        held = around.where(F.col("n") <= COMPARED).groupBy("digest").agg(F.collect_list(F.struct("doc", "start", "before", "context")).alias("held"))
+        compared = held.select("held").mapInArrow(_compared(least), _UNIT)
+        windows = around.where(F.col("n") > COMPARED).select("doc", "start", "context").mapInArrow(_windows(least), _UNIT)
+        self.units = cut(compared.unionAll(windows).distinct())
 
     def _shared(self) -> DataFrame:
         """Units of several texts: u1, u2, the first document that has it, and
