@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import mathfont
 from quire.functions import text as T
-from quire.operators import cleaning, figures, outline, planning
+from quire.operators import cleaning, figures, listing, outline, planning, titles
 from quire.operators.pages import holding, page_text, scanned_pages
 from quire.session import cut, table
+from quire.sources import html
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -359,3 +361,51 @@ def q_repeated_figures(spark, d):
 @query(f"""WITH {_FIGS} SELECT figure_id, '![[' || book || '/' || id || '.png]]' || chr(10) || '*' || coalesce(nullif(trim(regexp_replace(caption, '{B}+', ' ', 'g')), ''), 'caption pending') || '*' AS embed FROM f""")
 def q_figure_embeds(spark, d):
     return figures.embeds(_figures(spark, d))
+
+
+_KEY = lambda x: rf"lower(regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+_NAME = lambda x: f"coalesce(nullif(regexp_extract(trim(regexp_replace({x}, '{B}+', ' ', 'g')), '{T.SECTION}', 2), ''), trim(regexp_replace({x}, '{B}+', ' ', 'g')))"
+
+
+@query(f"""WITH {PAGES}, ln AS (SELECT book, page, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY book, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+ FROM (SELECT book, page, string_split(text, chr(10)) AS l FROM pages), LATERAL (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS pos) u),
+k AS (SELECT book, page, off, {_KEY('line')} AS found, regexp_matches(line, '^[ \\t\\r]*#') AS heading, {_KEY(_NAME("regexp_replace(line, '^[ \\t\\r]*#*', '')"))} AS unnumbered FROM ln),
+w AS (SELECT DISTINCT span_id AS id, book, page_start AS page, {_KEY('title')} AS wanted, {_KEY(_NAME('title'))} AS name FROM spans WHERE title IS NOT NULL),
+r AS (SELECT id, off, CASE WHEN found = wanted AND heading THEN 0 WHEN found = wanted THEN 1 WHEN heading AND length(found) >= 6 AND starts_with(wanted, found) THEN 2 WHEN unnumbered = name THEN 3 END AS rank
+ FROM w JOIN k USING (book, page) WHERE found <> '' AND wanted <> '')
+SELECT id, CAST(off AS BIGINT) AS "offset", rank FROM r WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, off) = 1""")
+def q_title_offset(spark, d):
+    spans = table(spark, d, "spans").where("title IS NOT NULL").select(F.col("span_id").alias("id"), "book", F.col("page_start").alias("page"), "title").distinct()
+    return titles.title_offsets(spans, pages(spark, d))
+
+
+@query(r"""WITH v(id, s) AS (VALUES (1, chr(119909) || chr(2869)), (2, 'x' || chr(2869)), (3, chr(4666) || chr(3027) || chr(4667)))
+SELECT id, CASE id WHEN 1 THEN chr(119909) || '1' WHEN 2 THEN 'x' || chr(2869) ELSE '(Z)' END AS text FROM v""")
+def q_math_font(spark, d):
+    rows = [(1, chr(119909) + chr(2869)), (2, "x" + chr(2869)), (3, chr(4666) + chr(3027) + chr(4667))]
+    return spark.createDataFrame(rows, "id int, s string").select("id", mathfont.restore(F.col("s")).alias("text"))
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 'heading', 2, 'A title'), (1, 1, 'paragraph', 0, 'x^2 is m_{ab}'), (1, 2, 'item', 0, '- one'), (1, 3, 'item', 0, '- two'),
+ (1, 4, 'table', 0, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 |  |'), (2, 0, 'listing', 0, 'int x;' || chr(10) || '  x++;')) t(id, pos, kind, level, text)""")
+def q_html_blocks(spark, d):
+    one = "<h2 id='a'>A  title</h2><p>x<sup>2</sup> is m<sub>ab</sub><ul><li>one<li>two</ul><script>no()</script><table><tr><td>a<td>b</tr><tr><td>1<td></tr></table>"
+    rows = spark.createDataFrame([(1, one), (2, "<pre>int x;\n  x++;\n</pre>"), (3, None), (4, "")], "id int, html string")
+    return html.blocks(rows, "id", "html").drop("anchors")
+
+
+@query("""SELECT 1 AS box, 'if x:' || chr(10) || '    y = 1' AS text""")
+def q_listing_layout(spark, d):
+    rows = [("b", 1, 1, c, 10 + 6.0 * x, 100 - 10.0 * y, 16 + 6.0 * x, 108 - 10.0 * y, False) for y, line in enumerate(("if x:", "    y = 1")) for x, c in enumerate(line) if c != " "]
+    glyphs = spark.createDataFrame(rows, "book string, page int, box int, text string, left double, bottom double, right double, top double, space_before boolean")
+    return listing.layout(glyphs).select("box", "text")
+
+
+@query()
+def q_generate(spark, d):
+    from quire.operators.stages import ExtractiveModel, generate, render
+
+    chunks = table(spark, d, "chunks")
+    prompt = render("Write a note on {{title}}.\n\n# Source\n\n{{text}}", title=F.col("title"), text=F.col("text"))
+    work = chunks.select(F.col("chunk_id").alias("id"), prompt.alias("prompt"), F.col("text").alias("source"))
+    return generate(work, ExtractiveModel).select("id", "status", "error", F.size("sections").alias("sections"))
