@@ -5,6 +5,8 @@ differs between regex engines."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ WORD = r"[\p{L}\p{N}_]+"
 TOKEN_CHARS = 4
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once.  Inside the lambda of a higher
+    order function an expression would be computed again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 

@@ -52,29 +52,28 @@ def lost_lines(note: Column, source: Column, least: int = 8) -> Column:
     as a line, nor, from ``least`` characters on, inside one."""
     have = F.concat(F.transform(code_lines(note), lambda x: T.squeezed_command(x)), inline_code(note), table_rows(note))
     wanted = F.filter(F.transform(code_lines(source), lambda x: T.squeezed_command(x)), lambda x: x != "")
-    return F.filter(wanted, lambda x: ~F.exists(have, lambda h: (h == x) | ((F.length(x) >= least) & F.contains(h, x))))
+    missing = lambda held: F.filter(wanted, lambda x: ~F.exists(held, lambda h: (h == x) | ((F.length(x) >= least) & F.contains(h, x))))
+    return T.let(have, missing)
 
 
 def lost_rows(note: Column, source: Column) -> Column:
     """Table rows of the source that the note doesn't have: whole, or, for rows
     with an empty cell or of one cell, in order inside a longer row."""
-    have = table_rows(note)
 
-    def found(row: Column) -> Column:
+    def found(row: Column, have: Column) -> Column:
         cells = F.split(row, r" \| ", -1)
         full = F.filter(cells, lambda x: x != "")
         partial = (F.size(full) < F.size(cells)) | (F.size(cells) == 1)
         return F.exists(have, lambda h: (h == row) | (partial & _in_order(full, F.split(h, r" \| ", -1))))
 
-    return F.filter(table_rows(source), lambda r: ~found(r))
+    return T.let(table_rows(note), lambda have: F.filter(table_rows(source), lambda r: ~found(r, have)))
 
 
 def report(pairs: DataFrame) -> DataFrame:
     """One row per pair (id, chapter, note, source); a null note is unwritten.
     Counts are of bags: repeated lines count each time."""
     note, source = F.coalesce("note", F.lit("")), F.coalesce("source", F.lit(""))
-    raw = F.transform(code_lines(note), lambda x: T.squeeze(x))
-    exact = F.filter(code_lines(source), lambda x: F.array_contains(code_lines(note), x))
+    exact = T.let(code_lines(note), lambda have: F.filter(code_lines(source), lambda x: F.array_contains(have, x)))
     mails = F.array_except(F.regexp_extract_all(note, F.lit(T.MAIL), 0), F.regexp_extract_all(source, F.lit(T.MAIL), 0))
     digest = lambda c: F.filter(F.regexp_extract_all(c, F.lit(DIGEST), 0), lambda x: x.rlike("[a-f]") & x.rlike("[0-9]"))
     counted = pairs.select(
