@@ -79,7 +79,7 @@ _DRESSES = (
     (re.compile(rf"(?P<t>.*\S)\s+\[\s*{_NO}\s*\]$"), "numbered"),
     (re.compile(rf"(?P<t>.*\S)\s+[|·•]\s+{_NO}$"), "numbered"),
     (re.compile(rf"{_NO}\s+[|·•]\s+(?P<t>\S.*)$"), "numbered"),
-    (re.compile(rf"\w{{1,4}}\.\s*{_NO}\s+[|·•]\s+(?P<t>\S.*)$"), "numbered"),
+    (re.compile(rf"[^\W\d_][\w|]{{0,11}}\.?\s*{_NO}\s+[|·•]\s+(?P<t>\S.*)$"), "numbered"),
     (re.compile(r"(?P<t>.*\S)\s{2,}[—–-]\s{2,}\S.{0,24}$"), "suffixed"),
     (re.compile(r"(?P<t>\S.*)$"), "capitals"),
 )
@@ -254,6 +254,10 @@ def _page_lines(text: str, start: int) -> list[tuple[int, str]]:
     return out
 
 
+def _in_capitals(line: str) -> bool:
+    return sum(c.isupper() for c in line) >= 6 and sum(c.islower() for c in line) <= len(line) / 10
+
+
 def _heads(lines: list[tuple[int, str]]) -> dict[int, tuple[str, str, int | None]]:
     """Lines at the edges, by place, that may be a head (kind, key, whether it
     is dressed with a number) or a page number (kind, '', number)."""
@@ -269,7 +273,7 @@ def _heads(lines: list[tuple[int, str]]) -> dict[int, tuple[str, str, int | None
             out[k] = ("page_number" if not m.groups()[-1] else "bare_number", "", int(digits) if digits.lstrip("-").isdigit() else None)
             continue
         for pattern, dress in _DRESSES:
-            if (m := pattern.match(line)) and (dress != "capitals" or sum(c.islower() for c in line) <= len(line) / 10):
+            if (m := pattern.match(line)) and (dress != "capitals" or _in_capitals(line)):
                 if s := title_key(m["t"]):
                     out[k] = ("header", s, int(dress == "numbered"))
                 break
