@@ -247,7 +247,9 @@ def split_spans(spans: DataFrame, page_texts: DataFrame, budgets: DataFrame) ->
     pages = cut(page_marks(page_texts))
     last = pages.groupBy("book").agg(F.max("page").alias("last"))
     limits = budgets.where("max_tokens > 0").select("budget", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap")).dropDuplicates(["budget"])
-    wanted = spans.select("span_id", "book", "page_start", "page_end", "budget").where("span_id IS NOT NULL").distinct()
+    wanted = spans.select("span_id", "book", "page_start", "page_end", "budget").distinct()
+    # greatest and least pass over nulls, so these go first
+    wanted = wanted.where("span_id IS NOT NULL AND page_start IS NOT NULL AND page_end IS NOT NULL")
     wanted = wanted.join(limits, "budget").join(last, "book")
     wanted = wanted.withColumn("a", F.greatest("page_start", F.lit(1))).withColumn("b", F.least("page_end", "last")).where("a <= b")
     on_page = wanted.select("span_id", "book", "max_tokens", "overlap", "a", F.explode(F.sequence("a", "b")).alias("page"))
