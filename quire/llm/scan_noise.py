@@ -455,7 +455,7 @@ def scanned_records(chunks: DataFrame, figures: DataFrame, page_texts: DataFrame
     pages = holding(page_texts.withColumn("length", F.length(page_text(page_texts))), F.col("length")).where("length > 0")
     pages = pages.join(scanned, ["book", "page"], "left").select("book", "page", "length", F.coalesce("scanned", F.lit(False)).alias("scanned"))
     last = pages.groupBy("book").agg(F.max("page").alias("last"))
-    ranges = chunks.where("chunk_id IS NOT NULL").select("chunk_id", "book", "page_start", "page_end").distinct().join(last, "book")
+    ranges = chunks.where("chunk_id IS NOT NULL AND page_start IS NOT NULL AND page_end IS NOT NULL").select("chunk_id", "book", "page_start", "page_end").distinct().join(last, "book")
     ranges = ranges.withColumn("a", F.greatest("page_start", F.lit(1))).withColumn("b", F.least("page_end", "last")).where("a <= b")
     on_page = ranges.select("chunk_id", "book", F.explode(F.sequence("a", "b")).alias("page")).join(pages, ["book", "page"])
     segments = on_page.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("page", "length", "scanned"))).alias("segments"))
