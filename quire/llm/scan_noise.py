@@ -647,28 +647,38 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def apply_edits(text: str, segments: list[dict] | None, edits: list[dict]) -> str:
     """A record with its repairs made and the paragraphs of its scanned pages
-    joined to one line each."""
-    spans, at = [], 0
+    joined to one line each.  Unscanned pages stay as they are; scanned pages
+    that follow each other are one, for a word may be broken over their edge."""
+    runs: list[list] = []
+    at = 0
     for s in segments or [{"length": len(text), "scanned": True}]:
-        spans.append((at, at + s["length"], s["scanned"]))
+        if runs and runs[-1][2] and s["scanned"]:
+            runs[-1][1] = at + s["length"]
+        else:
+            runs.append([at, at + s["length"], s["scanned"]])
         at += s["length"] + 2
+    runs[-1][1] = max(runs[-1][1], len(text))
+    if not any(scanned for _, _, scanned in runs):
+        return text
+    parts = [
+        _continuous(text, start, stop, [e for e in edits if start <= e["start"] < stop]) if scanned else text[start:stop]
+        for start, stop, scanned in runs
+    ]
+    return "\n\n".join(p for p in parts if p)
+
+
+def _continuous(text: str, start: int, stop: int, edits: list[dict]) -> str:
+    """A stretch of scanned text with its repairs, one line a paragraph."""
     out: list[str] = []
-    done = 0
-    gone, flowing = "\x00", "\x01"
+    done, gone = start, "\x00"
     for e in edits:
         if e["start"] < done:
             continue
         out.append(text[done : e["start"]])
-        out.append(gone if e["kind"] in ("header", "page_number") else e["value"] + flowing if "\n" in text[e["start"] : e["stop"]] else e["value"])
+        out.append(gone if e["kind"] in ("header", "page_number") else e["value"])
         done = e["stop"]
-    out.append(text[done:])
-    if not any(s[2] for s in spans):
-        return text
-    whole = "".join(out)
-    if segments is not None and not all(s[2] for s in spans):
-        # unscanned pages stay as they are: only lines near an edit are joined
-        return re.sub(r"\n?\x00\n?", "\n", whole).replace(flowing, "")
-    whole = re.sub(r"(?:[ \t]*\n)*[ \t]*\x00[ \t]*(?:\n[ \t]*\x00[ \t]*)*(?:\n[ \t]*)*", "\n", whole).replace(flowing, "")
+    out.append(text[done:stop])
+    whole = re.sub(r"(?:[ \t]*\n)*[ \t]*\x00[ \t]*(?:\n[ \t]*\x00[ \t]*)*(?:\n[ \t]*)*", "\n", "".join(out))
     paragraphs = [" ".join(line.strip() for line in p.split("\n") if line.strip()) for p in re.split(r"\n[ \t]*\n", whole)]
     return "\n\n".join(p for p in paragraphs if p)
 

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from quire.llm.scan_noise import ScanNoise, deletes, distance, numeric, readings, recase, skeleton
+from quire.llm.scan_noise import ScanNoise, apply_edits, deletes, distance, numeric, readings, recase, skeleton
 
 DAY = datetime(2024, 1, 1)
 CLEAN = "The turbine releases the lubricant near the high-pass filter and the symmetric impeller connects the invariant. Pre- and post-treatment of low- and high-pass work. "
@@ -48,6 +48,16 @@ def test_repairs(spark):
     assert CLEAN * 3 in texts[1]
 
 
+def test_paragraphs_of_mixed_chunks():
+    pages = [("A head\nOne para-\ngraph on\ntwo lines.\n\nThe next\none, bro", True), ("ken.\nIt ends.", True), ("As it\nwas.\n\n\n  Kept. ", False), ("Last\npage.\n7", True)]
+    text = "\n\n".join(t for t, _ in pages)
+    segments = [{"length": len(t), "scanned": scanned} for t, scanned in pages]
+    edit = lambda read, kind, value=None: {"start": text.index(read), "stop": text.index(read) + len(read), "kind": kind, "value": value}
+    edits = [edit("A head", "header"), edit("para-\ngraph", "hyphen", "paragraph"), edit("bro\n\nken", "hyphen", "broken"), edit("7", "page_number")]
+    assert apply_edits(text, segments, edits) == "One paragraph on two lines.\n\nThe next one, broken. It ends.\n\nAs it\nwas.\n\n\n  Kept. \n\nLast page."
+    assert apply_edits("As\nit was", [{"length": 9, "scanned": False}], []) == "As\nit was"
+
+
 def test_empty(spark):
     empty = [t.limit(0) for t in tables(spark)]
     assert ScanNoise(*empty).repairs().count() == 0
