@@ -5,9 +5,19 @@ lengths alone, and the texts are put together afterwards by a join."""
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A line that opens a numbered section, a section's number of which the last
+#: digit stands apart, and the leader dots of a line of contents.
+_NUMBERED_LINE = re.compile(r"^[ \t\r]*(?:#{1,6}[ \t]+)?(\d{1,2}\.\d{1,2})[ \t\r]+(\S[^\n]*?)[ \t\r]*(?:\d{1,4})?[ \t\r]*$", re.MULTILINE)
+_DIGIT_APART = re.compile(r"^\d\s+(\S.*)$")
+_LEADER = re.compile(r"(?:\.\s?){4,}")
+
 
 def _fold(rows: DataFrame, keys: list[str], order: str, size: str, cut: callable) -> DataFrame:
     """Number the runs of ``rows``: a fold over (order, size) per key that
@@ -25,12 +35,31 @@ def _fold(rows: DataFrame, keys: list[str], order: str, size: str, cut: callable
     return folded.select(*keys, F.explode("out").alias("x")).select(*keys, F.col("x.o").alias(order), "x.run")
 
 
-def slice_pages(pages: DataFrame, max_tokens: int = 6000) -> DataFrame:
+def opens_section(text: str | None) -> bool:
+    """Whether a numbered section opens on a page of this text."""
+    for number, rest in _NUMBERED_LINE.findall(text or ""):
+        title = html.unescape(rest.strip())
+        if (apart := _DIGIT_APART.match(title)) and re.fullmatch(r"\d+\.\d", number):
+            title = apart[1]
+        if title[:1].isalnum() and not title[:1].islower() and not _LEADER.search(title):
+            return True
+    return False
+
+
+def slice_pages(pages: DataFrame, max_tokens: int = 6000, min_tokens: int | None = None) -> DataFrame:
     """(book, slice, first_page, last_page, chars): consecutive pages of a book
-    packed greedily; a page counts its characters and two for the gap.
-    ``pages``: (book, page, length)."""
+    packed greedily; a page counts its characters and two for the gap.  With
+    ``min_tokens`` a slice that holds so many also ends before a page that
+    opens a section, and none ends before a page has text.
+    ``pages``: (book, page, length), and with ``min_tokens`` opens BOOLEAN."""
     sized = pages.withColumn("size", F.when(F.col("length") > 0, F.col("length") + 2).otherwise(0))
-    runs = _fold(sized, ["book"], "page", "size", lambda held, s: held + s > 4 * max_tokens)
+    if min_tokens is None:
+        runs = _fold(sized, ["book"], "page", "size", lambda held, s: held + s > 4 * max_tokens)
+    else:
+        base = F.lit(1 << 40)
+        marked = sized.withColumn("w", F.when(F.col("opens"), base).otherwise(F.lit(0)) + F.col("size"))
+        full = lambda held, s: held % base + s % base > 4 * max_tokens
+        runs = _fold(marked, ["book"], "page", "w", lambda held, s: (held % base > 0) & (full(held, s) | ((held % base >= 4 * min_tokens) & (s >= base))))
     joined = runs.join(sized, ["book", "page"])
     return joined.groupBy("book", F.col("run").alias("slice")).agg(
         F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum("size").alias("chars")
@@ -68,7 +97,8 @@ def balanced_slices(pages: DataFrame, max_tokens: int = 6000) -> DataFrame:
 
 def group_spans(spans: DataFrame, max_tokens: int, min_tokens: int) -> DataFrame:
     """(book, idx, grp): consecutive sections of a chapter merged until the
-    floor is reached, never above the ceiling.  ``spans``: (book, idx, chapter,
+    floor is reached, never above the ceiling, whatever their level; by units
+    of the outline they are merged by ``group_units``.  ``spans``: (book, idx, chapter,
     tokens); groups are numbered through a book."""
     per = spans.withColumn("chapter", F.coalesce("chapter", F.lit(0)))
     fresh = F.when(F.lag("chapter").over(Window.partitionBy("book").orderBy("idx")).eqNullSafe(F.col("chapter")), 0).otherwise(1)
@@ -78,6 +108,57 @@ def group_spans(spans: DataFrame, max_tokens: int, min_tokens: int) -> DataFrame
     return runs.select("book", "idx", (F.dense_rank().over(over) - 1).alias("grp"))
 
 
+def group_units(spans: DataFrame, max_tokens: int, min_tokens: int, least: int = 150, skip: int = 50) -> DataFrame:
+    """(book, idx, grp, into): sections merged by units of the outline.  A unit
+    is an entry with all entries under it in its chapter, if they fit
+    ``max_tokens``, else the entry alone.  A group ends once it holds
+    ``min_tokens``; before another chapter; before a unit above the ceiling or,
+    when it holds ``least``, before one that fills a note; and before an entry
+    whose section must be cut.  A group under ``least`` joins the one before it
+    in its chapter (``into``); ``into`` is null where what then is together
+    stays under ``skip``.  ``spans``: (book, idx, level, chapter, tokens), one
+    row each; a null chapter is one of its own.  Linear per book."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        level, tokens = rows["level"].tolist(), rows["tokens"].tolist()
+        chapter = [None if pd.isna(c) else c for c in rows["chapter"]]
+        n = len(level)
+        before, ends, waiting = [0], [n] * n, []
+        for t in tokens:
+            before.append(before[-1] + t)
+        for k in range(n):
+            while waiting and (chapter[k] != chapter[k - 1] or level[k] <= level[waiting[-1]]):
+                ends[waiting.pop()] = k
+            waiting.append(k)
+        starts: list[int] = []
+        held, k = 0, 0
+        open_ = False  # whether the last group still takes units
+        while k < n:
+            end = ends[k] if before[ends[k]] - before[k] <= max_tokens else k + 1
+            size = before[end] - before[k]
+            apart = ends[k] > end or chapter[k] != chapter[starts[-1]] or held + size > max_tokens or (size >= min_tokens and held >= least) if open_ else True
+            if apart:
+                starts.append(k)
+                held = 0
+            held += size
+            open_ = held < min_tokens
+            k = end
+        into: list[int] = []
+        together: dict[int, int] = {}
+        for g, (a, z) in enumerate(zip(starts, [*starts[1:], n])):
+            size = before[z] - before[a]
+            joins = g and size < least and chapter[starts[into[-1]]] == chapter[a]
+            into.append(into[-1] if joins else g)
+            together[into[-1]] = together.get(into[-1], 0) + size
+        grp = [g for g, (a, z) in enumerate(zip(starts, [*starts[1:], n])) for _ in range(a, z)]
+        kept = [into[g] if together[into[g]] >= skip else None for g in grp]
+        return pd.DataFrame({"book": rows["book"], "idx": rows["idx"], "grp": grp, "into": pd.array(kept, "Int32")})
+
+    held = spans.select("book", "idx", F.coalesce("level", F.lit(0)).alias("level"), "chapter", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+    return held.groupBy("book").applyInPandas(run, "book string, idx int, grp int, into int")
+
+
 def fold_small(groups: DataFrame, least: int = 150, skip: int = 50) -> DataFrame:
     """(book, grp, into): groups under ``least`` tokens join the previous group
     of their chapter, if there is one; what then stays under ``skip`` is

@@ -248,6 +248,12 @@ def q_slice_pages(spark, d):
     return planning.slice_pages(_sizes(spark, d))
 
 
+@query()
+def q_slice_sections(spark, d):
+    opens = F.udf(planning.opens_section, "boolean")
+    return planning.slice_pages(cut(pages(spark, d).select("book", "page", F.length("text").alias("length"), opens("text").alias("opens"))), 6000, 3000)
+
+
 @query()
 def q_balanced(spark, d):
     return planning.balanced_slices(_sizes(spark, d))
@@ -283,6 +289,12 @@ def q_fold_small(spark, d):
     return planning.fold_small(per)
 
 
+@query()
+def q_group_units(spark, d):
+    rows = table(spark, d, "spans").where("book IS NOT NULL").select("book", "idx", "level", F.col("outline_chapter").alias("chapter"), "tokens").distinct()
+    return planning.group_units(rows, 6000, 3000)
+
+
 @query("""WITH RECURSIVE b AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, coalesce(length(text), 0) AS length, coalesce(text LIKE '# %', false) AS target FROM documents WHERE source IS NOT NULL),
 g AS (SELECT doc, pos, CAST(length AS BIGINT) AS held, 1 AS page FROM b WHERE pos = 0 UNION ALL
  SELECT b.doc, b.pos, CASE WHEN g.held >= 3000 OR b.target THEN b.length ELSE g.held + b.length END, g.page + CASE WHEN g.held >= 3000 OR b.target THEN 1 ELSE 0 END FROM g JOIN b ON b.doc = g.doc AND b.pos = g.pos + 1)

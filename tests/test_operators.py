@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import notes, outline, stages, state, verify
+from quire.operators import notes, outline, planning, stages, state, verify
 from quire.streaming.queue import consume, event_stream, windowed_counts
 
 DAY = datetime(2024, 1, 1)
@@ -32,6 +32,22 @@ def test_spans_tile(spark):
     assert [(r.page_start, r.page_end) for r in found.orderBy("idx").collect()] == [(71, 72), (73, 73), (74, 89), (90, 119), (10, 119), (120, 120)]
 
 
+def test_groups_of_outline_units(spark):
+    # (level, chapter, tokens): groups by hand, 6000 at most and 3000 at least
+    rows = [(0, 1, 100), (1, 1, 1000), (2, 1, 800), (2, 1, 900), (1, 1, 200), (2, 1, 1500), (2, 1, 1600), (1, 1, 400), (1, 1, 5000), (2, 1, 3000), (1, 1, 20), (0, 2, 30), (0, None, 60)]
+    spans = spark.createDataFrame([("b", k, *r) for k, r in enumerate(rows)], "book string, idx int, level int, chapter int, tokens int")
+    found = planning.group_units(spans, 6000, 3000).orderBy("idx").collect()
+    assert [r.grp for r in found] == [0, 0, 0, 0, 1, 1, 1, 2, 3, 4, 5, 6, 7]
+    assert [r.into for r in found] == [0, 0, 0, 0, 1, 1, 1, 2, 3, 4, 4, None, 7]
+
+
+def test_slices_end_before_sections(spark):
+    assert planning.opens_section("x\n## 2.1 1 Title 7") and not planning.opens_section("2.1 shows\n2.2 A ..... 7\n3 Title") and not planning.opens_section(None)
+    rows = [("b", p, n, opens) for p, n, opens in ((1, 0, False), (2, 50, True), (3, 10, False), (4, 10, True), (5, 30, False), (6, 10, True))]
+    pages = spark.createDataFrame(rows, "book string, page int, length int, opens boolean")
+    assert [(r.first_page, r.last_page) for r in planning.slice_pages(pages, 10, 4).orderBy("slice").collect()] == [(1, 2), (3, 4), (5, 5), (6, 6)]
+
+
 def test_navigation_twice_is_once(spark):
     text = F.lit("Body\n")
     once = notes.apply_navigation(text, F.lit("← [[a]]"))
