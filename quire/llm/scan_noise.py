@@ -34,7 +34,7 @@ from quire.session import cut, table
 #: A word of the lexicon occurs so often outside scanned pages.
 LEAST_COUNT = 3
 #: Most frequent words that tasks hold to pass over known words at once; all
-#: other forms are looked up in the whole lexicon by a join.
+#: other forms, and all joints, are looked up in the whole lexicon by a join.
 HELD_WORDS = 50_000
 #: Lines at either end of a page, blank ones aside, that count as its edge.
 EDGE = 2
@@ -350,7 +350,7 @@ def _words(at: int, line: str, known: frozenset, kind: str, broken: set = frozen
             yield (start, start + len(core), "number", value, None, None, None, before, after, line.strip(), None, None, None)
         elif has_letter and len(core) > 1:
             if all(p.lower() in known for p in core.split("-")):
-                continue
+                continue  # a compound; of rarer words it is found by a join
             yield (start, start + len(core), kind, core, None, None, None, before, after, line.strip(), None, None, None)
 
 
@@ -376,11 +376,8 @@ def _break(tokens: list[tuple[int, str]], following: tuple[int, str], known: fro
         return None
     if not right[0].islower() and not right[0].isdigit() and not (left[-1].isupper() and right[0].isupper()):
         return None
-    a, b = left.lower(), right.lower()
+    a = left.lower()
     if not mark:
-        # two known words are one only where the joint is a frequent word
-        if a in known and b in known and a + b not in known and f"{a}-{b}" not in known:
-            return None
         if not (a.isalpha() or a.replace("-", "").isalpha()) or last[-1] in _EDGE_PUNCT:
             return None
         kind = "loose"
@@ -535,7 +532,16 @@ class ScanNoise:
         line_words = self.found.where("kind = 'line_word'")
         no_head = line_words.join(self._heads().select("rec_id", "line"), ["rec_id", "line"], "left_anti")
         singles = self.found.where("kind = 'word'").unionByName(no_head).select("rec_id", "start", "stop", F.lit("word").alias("kind"), "form", "left", "right", "mark", "before", "after")
-        breaks = self.found.where("kind IN ('break', 'loose')").select(*singles.columns)
+        lex = self.lexicon
+        # compounds of known words are no case
+        compounds = singles.where("form LIKE '%-%'").select("form").distinct().select("form", F.explode(F.split(F.lower("form"), "-")).alias("word"))
+        compounds = compounds.join(lex.select("word", F.lit(True).alias("is_word")), "word", "left").groupBy("form").agg(F.count("*").alias("parts"), F.count("is_word").alias("words"))
+        singles = singles.join(compounds.where("parts = words").select("form"), "form", "left_anti").select(*singles.columns)
+        # without a mark a word is broken only where the lexicon has the joint
+        loose = self.found.where("kind = 'loose'").select(*singles.columns)
+        joints = F.array(F.lower(F.concat("left", "right")), F.lower(F.concat("left", F.lit("-"), "right")))
+        loose = loose.withColumn("word", F.explode(joints)).join(lex.select("word"), "word", "left_semi").drop("word").dropDuplicates(["rec_id", "start"])
+        breaks = self.found.where("kind = 'break'").select(*singles.columns).unionByName(loose.select(*singles.columns))
         asked = cut(singles.unionAll(breaks).withColumn("id", F.xxhash64("rec_id", "start", "kind")))
         # forms to look up: the word itself; the joint with and without a hyphen, and the halves
         hyphened = F.concat("left", F.lit("-"), "right")
@@ -547,7 +553,6 @@ class ScanNoise:
                 )
             ).alias("f"),
         ).select("id", "f.role", "f.form")
-        lex = self.lexicon
         distinct = forms.select("form").distinct().withColumn("word", F.lower("form"))
         exact = distinct.join(lex, "word").select("form", "word", F.lit(0.0).alias("cost"), "n")
         unknown = forms.where("role IN ('whole', 'hyphen')").select("form").distinct().withColumn("word", F.lower("form"))

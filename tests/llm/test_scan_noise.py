@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 
+from quire.llm import scan_noise
 from quire.llm.scan_noise import ScanNoise, apply_edits, deletes, distance, numeric, readings, recase, skeleton
 
 DAY = datetime(2024, 1, 1)
@@ -48,6 +49,25 @@ def test_repairs(spark):
     assert CLEAN * 3 in texts[1]
 
 
+def test_held_words_only_save_work(spark, monkeypatch):
+    # "the" and "rapist" are frequent, "therapist" is rarer; "shal-low" is a compound of words
+    clean = "Oh the man. A rapist. " * 30 + "Ask therapist. " * 25 + "Both shal. A low. " * 5 + "Some shallow. " * 5
+    page = "Ask the\nrapist of both shal-low."
+    rows = [("b", 1, None, page, DAY, DAY), ("b", 2, None, clean, DAY, DAY)]
+    make = spark.createDataFrame
+    given = (
+        make([("b", "Title", 1)], "slug string, title string, n int"), make([("b", None, 1)], "book string, title string, n int"),
+        make([(1, "b", 1, 1, page), (2, "b", 2, 2, clean)], "chunk_id bigint, book string, page_start int, page_end int, text string"),
+        make([], "figure_id bigint, book string, page int, caption string"),
+        make(rows, "book string, page int, layer string, extracted string, extracted_at timestamp, loaded_at timestamp"), make([("b", [1])], "book string, ocr_pages array<int>"),
+    )
+    found = {}
+    for held in (0, 5, 50_000):
+        monkeypatch.setattr(scan_noise, "HELD_WORDS", held)
+        found[held] = {(r.kind, r.value) for r in ScanNoise(*given).repairs().collect()}
+    assert found[0] == found[5] == found[50_000] == {("hyphen", "therapist")}
+
+
 def test_paragraphs_of_mixed_chunks():
     pages = [("A head\nOne para-\ngraph on\ntwo lines.\n\nThe next\none, bro", True), ("ken.\nIt ends.", True), ("As it\nwas.\n\n\n  Kept. ", False), ("Last\npage.\n7", True)]
     text = "\n\n".join(t for t, _ in pages)
