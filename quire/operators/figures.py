@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,15 +23,30 @@ def decorations(figures: DataFrame, width: float = 80.0) -> DataFrame:
 
 
 def bands(figures: DataFrame, pages: int = 5, tolerance: float = 2.0) -> DataFrame:
-    """(figure_id) of boxes that stand at one place on at least ``pages`` pages:
-    equal left edge, top and bottom within the tolerance of their cell or the
-    one beside it."""
-    cell = lambda c: F.floor(c / tolerance)
-    placed = figures.select("figure_id", "book", "page", F.col("bbox.l").alias("l"), F.col("bbox.t").alias("t"), F.col("bbox.b").alias("b"))
-    near = F.explode(F.array(*(F.struct((cell(F.col("t")) + i).alias("ct"), (cell(F.col("b")) + j).alias("cb")) for i in (0, 1) for j in (0, 1)))).alias("c")
-    cells = placed.select("figure_id", "book", "page", "l", near)
-    crowded = cells.groupBy("book", "l", "c").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= pages)
-    return cells.join(crowded.select("book", "l", "c"), ["book", "l", "c"], "left_semi").select("figure_id").distinct()
+    """(figure_id) of boxes without a caption that stand at one place on at
+    least ``pages`` pages: in page order they gather round the first whose left
+    edge, top and bottom are each within the tolerance.  Only firsts of the
+    same or a neighbouring cell are compared, so it is linear per book."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cells: dict[tuple, list[tuple]] = {}
+        firsts: list[tuple[list, set]] = []
+        for r in rows.sort_values(["page", "figure_id"]).itertuples():
+            box = (r.l, r.t, r.b)
+            cell = tuple(math.floor(x / (2 * tolerance)) for x in box)
+            around = itertools.product(*((c - 1, c, c + 1) for c in cell))
+            near = (n for c in around for n, first in cells.get(c, ()) if all(abs(x - y) <= tolerance for x, y in zip(first, box)))
+            n = min(near, default=len(firsts))
+            if n == len(firsts):
+                firsts.append(([], set()))
+                cells.setdefault(cell, []).append((n, box))
+            firsts[n][0].append(r.figure_id)
+            firsts[n][1].add(r.page)
+        return pd.DataFrame({"figure_id": pd.array([i for ids, on in firsts if len(on) >= pages for i in ids], "Int64")})
+
+    bare = figures.where((F.coalesce("caption", F.lit("")) == "") & F.col("page").isNotNull() & F.col("figure_id").isNotNull())
+    placed = bare.select("figure_id", "book", "page", F.col("bbox.l").alias("l"), F.col("bbox.t").alias("t"), F.col("bbox.b").alias("b")).dropna(subset=["l", "t", "b"])
+    return placed.groupBy("book").applyInPandas(run, "figure_id bigint")
 
 
 def in_chunks(figures: DataFrame, chunks: DataFrame) -> DataFrame:

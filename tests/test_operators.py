@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import notes, outline, planning, stages, state, verify
+from quire.operators import figures, notes, outline, planning, stages, state, verify
 from quire.streaming.queue import consume, event_stream, windowed_counts
 
 DAY = datetime(2024, 1, 1)
@@ -48,6 +48,12 @@ def test_slices_end_before_sections(spark):
     assert [(r.first_page, r.last_page) for r in planning.slice_pages(pages, 10, 4).orderBy("slice").collect()] == [(1, 2), (3, 4), (5, 5), (6, 6)]
 
 
+def test_bands_by_exact_distance(spark):
+    rows = [(1, 1, 10.0, 0.0, None), (2, 2, 11.9, 0.0, ""), (3, 3, 8.0, 0.0, None), (4, 4, 12.1, 0.0, None), (5, 1, 90.0, 0.0, None), (6, 2, 90.0, 3.9, None), (7, 1, 50.0, 0.0, "A"), (8, 2, 50.0, 0.0, "B")]
+    given = spark.createDataFrame([(i, "b", p, (x, t + 20.0, 99.0, t), c) for i, p, x, t, c in rows], "figure_id bigint, book string, page int, bbox struct<l:double,t:double,r:double,b:double>, caption string")
+    assert sorted(r.figure_id for r in figures.bands(given, pages=2).collect()) == [1, 2, 3]
+
+
 def test_navigation_twice_is_once(spark):
     text = F.lit("Body\n")
     once = notes.apply_navigation(text, F.lit("← [[a]]"))
