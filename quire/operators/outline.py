@@ -72,13 +72,25 @@ def chapters(outline: DataFrame) -> DataFrame:
     return marked.select("book", "idx", F.nullif(F.last("event", ignorenulls=True).over(_so_far()), F.lit(-1)).alias("chapter"))
 
 
-def parents(outline: DataFrame, levels: int = 12) -> DataFrame:
-    """(book, idx, parent): the nearest earlier entry of a smaller level.  One
-    window per level, no join: outlines have few levels."""
-    lasts = [F.max(F.when(F.col("level") == k, F.col("idx"))).over(_earlier()) for k in range(levels)]
-    held = outline.select("book", "idx", "level", *(c.alias(f"l{k}") for k, c in enumerate(lasts)))
-    above = F.greatest(*(F.when(F.col("level") > k, F.col(f"l{k}")) for k in range(levels)))
-    return held.select("book", "idx", above.alias("parent"))
+def parents(outline: DataFrame) -> DataFrame:
+    """(book, idx, parent): the nearest earlier entry of a smaller level,
+    however deep.  Linear per book, by a stack of the entries still open."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        above: list[tuple[int, int]] = []
+        found: list[int | None] = []
+        for idx, level in zip(rows["idx"], rows["level"]):
+            if pd.isna(level):
+                found.append(None)
+                continue
+            while above and above[-1][1] >= level:
+                above.pop()
+            found.append(above[-1][0] if above else None)
+            above.append((idx, level))
+        return pd.DataFrame({"book": rows["book"], "idx": rows["idx"], "parent": pd.array(found, "Int32")})
+
+    return outline.select("book", "idx", "level").groupBy("book").applyInPandas(run, "book string, idx int, parent int")
 
 
 def problems(outline: DataFrame) -> DataFrame:

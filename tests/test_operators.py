@@ -32,6 +32,12 @@ def test_spans_tile(spark):
     assert [(r.page_start, r.page_end) for r in found.orderBy("idx").collect()] == [(71, 72), (73, 73), (74, 89), (90, 119), (10, 119), (120, 120)]
 
 
+def test_parents_of_deep_outlines(spark):
+    levels = [0, 11, 12, 13, 14, 13, None, 2]
+    outlined = spark.createDataFrame([("b", k, level) for k, level in enumerate(levels)], "book string, idx int, level int")
+    assert [r.parent for r in outline.parents(outlined).orderBy("idx").collect()] == [None, 0, 1, 2, 3, 2, None, 0]
+
+
 def test_groups_of_outline_units(spark):
     # (level, chapter, tokens): groups by hand, 6000 at most and 3000 at least
     rows = [(0, 1, 100), (1, 1, 1000), (2, 1, 800), (2, 1, 900), (1, 1, 200), (2, 1, 1500), (2, 1, 1600), (1, 1, 400), (1, 1, 5000), (2, 1, 3000), (1, 1, 20), (0, 2, 30), (0, None, 60)]
