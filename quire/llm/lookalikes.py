@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ LOOKALIKES = {
     "օo ՕO ѕs ɡg ɑa ": "other letters",
     "µμ ∆Δ ∑Σ ∏Π ‐- ⁄/ ∕/ ∣| ⋅· ∙· ˚° ‒– ": "signs",
 }
+#: Records of one string that one task joins to a pair of strings.
+IDS_TOGETHER = 50_000
 # Invisible characters that aren't format characters (Cf).
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 
@@ -120,16 +122,24 @@ def same_looking(records: DataFrame) -> DataFrame:
     Null and empty strings, null books and null ids are left out; repeated rows
     count once.  The form is made once per distinct string of a book.  Pairs
     are made between distinct strings and only then spread to the records, so
-    records with equal strings never meet."""
-    rows = records.where("book IS NOT NULL AND id IS NOT NULL AND s <> ''").select("book", "id", "s")
-    strings = one_form(rows.select("book", "s").distinct(), "s").where("form <> ''")
-    # two strings only differ in form-neutral ways if their form has several strings
-    alike = F.count("*").over(Window.partitionBy("book", "form"))
-    classes = strings.withColumn("n", alike).where("n > 1").select("book", "form", "s")
-    members = classes.join(rows.distinct(), ["book", "s"]).select("book", "form", "s", "id")
-    other = members.select("book", "form", F.col("s").alias("t"), F.col("id").alias("b_id"))
-    pairs = members.withColumnRenamed("id", "a_id").join(other, ["book", "form"])
-    return pairs.where("s <> t AND a_id < b_id").select("a_id", "b_id").distinct()
+    records with equal strings never meet; a string of many records is spread
+    in parts of IDS_TOGETHER.  ``one_form`` gives the same as membership: a row
+    per record with its class."""
+    rows = records.where("book IS NOT NULL AND id IS NOT NULL AND s <> ''").select("book", "id", "s").distinct()
+    counted = rows.groupBy("book", "s").agg(F.count("*").alias("n"))
+    strings = one_form(counted, "s").where("form <> ''").select("book", "form", "s", "n")
+    other = strings.select("book", "form", F.col("s").alias("t"), F.col("n").alias("m"))
+    # distinct strings of one form; each such pair gives at least one row
+    pairs = strings.join(other, ["book", "form"]).where("s < t").select("book", "s", "t", "n", "m")
+
+    parts = lambda n: F.ceil(F.col(n) / IDS_TOGETHER).cast("int")
+    paired = pairs.select("book", "s", "n").unionAll(pairs.select("book", F.col("t").alias("s"), F.col("m").alias("n"))).distinct()
+    members = rows.join(paired, ["book", "s"]).select("book", "s", "id", F.pmod(F.xxhash64("id"), parts("n")).cast("int").alias("part"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    left = pairs.withColumn("part", every("n")).join(members.withColumnRenamed("id", "x"), ["book", "s", "part"])
+    right = members.select("book", F.col("s").alias("t"), "part", F.col("id").alias("y"))
+    out = left.select("book", "t", "m", "x").withColumn("part", every("m")).join(right, ["book", "t", "part"])
+    return out.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).where("a_id < b_id").distinct()
 
 
 def title_records(spark: SparkSession, sf_dir: str) -> DataFrame:

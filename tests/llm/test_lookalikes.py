@@ -1,3 +1,4 @@
+from quire.llm import lookalikes
 from quire.llm.lookalikes import one_form, same_looking
 
 SAME = ["Ｆｕｌｌ ﬁt", "Full fit", "Fu​ll\xa0fit ", "F­ull ﬁt", "Fulⅼ fit", "Fulӏ fit".replace("ӏ", "l")]
@@ -23,6 +24,14 @@ def test_pairs(spark):
     assert same_looking(df.limit(0)).count() == 0
 
 
+def test_many_records_of_one_string(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "IDS_TOGETHER", 1000)
+    many = spark.range(100_000).selectExpr("'b' AS book", "id", "'One caption' AS s")
+    odd = spark.createDataFrame([("b", 100_001, "One\u00a0caption"), ("b", 100_002, "One caption ")], "book string, id bigint, s string")
+    found = same_looking(many.unionAll(odd))
+    assert found.count() == 200_001 and found.where("a_id < 100001 AND b_id < 100001").count() == 0
+
+
 def test_other_columns_stay(spark):
     df = spark.createDataFrame([(1, "a​", "old"), (2, None, None)], "id int, s string, form string")
     assert {(r.id, r.s, r.form) for r in one_form(df, "s").collect()} == {(1, "a​", "a"), (2, None, None)}
