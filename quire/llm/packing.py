@@ -2,9 +2,10 @@
 
 Method: hierarchical residual packing.  Every partition packs its own items by
 best fit, longest first; bins that are nearly full are done.  The underfull
-bins become items themselves and are packed again, in fewer and larger groups
-each round, until one group is left.  Only (bin, fill) pairs move between
-rounds, never the items.
+bins become items themselves and are packed again in groups of bounded size,
+mixed anew each round, until one group is left or a round saves next to
+nothing.  Bins that no other could join are done.  Only (bin, fill) pairs move
+between rounds, never the items.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from quire.session import cut, table
 
 #: Items that one task packs at a time; more items are packed block by block.
 BLOCK = 200_000
-#: Groups of underfull bins that are merged into one from round to round.
-FAN_IN = 16
+#: Rounds go on while one saves this share of the bins that it packs.
+WORTH = 1e-4
+#: Rounds that the numbers of bins have room for.
+MOST_ROUNDS = 31
 #: A bin filled to this share is done.
 NEARLY_FULL = 0.99
 
@@ -115,7 +118,7 @@ def _merge_bins(capacities: list[int], round_no: int):
         c, slot = int(key[0]), int(key[1])
         bins = bins.sort_values("bin")
         bin_of, fills = best_fit(bins["fill"].tolist(), capacities[c])
-        base, seen, fill = (round_no << 58) | (c << 52) | (slot << 32), set(), []
+        base, seen, fill = (round_no << 58) | (slot << 32), set(), []
         for b in bin_of:
             fill.append(None if b in seen else fills[b])
             seen.add(b)
@@ -127,7 +130,7 @@ def _merge_bins(capacities: list[int], round_no: int):
 
 
 def pack(
-    items: DataFrame, capacities: list[int], nearly_full: float = NEARLY_FULL, block: int = BLOCK, fan_in: int = FAN_IN
+    items: DataFrame, capacities: list[int], nearly_full: float = NEARLY_FULL, block: int = BLOCK
 ) -> DataFrame:
     """Pack items (id BIGINT, sizes ARRAY<INT>, one size per capacity).
 
@@ -145,20 +148,38 @@ def pack(
     limits = F.array(*(F.lit(int(nearly_full * x)) for x in capacities))
     under = lambda bins: bins.where(F.col("fill") < F.element_at(limits, F.col("c") + 1))
     left = under(placed.where("fill is not null").select("c", "bin", "fill"))
-    most = left.groupBy("c").count().agg(F.max("count")).first()[0] or 0
-    groups, round_no = -(-most // block), 1
-    while groups:
-        # bins of a round fall into groups by hash, of about ``block`` bins each
-        slot = F.pmod(F.xxhash64("bin"), F.lit(groups)).cast("int")
+    # where a bin of the first round ends up; items move once, at the end
+    moved, round_no = None, 1
+    while round_no < MOST_ROUNDS:
+        # a bin too full even for the least other one is done
+        sizes = {r.c: (r.n, r.least) for r in left.groupBy("c").agg(F.count("*").alias("n"), F.min("fill").alias("least")).collect()}
+        room = F.array(*(F.lit(x - (sizes[c][1] if c in sizes else x)) for c, x in enumerate(capacities)))
+        left = left.where(F.col("fill") <= F.element_at(room, F.col("c") + 1))
+        open_ = {r.c: r.n for r in left.groupBy("c").agg(F.count("*").alias("n")).collect() if r.n > 1}
+        if not open_:
+            break
+        # bins fall into groups by hash, anew each round, of about ``block`` bins
+        groups = F.array(*(F.lit(-(-open_.get(c, 1) // block)) for c in range(len(capacities))))
+        slot = F.pmod(F.xxhash64(F.lit(round_no), "bin"), F.element_at(groups, F.col("c") + 1)).cast("int")
         merged = cut(
             left.withColumn("slot", slot)
             .groupBy("c", "slot")
             .applyInPandas(_merge_bins(capacities, round_no), "c int, bin bigint, parent bigint, fill int")
         )
         step = merged.select("c", "bin", "parent")
-        placed = placed.join(step, ["c", "bin"], "left").withColumn("bin", F.coalesce("parent", "bin")).drop("parent")
+        if moved is None:
+            moved = step.select("c", "bin", F.col("parent").alias("now"))
+        else:
+            on = step.select("c", F.col("bin").alias("now"), "parent")
+            moved = cut(moved.join(on, ["c", "now"], "left").select("c", "bin", F.coalesce("parent", "now").alias("now")))
         left = under(merged.where("fill is not null").select("c", F.col("parent").alias("bin"), "fill"))
-        groups, round_no = (0 if groups == 1 else -(-groups // fan_in)), round_no + 1
+        after = {r.c: r.n for r in left.groupBy("c").agg(F.count("*").alias("n")).collect()}
+        saved = sum(n - after.get(c, 0) for c, n in open_.items())
+        if all(n <= block for n in open_.values()) or saved < WORTH * sum(open_.values()):
+            break
+        round_no += 1
+    if moved is not None:
+        placed = placed.join(moved, ["c", "bin"], "left").withColumn("bin", F.coalesce("now", "bin")).drop("now")
     return placed.select("c", "id", "start", "size", "bin")
 
 

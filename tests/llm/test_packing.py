@@ -3,6 +3,7 @@ from collections import defaultdict
 from hypothesis import given
 from hypothesis import strategies as st
 
+from quire.llm import packing
 from quire.llm.packing import best_fit, fill_report, pack, pack_documents
 
 
@@ -36,13 +37,27 @@ def check(rows, items, capacities):
 def test_rounds(spark):
     items = {k: [(k * 37) % 60, (k * 53) % 300] for k in range(3000)} | {9000: [None, -1], 9001: [0, 1000], 9002: [64, 100]}
     df = spark.createDataFrame([(k, v) for k, v in items.items()], "id bigint, sizes array<int>").repartition(6)
-    rows = pack(df, [64, 100], block=40, fan_in=2).collect()
+    rows = pack(df, [64, 100], block=40).collect()
     check(rows, items, [64, 100])
     total = sum(v[0] or 0 for v in items.values())
     assert len({r.bin for r in rows if r.c == 0}) < 1.3 * total / 64
     assert pack(df.limit(0), [64]).count() == 0
 
 
+def test_bins_that_nothing_joins_end_the_rounds(spark, monkeypatch):
+    groups = []
+    merge = packing._merge_bins
+    monkeypatch.setattr(packing, "_merge_bins", lambda capacities, no: groups.append(no) or merge(capacities, no))
+    df = spark.createDataFrame([(k, [60]) for k in range(4000)], "id bigint, sizes array<int>").repartition(8)
+    rows = pack(df, [100], block=50).collect()
+    assert len({r.bin for r in rows}) == 4000 and not groups
+    # a few small ones among them: groups stay near ``block`` however many bins there are
+    df = spark.createDataFrame([(k, [60 if k % 100 else 35]) for k in range(4000)], "id bigint, sizes array<int>").repartition(8)
+    rows = pack(df, [100], block=50).collect()
+    check(rows, {k: [60 if k % 100 else 35] for k in range(4000)}, [100])
+    assert len({r.bin for r in rows}) == 3960 and len(groups) < 5
+
+
 def test_documents(spark):
     docs = spark.createDataFrame([(1, "a b c " * 900, 5), (2, None, 5), (3, "", 5), (4, "short", 5)], "doc_id bigint, text string, bin int")
     kinds = spark.createDataFrame([("s", "byte_bpe_50k", 512), ("l", "byte_bpe_multi_50k", 4096), ("x", None, 3), ("y", "byte_bpe_50k", None)], "container string, tokenizer string, capacity int")
