@@ -11,7 +11,6 @@ punctuation, real accents, and raised, circled or fraction digits.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,7 +48,8 @@ def mapping() -> tuple[dict[str, str], dict[str, str], str]:
     LOOKALIKES."""
     base = {p[0]: p[1] for group in LOOKALIKES for p in group.split()}
     one, several, invisible = dict(base), {}, [*INVISIBLE]
-    for cp in range(sys.maxunicode + 1):
+    # beyond these there are only ideographs, private use and nothing
+    for cp in (*range(0x20000), *range(0xE0000, 0xE0200)):
         c = chr(cp)
         kind = unicodedata.category(c)
         if kind in ("Cs", "Cn", "Co"):

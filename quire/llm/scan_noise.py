@@ -21,21 +21,28 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.lookalikes import mapping
 from quire.operators.pages import holding, page_text, scanned_pages
 from quire.session import cut, table
 
-#: A word of the lexicon occurs so often outside scanned pages.
+#: A word or pattern of the lexicon occurs so often outside scanned pages.
 LEAST_COUNT = 3
+#: How much more often than a token's own pattern the pattern of its repair
+#: must occur.
+TIMES_OFTENER = 20
 #: Most frequent words that tasks hold to pass over known words at once; all
 #: other forms, and all joints, are looked up in the whole lexicon by a join.
 HELD_WORDS = 50_000
+#: Forms longer than this are looked up by their quarters, one of which no
+#: repair touches, and not by deletions, of which there would be too many.
+LONG = 48
+#: By how many characters a form and its word can differ in length.
+LENGTHS_APART = 3
 #: Lines at either end of a page, blank ones aside, that count as its edge.
 EDGE = 2
 #: Distinct words or pairs that a task counts before it hands them on.
@@ -59,11 +66,17 @@ _PAIRS = tuple(
     (read, right) for right, all_read in CONFUSIONS.items() for read in all_read.split() if len(read) + len(right) > 2
 )
 
+# single confusions that the classes don't make one
+_SINGLES = tuple(
+    (read, right) for right, all_read in CONFUSIONS.items() for read in all_read.split()
+    if len(read) + len(right) == 2 and read.translate(_CLASSES) != right.translate(_CLASSES)
+)
+
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _EDGE_PUNCT = ".,;:!?()[]{}<>\"“”„‚‘«»…*_`#=+/\\"
-_CODE = re.compile(r"[A-Z]{2}-\d{4}")
+_DIGIT = re.compile("[0-9]")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)?")
-_NUMBERISH = re.compile(r"[0-9OolISsBZzi]+(?:[.,][0-9OolISsBZzi]+)?")
+_RUN = re.compile(r"[^\W_]+")
 _FORM = re.compile(r"[\w\-'’.~|]+")
 _NO = r"[-–]?[0-9OoIlSBZ]{1,5}"
 _PAGE_NO = re.compile(
@@ -99,7 +112,9 @@ def skeleton(text: str) -> str:
 
 
 def readings(form: str, most: int = 2) -> set[str]:
-    """A form and what it is with up to ``most`` of its pairs undone."""
+    """A form and what it is with up to ``most`` of its pairs undone; short
+    forms also without a stray sign and with single confusions undone that
+    aren't one in the skeleton, since they have no deletions to meet by."""
     out = last = {form}
     for _ in range(most):
         last = {
@@ -110,6 +125,9 @@ def readings(form: str, most: int = 2) -> set[str]:
             if w.startswith(read, k)
         } - out
         out = out | last
+    if len(form) <= 4:
+        out = out | {form[:k] + form[k + 1 :] for k in range(len(form)) if form[k] in STRAYS}
+        out = out | {form[:k] + right + form[k + 1 :] for k in range(len(form)) for read, right in _SINGLES if form[k] == read}
     return out
 
 
@@ -125,10 +143,44 @@ def title_key(text: str) -> str:
 
 
 def deletes(skel: str) -> set[str]:
-    """The skeleton and what is left of it after one deletion."""
+    """The skeleton and what is left of it after one deletion.  Short ones
+    have none: a single cheap step leads to their words, and ``readings`` has
+    all of those."""
     return {skel, *(skel[:k] + skel[k + 1 :] for k in range(len(skel)))} if len(skel) > 3 else {skel}
 
 
+def quarters(word: str) -> list[str]:
+    """Keys of a long word: its quarters, each with its place."""
+    n = len(word)
+    return [f"{n}:{j}:{word[n * j // 4 : n * (j + 1) // 4]}" for j in range(4)]
+
+
+def shifted_quarters(form: str) -> set[str]:
+    """Keys of a long form: every quarter that a word within reach could have,
+    wherever up to LENGTHS_APART steps before it may have moved it."""
+    out = set()
+    for n in range(len(form) - LENGTHS_APART, len(form) + LENGTHS_APART + 1):
+        for j in range(4):
+            a, b = n * j // 4, n * (j + 1) // 4
+            out |= {f"{n}:{j}:{form[a + d : b + d]}" for d in range(-LENGTHS_APART, LENGTHS_APART + 1) if a + d >= 0}
+    return out
+
+
+def word_keys(word: str) -> set[str]:
+    """The keys of a word of the lexicon in the index."""
+    low = bare(word)
+    keys = deletes(skeleton(word)) if len(low) <= LONG + LENGTHS_APART else set()
+    return keys | set(quarters(low) if len(low) > LONG - LENGTHS_APART else ())
+
+
+def form_keys(form: str) -> set[str]:
+    """The keys by which an unknown form asks the index."""
+    low = bare(form)
+    if len(low) > LONG:
+        return shifted_quarters(low)
+    return {k for r in readings(form.lower()) for k in deletes(skeleton(r))}
+
+
 def _costs(upper: bool) -> dict[tuple[str, str], float]:
     pairs = {(right.casefold(), read.casefold()) for right, all_read in CONFUSIONS.items() for read in all_read.split()}
     if upper:
@@ -188,23 +240,32 @@ def recase(form: str, word: str) -> str:
     return word
 
 
-def numeric(core: str) -> str | None:
-    """The number or code that a misread one must be, or None."""
-    fixed = lambda s: "".join(DIGITS_READ.get(c, c) for c in s)
-    if _NUMBERISH.fullmatch(core) and not _NUMBER.fullmatch(core) and sum(c.isdigit() for c in core) * 2 >= len(core.replace(".", "").replace(",", "")):
-        if core[-1] in "sz" or not _NUMBER.fullmatch(fixed(core)):
-            return None
-        return fixed(core)
-    if len(core) == 7 and core[2] == "-" and core[:2].isalpha() and core[:2].isupper() and _CODE.fullmatch(code := core[:3] + fixed(core[3:])) and code != core:
-        return code
-    return None
+def pattern(token: str) -> str:
+    """The key of what a token with digits is like: its digits as 9.  The zero
+    byte keeps patterns apart from words."""
+    return "\0" + _DIGIT.sub("9", token)
+
+
+def digits_undone(token: str) -> str | None:
+    """A token with the letters in its runs of mostly digits read as digits, if
+    that makes those runs numbers; None where nothing changes.  Whether it is
+    meant is for the patterns of the corpus to say."""
+
+    def run(m: re.Match) -> str:
+        digits = sum(c.isdigit() for c in m[0])
+        return "".join(DIGITS_READ.get(c, c) for c in m[0]) if digits and digits * 2 >= len(m[0]) else m[0]
+
+    out = _RUN.sub(run, token)
+    changed = out != token and all(a == b or b.isdigit() for a, b in zip(_RUN.findall(token), _RUN.findall(out)))
+    return out if changed else None
 
 
 # ---------------------------------------------------------------- the corpus
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (b is null) and of pairs of words in a text column."""
+    """Over (text, times): counts of words and of patterns (b is null), and of
+    pairs of words."""
     words: Counter = Counter()
     pairs: Counter = Counter()
 
@@ -217,26 +278,35 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = _WORD.findall(text.lower())
-            words.update(found)
-            pairs.update(zip(found, found[1:]))
+            found_patterns = [pattern(core) for t in text.split() if _DIGIT.search(t) and (core := _core(t))]
+            if times == 1:
+                words.update(found)
+                words.update(found_patterns)
+                pairs.update(zip(found, found[1:]))
+            else:
+                for counted, into in ((found, words), (found_patterns, words), (zip(found, found[1:]), pairs)):
+                    for key in counted:
+                        into[key] += times
             if len(words) + len(pairs) > COUNTED_TOGETHER:
                 yield flush()
     yield flush()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(a, b, n) over a table with one column of texts."""
+    """(a, b, n) over (text, times): the text counts ``times``, which may be
+    negative."""
     counted = texts.where(texts[0].isNotNull()).mapInArrow(_counter, "a string, b string, n bigint")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 # ------------------------------------------------- what stands on scanned pages
 
+# roles: what is looked up in the lexicon for an occurrence, and what it is to it
 _OCCURRENCE = (
     "rec_id bigint, book string, start int, stop int, kind string, form string, left string, right string, mark string, "
-    "before string, after string, line string, skeleton string, number int, page int"
+    "before string, after string, line string, skeleton string, number int, page int, roles array<struct<role:string,form:string>>"
 )
 
 
@@ -266,8 +336,6 @@ def _heads(lines: list[tuple[int, str]]) -> dict[int, tuple[str, str, int | None
     out: dict[int, tuple[str, str, int | None]] = {}
     for k in edge:
         line = lines[k][1].strip()
-        if len(line) > 160:
-            continue
         if (m := _PAGE_NO.match(line)) and any(c.isdigit() for c in line):
             digits = "".join(DIGITS_READ.get(c, c) for c in next(g for g in m.groups() if g)).replace("–", "-")
             out[k] = ("page_number" if not m.groups()[-1] else "bare_number", "", int(digits) if digits.lstrip("-").isdigit() else None)
@@ -301,7 +369,7 @@ def occurrences(text: str, segments: list[tuple[int, int, bool]] | None, known:
         for k, (at, line) in enumerate(lines):
             if k in heads:
                 kind, skel, number = heads[k]
-                yield (at, at + len(line), kind, None, None, None, None, None, None, line.strip(), skel, number, page)
+                yield (at, at + len(line), kind, None, None, None, None, None, None, line.strip(), skel, number, page, None)
                 # its words are words to repair if it turns out to be no head
                 yield from _words(at, line, known, "line_word") if kind == "header" else ()
             elif line.strip():
@@ -320,7 +388,7 @@ def occurrences(text: str, segments: list[tuple[int, int, bool]] | None, known:
             row = _break(tokens, (following[0] + nxt.start(1), nxt.group(1)), known)
             if row:
                 yield row
-                if row[6] or row[2] == "break":
+                if row[6]:
                     inner = (row[0], row[1])
         yield from _words(at, line, known, "word", {p for p in (skip, inner) if p})
 
@@ -329,8 +397,7 @@ def _words(at: int, line: str, known: frozenset, kind: str, broken: set = frozen
     found = [(at + m.start(), m.group()) for m in re.finditer(r"\S+", line)]
     for k, (pos, token) in enumerate(found):
         core = _core(token)
-        low = core.lower()
-        if not core or low in known or len(core) > 40 or not _FORM.fullmatch(core):
+        if not core or core.lower() in known or not _FORM.fullmatch(core):
             continue
         start = pos + token.index(core)
         if any(a <= start < b for a, b in broken):
@@ -341,21 +408,23 @@ def _words(at: int, line: str, known: frozenset, kind: str, broken: set = frozen
                 continue
             start = pos + token.index(core)
         has_letter, has_digit = any(c.isalpha() for c in core), any(c.isdigit() for c in core)
-        if not has_letter and not has_digit or not has_letter and _NUMBER.fullmatch(core) or _CODE.fullmatch(core):
+        if not has_letter:
             continue
-        before = _core(found[k - 1][1]).lower() if k else None
-        after = _core(found[k + 1][1]).lower() if k + 1 < len(found) else None
-        value = numeric(core) if has_digit else None
-        if value:
-            yield (start, start + len(core), "number", value, None, None, None, before, after, line.strip(), None, None, None)
-        elif has_letter and len(core) > 1:
-            if all(p.lower() in known for p in core.split("-")):
-                continue  # a compound; of rarer words it is found by a join
-            yield (start, start + len(core), kind, core, None, None, None, before, after, line.strip(), None, None, None)
+        roles, value = [("whole", core)] if len(core) > 1 else [], None
+        if has_digit:
+            value = digits_undone(core)
+            roles += [("own", pattern(core)), *([("new", pattern(value))] if value else [])]
+        if "-" in core:
+            roles += [(f"part{n}", p) for n, p in enumerate(core.split("-"))]
+        if roles:
+            before = _core(found[k - 1][1]).lower() if k else None
+            after = _core(found[k + 1][1]).lower() if k + 1 < len(found) else None
+            # a head's words keep its line, by which they go if it is one
+            yield (start, start + len(core), kind, core, value, None, None, before, after, line.strip() if kind == "line_word" else None, None, None, None, roles)
 
 
 def _break(tokens: list[tuple[int, str]], following: tuple[int, str], known: frozenset) -> tuple | None:
-    """A word that may be broken over the end of a line."""
+    """A word or code that may be broken over the end of a line."""
     pos, last = tokens[-1]
     nxt_at, nxt = following
     mark = last[-1] if last[-1] in MARKS else ""
@@ -363,41 +432,44 @@ def _break(tokens: list[tuple[int, str]], following: tuple[int, str], known: fro
     right = nxt.rstrip(_EDGE_PUNCT + "—–")
     if m := re.match(r"[\w\-'’.~|]+", right):
         right = m.group()
-    if not left or not right or not (right[0].isalnum()) or not left[-1].isalnum() or len(left) + len(right) > 40:
+    if not left or not right or not (right[0].isalnum()) or not left[-1].isalnum():
         return None
     start = pos + last.index(left)
     stop = nxt_at + nxt.index(right) + len(right)
     right = right.rstrip(MARKS + STRAYS)
-    if re.fullmatch(r"[A-Z]{2}", left) and re.fullmatch(r"[0-9OolISBZ]{4}", right) and any(c.isdigit() for c in right):
-        return (start, stop, "code", left + "-" + "".join(DIGITS_READ.get(c, c) for c in right), left, right, mark, None, None, None, None, None, None)
-    if (m := re.fullmatch(r"[A-Z]{2}-?\d{0,3}", left)) and mark != "" and right.isdigit() and _CODE.fullmatch(left + right):
-        return (start, stop, "code", left + right, left, right, mark, None, None, None, None, None, None)
-    if not right[0].isalpha() and not right[0].isdigit() or not any(c.isalpha() for c in left + right):
-        return None
-    if not right[0].islower() and not right[0].isdigit() and not (left[-1].isupper() and right[0].isupper()):
+    joint, hyphened = left + right, left + "-" + right
+    if not any(c.isalpha() for c in joint):
         return None
+    coded = any(c.isdigit() for c in joint)
+    undone = [(role, digits_undone(w) or w) for role, w in (("new", joint), ("hyphened", hyphened))] if coded else []
+    codes = [(role, pattern(w)) for role, w in undone if any(c.isalpha() for c in w)]  # numbers aren't joined
+    wordly = right[0].islower() or right[0].isdigit() or (left[-1].isupper() and right[0].isupper())
     a = left.lower()
-    if not mark:
-        if not (a.isalpha() or a.replace("-", "").isalpha()) or last[-1] in _EDGE_PUNCT:
-            return None
-        kind = "loose"
-    else:
-        kind = "break"
+    if not mark and (not wordly or not a.replace("-", "").isalpha() or last[-1] in _EDGE_PUNCT):
+        return None
+    if not wordly and not codes:
+        return None
+    kind = ("break" if mark else "loose") if wordly else "code"
+    roles = [("whole", joint), ("hyphen", hyphened), ("left", left), ("right", right)] if wordly else []
     before = _core(tokens[-2][1]).lower() if len(tokens) > 1 else None
-    return (start, stop, kind, left + right, left, right, mark, before, None, None, None, None, None)
+    return (start, stop, kind, joint, left, right, mark, before, None, None, None, None, None, roles + codes)
+
+
+_ROLES = pa.list_(pa.struct([("role", pa.string()), ("form", pa.string())]))
 
 
 def _occurrences(known: frozenset):
     names = [f.split()[0] for f in _OCCURRENCE.split(", ")]
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    kinds = [types[f.split()[1]] for f in _OCCURRENCE.split(", ")]
+    kinds = [types.get(f.split()[1], _ROLES) for f in _OCCURRENCE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for rec, book, text, segments in zip(*(c.to_pylist() for c in batch.columns)):
                 held = None if segments is None else [(s["page"], s["length"], s["scanned"]) for s in segments]
-                rows += [(rec, book, *row) for row in occurrences(text, held, known)]
+                for *row, roles in occurrences(text, held, known):
+                    rows.append((rec, book, *row, roles and [{"role": r, "form": f} for r, f in roles]))
             columns = list(zip(*rows)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -407,16 +479,21 @@ def _occurrences(known: frozenset):
 # ------------------------------------------------------------- candidates
 
 
-def _delete_keys(batches: Iterator[pa.RecordBatch], undo: bool = False) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, keys = [], []
-        for word in batch.column(0).to_pylist():
-            found = deletes(skeleton(word))
-            if undo:
-                found = {k for r in readings(word.lower()) for k in deletes(skeleton(r))}
-            words += [word] * len(found)
-            keys += found
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.string())], names=["word", "key"])
+def _keyed(keys_of, carried: int):
+    """Over (word, ...): a row for every key of the word, the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = [], []
+            for k, word in enumerate(batch.column(0).to_pylist()):
+                found = keys_of(word)
+                at += [k] * len(found)
+                keys += found
+            rows = pa.array(at, pa.int32())
+            columns = [batch.column(c).take(rows) for c in range(carried)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.string())], names=[*batch.schema.names[:carried], "key"])
+
+    return run
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,26 +505,32 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upper = sum(c.isupper() for c in letters) > len(letters) / 2
             cost = distance(low, word, upper, most)
             costs.append(cost if cost <= most + 1e-9 else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(costs, pa.float64())], names=["form", "word", "cost"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(costs, pa.float64())], names=["form", "word", "n", "cost"])
 
 
-def candidates(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(form, word, cost, n): words of the lexicon within the allowed distance
+def candidates(forms: DataFrame, lexicon: DataFrame, parts: int) -> DataFrame:
+    """(form, word, n, cost): words of the lexicon within the allowed distance
     of each unknown form, by the symmetric-delete index.  A word meets only
-    forms with which it shares a key."""
-    asked = forms.select("form").distinct().mapInArrow(partial(_delete_keys, undo=True), "word string, key string").withColumnRenamed("word", "form")
-    index = lexicon.select("word").mapInArrow(_delete_keys, "word string, key string")
-    met = asked.join(index, "key").select("form", "word").distinct()
-    near = met.mapInArrow(_measured, "form string, word string, cost double").where("cost IS NOT NULL")
-    return near.join(lexicon, "word").select("form", "word", "cost", "n")
+    forms with which it shares a key; a hot key is split by the adaptive join,
+    as the words that share it are few.  Both sides are spread over ``parts``
+    tasks before their keys are made, for a form has many.
+
+    A step of the distance changes at most two characters, so pairs too far
+    apart by plain edits are passed over before Python measures them."""
+    asked = forms.select("form").repartition(parts, "form").mapInArrow(_keyed(form_keys, 1), "form string, key string")
+    index = lexicon.select("word", "n").repartition(parts, "word").mapInArrow(_keyed(word_keys, 2), "word string, n bigint, key string")
+    steps = F.when(F.length("form") <= 3, 2).when(F.length("form") <= 6, 4).otherwise(6)
+    met = asked.join(index, "key").where(F.levenshtein(F.lower("form"), "word") <= steps).select("form", "word", "n").repartition(parts, "form", "word").distinct()
+    return met.mapInArrow(_measured, "form string, word string, n bigint, cost double").where("cost IS NOT NULL")
 
 
 # ------------------------------------------------------------- the operator
 
 
-def scanned_records(chunks: DataFrame, figures: DataFrame, page_texts: DataFrame, extract_results: DataFrame) -> DataFrame:
-    """(rec_id, book, text, segments) of chunks with scanned pages, and of
-    captions on scanned pages (segments null).  Repeated rows come once."""
+def scanned_records(chunks: DataFrame, figures: DataFrame, page_texts: DataFrame, extract_results: DataFrame, parts: int) -> DataFrame:
+    """(rec_id, book, text, segments, rows) of chunks with scanned pages, and of
+    captions on scanned pages (segments null).  Repeated rows come once; rows
+    says how often."""
     scanned = scanned_pages(extract_results).withColumn("scanned", F.lit(True))
     pages = holding(page_texts.withColumn("length", F.length(page_text(page_texts))), F.col("length")).where("length > 0")
     pages = pages.join(scanned, ["book", "page"], "left").select("book", "page", "length", F.coalesce("scanned", F.lit(False)).alias("scanned"))
@@ -457,24 +540,28 @@ def scanned_records(chunks: DataFrame, figures: DataFrame, page_texts: DataFrame
     on_page = ranges.select("chunk_id", "book", F.explode(F.sequence("a", "b")).alias("page")).join(pages, ["book", "page"])
     segments = on_page.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("page", "length", "scanned"))).alias("segments"))
     segments = segments.where(F.exists("segments", lambda s: s["scanned"]))
-    texts = chunks.where("text IS NOT NULL").select("chunk_id", "book", "text").dropDuplicates(["chunk_id"])
-    texts = texts.join(segments, "chunk_id").select(F.col("chunk_id").alias("rec_id"), "book", "text", "segments")
+    # a number of parts of its own keeps the later Python stages spread, however small the texts are
+    texts = chunks.where("text IS NOT NULL").select("chunk_id", F.struct("book", "text").alias("t")).repartition(parts, "chunk_id")
+    texts = texts.groupBy("chunk_id").agg(F.max("t").alias("t"), F.count("*").cast("int").alias("rows"))
+    texts = texts.join(segments, "chunk_id").select(F.col("chunk_id").alias("rec_id"), "t.book", "t.text", "segments", "rows")
     captions = figures.where("caption <> '' AND figure_id IS NOT NULL").select(F.col("figure_id").alias("rec_id"), "book", "page", "caption").distinct()
     captions = captions.join(scanned, ["book", "page"], "left_semi")
     none = F.lit(None).cast(texts.schema["segments"].dataType)
-    return texts.unionAll(captions.select("rec_id", "book", F.col("caption").alias("text"), none.alias("segments")))
+    return texts.unionAll(captions.select("rec_id", "book", F.col("caption").alias("text"), none.alias("segments"), F.lit(1).alias("rows")))
 
 
 def _scanned_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (text, segments, rows): the scanned parts, to be counted off."""
     for batch in batches:
-        out = []
-        for text, segments in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        out, times = [], []
+        for text, segments, rows in zip(*(c.to_pylist() for c in batch.columns)):
             at = 0
             for s in segments or [{"length": len(text), "scanned": True}]:
                 if s["scanned"]:
                     out.append(text[at : at + s["length"]])
+                    times.append(-rows)
                 at += s["length"] + 2
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(times, pa.int32())], names=["text", "times"])
 
 
 class ScanNoise:
@@ -486,18 +573,20 @@ class ScanNoise:
     result is empty.  Texts are read whole, whatever their length."""
 
     def __init__(self, books: DataFrame, bookmarks: DataFrame, chunks: DataFrame, figures: DataFrame, page_texts: DataFrame, extract_results: DataFrame):
-        self.records = cut(scanned_records(chunks, figures, page_texts, extract_results))
+        self.parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.records = cut(scanned_records(chunks, figures, page_texts, extract_results, self.parts))
         captions = figures.select("figure_id", "caption").distinct().select(F.col("caption").alias("text"))
-        all_counts = word_counts(chunks.select("text").unionAll(captions))
-        noisy = word_counts(self.records.mapInArrow(_scanned_parts, "text string"))
-        noisy = noisy.where("b IS NULL").select("a", F.col("n").alias("m"))
-        all_counts = cut(all_counts)
-        singles = all_counts.where("b IS NULL").select("a", "n").join(noisy, "a", "left")
-        clean = F.col("n") - F.coalesce("m", F.lit(0).cast("bigint"))
-        self.lexicon = cut(singles.select(F.col("a").alias("word"), clean.alias("n")).where(F.col("n") >= LEAST_COUNT))
-        self.bigrams = all_counts.where("b IS NOT NULL")
-        held = [r.word for r in self.lexicon.orderBy(F.desc("n"), "word").limit(HELD_WORDS).collect()]
-        self.found = cut(self.records.mapInArrow(_occurrences(frozenset(held)), _OCCURRENCE))
+        one = F.lit(1).alias("times")
+        texts = chunks.select("text", one).unionAll(captions.select("text", one))
+        scanned = self.records.select("text", "segments", "rows").mapInArrow(_scanned_parts, "text string, times int")
+        # what stands outside scanned pages; the noise of these is no word
+        counts = cut(word_counts(texts.unionAll(scanned)).where("n > 0"))
+        self.lexicon = counts.where((F.col("n") >= LEAST_COUNT) & F.col("b").isNull()).select(F.col("a").alias("word"), "n")
+        self.bigrams = counts.where("b IS NOT NULL")
+        words = self.lexicon.where(~F.col("word").startswith("\0"))
+        held = [r.word for r in words.orderBy(F.desc("n"), "word").limit(HELD_WORDS).collect()]
+        self.longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+        self.found = cut(self.records.select("rec_id", "book", "text", "segments").mapInArrow(_occurrences(frozenset(held)), _OCCURRENCE))
         self.titles = _titles(books, bookmarks)
 
     def _heads(self) -> DataFrame:
@@ -526,56 +615,43 @@ class ScanNoise:
 
     def words(self) -> DataFrame:
         """(rec_id, start, stop, kind, value): joined and misread words."""
-        sure = self.found.where("kind IN ('number', 'code')")
-        kind = F.when(F.col("kind") == "number", "misread").otherwise("hyphen")
-        sure = sure.select("rec_id", "start", "stop", kind.alias("kind"), F.col("form").alias("value"))
+        key, facts = ["rec_id", "start", "kind"], ["stop", "form", "left", "right", "mark", "before", "after"]
         line_words = self.found.where("kind = 'line_word'")
-        no_head = line_words.join(self._heads().select("rec_id", "line"), ["rec_id", "line"], "left_anti")
-        singles = self.found.where("kind = 'word'").unionByName(no_head).select("rec_id", "start", "stop", F.lit("word").alias("kind"), "form", "left", "right", "mark", "before", "after")
-        lex = self.lexicon
-        # compounds of known words are no case
-        compounds = singles.where("form LIKE '%-%'").select("form").distinct().select("form", F.explode(F.split(F.lower("form"), "-")).alias("word"))
-        compounds = compounds.join(lex.select("word", F.lit(True).alias("is_word")), "word", "left").groupBy("form").agg(F.count("*").alias("parts"), F.count("is_word").alias("words"))
-        singles = singles.join(compounds.where("parts = words").select("form"), "form", "left_anti").select(*singles.columns)
+        no_head = line_words.join(self._heads().select("rec_id", "line"), ["rec_id", "line"], "left_anti").withColumn("kind", F.lit("word"))
+        asked = self.found.where("kind IN ('word', 'break', 'code')").unionByName(no_head).select(*key, *facts, "roles")
         # without a mark a word is broken only where the lexicon has the joint
-        loose = self.found.where("kind = 'loose'").select(*singles.columns)
-        joints = F.array(F.lower(F.concat("left", "right")), F.lower(F.concat("left", F.lit("-"), "right")))
-        loose = loose.withColumn("word", F.explode(joints)).join(lex.select("word"), "word", "left_semi").drop("word").dropDuplicates(["rec_id", "start"])
-        breaks = self.found.where("kind = 'break'").select(*singles.columns).unionByName(loose.select(*singles.columns))
-        asked = cut(singles.unionAll(breaks).withColumn("id", F.xxhash64("rec_id", "start", "kind")))
-        # forms to look up: the word itself; the joint with and without a hyphen, and the halves
-        hyphened = F.concat("left", F.lit("-"), "right")
-        forms = asked.select(
-            "id",
-            F.explode(
-                F.when(F.col("kind") == "word", F.array(F.struct(F.lit("whole").alias("role"), F.col("form").alias("form")))).otherwise(
-                    F.array(*(F.struct(F.lit(r).alias("role"), c.alias("form")) for r, c in (("whole", F.col("form")), ("hyphen", hyphened), ("left", F.col("left")), ("right", F.col("right")))))
-                )
-            ).alias("f"),
-        ).select("id", "f.role", "f.form")
-        distinct = forms.select("form").distinct().withColumn("word", F.lower("form"))
-        exact = distinct.join(lex, "word").select("form", "word", F.lit(0.0).alias("cost"), "n")
-        unknown = forms.where("role IN ('whole', 'hyphen')").select("form").distinct().withColumn("word", F.lower("form"))
-        unknown = unknown.join(lex, "word", "left_anti").select("form")
-        near = candidates(unknown, lex)
-        resolved = forms.join(exact.unionAll(near), "form").select("id", "role", "word", "cost", "n")
-        # context: how often a candidate stands beside its neighbours
-        sides = asked.select("id", "before", "after", "left", "right", "kind")
-        beside = resolved.where("role IN ('whole', 'hyphen')").join(sides, "id")
-        bi = self.bigrams.select(F.col("a").alias("before"), F.col("b").alias("word"), F.col("n").alias("n_before"))
-        ai = self.bigrams.select(F.col("a").alias("word"), F.col("b").alias("after"), F.col("n").alias("n_after"))
-        beside = beside.join(bi, ["before", "word"], "left").join(ai, ["word", "after"], "left")
-        beside = beside.select("id", "role", "word", "cost", "n", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
-        zero = F.lit(0).cast("bigint")
-        halves = resolved.where("role IN ('left', 'right') AND cost = 0").select("id", "role", "word", "cost", "n", zero.alias("n_before"), zero.alias("n_after"))
-        # an occurrence has few candidates: they share a key of its few forms
-        options = beside.unionAll(halves).groupBy("id").agg(F.collect_list(F.struct("role", "word", "cost", "n", "n_before", "n_after")).alias("options"))
-        apart = self.bigrams.select(F.col("a").alias("l"), F.col("b").alias("r"), F.col("n").alias("apart"))
-        rows = asked.join(options, "id", "left").withColumn("l", F.lower("left")).withColumn("r", F.lower("right")).join(apart, ["l", "r"], "left")
-        decided = rows.select("rec_id", "start", "stop", "kind", "form", "left", "right", "mark", "apart", "options").mapInArrow(
+        loose = self.found.where("kind = 'loose'").select(*key, *facts, "roles")
+        joints = F.filter("roles", lambda r: r["role"].isin("whole", "hyphen", "new", "hyphened"))
+        joint = loose.select("rec_id", "start", F.explode(joints).alias("r")).select("rec_id", "start", _lookup(F.col("r.form")).alias("word"))
+        known = joint.join(self.lexicon.select("word"), "word", "left_semi").select("rec_id", "start").distinct()
+        asked = cut(asked.unionByName(loose.join(known, ["rec_id", "start"])))
+        sought = asked.select(*key, *facts, F.explode("roles").alias("r")).select(*key, *facts, "r.role", F.col("r.form").alias("asked"))
+        forms = sought.select("asked", (F.col("role").isin("whole", "hyphen") & (F.col("kind") != "loose")).alias("near"))
+        forms = forms.groupBy(F.col("asked").alias("form")).agg(F.max("near").alias("near")).withColumn("word", _lookup(F.col("form")))
+        looked = cut(forms.join(self.lexicon, "word", "left"))
+        exact = looked.where("n IS NOT NULL").select("form", "word", "n", F.lit(0.0).alias("cost"))
+        # a form longer than any word and what a repair takes away has no word
+        unknown = looked.where(F.col("n").isNull() & F.col("near") & (F.length("form") <= self.longest + LENGTHS_APART))
+        near = candidates(unknown, self.lexicon.where(~F.col("word").startswith("\0")), self.parts)
+        # a form has few words, for they share a key of its few readings
+        options = exact.unionByName(near).groupBy(F.col("form").alias("asked")).agg(F.collect_list(F.struct("word", "cost", "n")).alias("options"))
+        made = sought.join(options, "asked", "left").withColumn("o", F.explode_outer("options")).drop("asked", "options")
+        # context: how often a candidate stands beside its neighbours, and the halves beside each other
+        side = lambda name, a, b: F.struct(F.lit(name).alias("side"), a.alias("a"), b.alias("b"))
+        word, whole = F.col("o.word"), F.col("role").isin("whole", "hyphen") & F.col("o").isNotNull()
+        sides = F.when(whole, F.array(side("before", F.col("before"), word), side("after", word, F.col("after"))))
+        sides = sides.when(F.col("role") == "left", F.array(side("apart", F.lower("left"), F.lower("right"))))
+        sides = sides.otherwise(F.array(side("none", F.lit(None).cast("string"), F.lit(None).cast("string"))))
+        beside = made.withColumn("s", F.explode(F.filter(sides, lambda x: x["side"].isin("none", "apart") | x["a"].isNotNull() & x["b"].isNotNull() | (x["side"] == "before"))))
+        # what has no neighbour must not meet on one null key
+        apart = F.concat(F.lit("\0"), F.xxhash64(*key, "role").cast("string"))
+        beside = beside.select(*key, *facts, "role", "o", "s.side", F.coalesce("s.a", apart).alias("a"), F.coalesce("s.b", F.lit("")).alias("b"))
+        counted = beside.join(self.bigrams.withColumnRenamed("n", "times"), ["a", "b"], "left")
+        held = F.collect_list(F.struct("role", "o.word", "o.cost", "o.n", "side", "times")).alias("options")
+        rows = counted.groupBy(*key).agg(*(F.first(c).alias(c) for c in facts), held)
+        return rows.select("rec_id", "start", "stop", "kind", "form", "left", "right", "mark", "options").mapInArrow(
             _decide, "rec_id bigint, start int, stop int, kind string, value string"
         )
-        return sure.unionAll(decided)
 
     def repairs(self) -> DataFrame:
         """All repairs: (rec_id, start, stop, kind, value), by character."""
@@ -589,6 +665,11 @@ class ScanNoise:
         return self.records.join(edits, "rec_id", "left").select("rec_id", "text", "segments", "edits").mapInArrow(_apply, "rec_id bigint, text string")
 
 
+def _lookup(form: Column) -> Column:
+    """How a form is spelled in the lexicon: words in lower case."""
+    return F.when(form.startswith("\0"), form).otherwise(F.lower(form))
+
+
 def _titles(books: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """(book, skeleton) of the titles of each book and of its bookmarks."""
 
@@ -599,28 +680,44 @@ def _titles(books: DataFrame, bookmarks: DataFrame) -> DataFrame:
 
     own = books.select(F.col("slug").alias("book"), "title")
     all_titles = own.unionAll(bookmarks.select("book", "title")).where("book IS NOT NULL AND title <> ''").distinct()
-    return all_titles.mapInArrow(run, "book string, skeleton string").where("length(skeleton) > 3").distinct()
+    return all_titles.mapInArrow(run, "book string, skeleton string").where("skeleton <> ''").distinct()
 
 
 def score(cost: float, n: int, n_before: int, n_after: int) -> float:
     return 6 * cost - 0.3 * math.log1p(n) - 0.8 * math.log1p(n_before) - 0.8 * math.log1p(n_after)
 
 
-def decide(kind: str, form: str, left: str | None, right: str | None, mark: str | None, apart: int | None, options: list[dict]) -> tuple[str, str] | None:
-    """The repair of one occurrence: (kind, value) or None."""
-    ranked = sorted(options, key=lambda o: (score(o["cost"], o["n"], o["n_before"], o["n_after"]), o["word"]))
-    by = {r: [o for o in ranked if o["role"] == r] for r in ("whole", "hyphen", "left", "right")}
+def decide(kind: str, form: str, left: str | None, right: str | None, mark: str | None, apart: int, options: list[dict]) -> tuple[str, str] | None:
+    """The repair of one occurrence: (kind, value) or None.  ``options``: what
+    the lexicon has for each role, with its counts beside its neighbours;
+    ``apart``: how often the halves stand beside each other as words."""
+    ranked = sorted(options, key=lambda o: (score(o["cost"], o["n"], o["before"], o["after"]), o["word"]))
+    by: dict[str, list[dict]] = {}
+    for o in ranked:
+        by.setdefault(o["role"], []).append(o)
+    often = {r: by[r][0]["n"] if r in by else 0 for r in ("own", "new", "hyphened")}
     if kind == "word":
-        best = by["whole"][:1]
+        if left is not None and often["new"] > TIMES_OFTENER * often["own"]:
+            return "misread", left
+        if often["own"]:
+            return None  # tokens like this are meant
+        best = by.get("whole", [])[:1]
         if not best or best[0]["cost"] == 0:
             return None
+        if "-" in form and all(f"part{k}" in by for k in range(form.count("-") + 1)):
+            return None  # a compound of words
         return "misread", recase(form, best[0]["word"])
-    whole = next((o for o in by["whole"] if o["cost"] == 0), None)
-    hyphened = next((o for o in by["hyphen"] if o["cost"] == 0), None)
-    l_known, r_known = bool(by["left"]), bool(by["right"])
+    if often["new"] or often["hyphened"]:
+        joint = left + "-" + right if often["hyphened"] > often["new"] else left + right
+        return "hyphen", digits_undone(joint) or joint
+    if kind == "code":
+        return None
+    whole = next((o for o in by.get("whole", ()) if o["cost"] == 0), None)
+    hyphened = next((o for o in by.get("hyphen", ()) if o["cost"] == 0), None)
+    l_known, r_known = "left" in by, "right" in by
     if kind == "loose":
         pick = max((o for o in (whole, hyphened) if o), key=lambda o: o["n"], default=None)
-        if pick is None or (l_known and r_known and (apart or 0) * 20 > pick["n"]):
+        if pick is None or (l_known and r_known and apart * 20 > pick["n"]):
             return None
         return "hyphen", recase(left + right, pick["word"])
     if whole or hyphened:
@@ -643,7 +740,16 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for r in batch.to_pylist():
-            if made := decide(r["kind"], r["form"], r["left"], r["right"], r["mark"], r["apart"], r["options"] or []):
+            options: dict[tuple, dict] = {}
+            apart = 0
+            for o in r["options"]:
+                if o["side"] == "apart":
+                    apart = o["times"] or 0
+                if o["word"] is not None:
+                    held = options.setdefault((o["role"], o["word"]), {"role": o["role"], "word": o["word"], "cost": o["cost"], "n": o["n"], "before": 0, "after": 0})
+                    if o["side"] in ("before", "after"):
+                        held[o["side"]] = o["times"] or 0
+            if made := decide(r["kind"], r["form"], r["left"], r["right"], r["mark"], apart, list(options.values())):
                 out.append((r["rec_id"], r["start"], r["stop"], *made))
         columns = list(zip(*out)) or [[] for _ in range(5)]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]

@@ -3,10 +3,10 @@ from datetime import datetime
 import pytest
 
 from quire.llm import scan_noise
-from quire.llm.scan_noise import ScanNoise, apply_edits, deletes, distance, numeric, readings, recase, skeleton
+from quire.llm.scan_noise import LONG, ScanNoise, apply_edits, digits_undone, distance, form_keys, recase, word_keys
 
 DAY = datetime(2024, 1, 1)
-CLEAN = "The turbine releases the lubricant near the high-pass filter and the symmetric impeller connects the invariant. Pre- and post-treatment of low- and high-pass work. "
+CLEAN = "The turbine releases the lubricant near the high-pass filter and the symmetric impeller connects the invariant. Pre- and post-treatment of low- and high-pass work. Of VZ-1204 at 300 bar. "
 NOISY = (
     "The title of it   7\nThe tiirbine releases the lu-\nbricant near the high-\npass fi1ter and the symmetnc im\npeller connects the in¬\nvariant of VZ-\n3137 at 5l2 bar.\n"
     "Pre-\nand post-treatment of low-\nand high-pass work, the turb-\n- 12 -"
@@ -16,11 +16,22 @@ SECOND = "The title of it   8\nine releases."
 
 def test_parts():
     assert distance("tiirbine", "turbine") == distance("symmetnc", "symmetric") == pytest.approx(0.3)
-    assert deletes(skeleton("turbine")) & {k for r in readings("tiirbine") for k in deletes(skeleton(r))}
-    assert numeric("5l2") == "512" and numeric("VZ-3l37") == "VZ-3137" and numeric("512") is None and numeric("Sol") is None
+    assert digits_undone("5l2") == "512" and digits_undone("VZ-3l37") == "VZ-3137" and digits_undone("512") is digits_undone("Sol") is digits_undone("fi1ter") is None
     assert recase("Tiirbine", "turbine") == "Turbine" and recase("TURB1NE", "turbine") == "TURBINE"
 
 
+@pytest.mark.parametrize("read, right", [("tiirbine", "turbine"), ("rny", "my"), ("a|s", "as"), ("ys", "vs"), ("ab", "6b"), ("symmetnc", "symmetric")])
+def test_index(read, right):
+    assert form_keys(read) & word_keys(right)
+
+
+@pytest.mark.parametrize("n", [LONG - 4, LONG - 1, LONG, LONG + 1, LONG + 4, 300])
+def test_index_of_long_words(n):
+    word = ("overmolecular" * 40)[:n]
+    for read in (word.replace("m", "rn", 1), word.replace("cu", "c|u", 1).replace("l", "1", 1), word.replace("e", "c", 1).replace("a", "o", 1), word[:-5] + "'" + word[-5:], word[1:]):
+        assert distance(read, word) <= 1 and form_keys(read) & word_keys(word)
+
+
 def tables(spark):
     make = spark.createDataFrame
     pages = [("b", 1, None, NOISY), ("b", 2, None, SECOND), ("b", 3, None, CLEAN * 3)]
@@ -62,10 +73,43 @@ def test_held_words_only_save_work(spark, monkeypatch):
         make(rows, "book string, page int, layer string, extracted string, extracted_at timestamp, loaded_at timestamp"), make([("b", [1])], "book string, ocr_pages array<int>"),
     )
     found = {}
-    for held in (0, 5, 50_000):
+    for held in (0, 5, 10, 50_000, 10**6):
         monkeypatch.setattr(scan_noise, "HELD_WORDS", held)
         found[held] = {(r.kind, r.value) for r in ScanNoise(*given).repairs().collect()}
-    assert found[0] == found[5] == found[50_000] == {("hyphen", "therapist")}
+    assert all(f == {("hyphen", "therapist")} for f in found.values())
+
+
+def test_patterns_of_the_corpus_decide(spark):
+    # in the 1990s is meant, 199Os is not; K7/3l is like nothing known, 3l mm is a number
+    clean = "Built in the 1990s, or the 1980s or the 1970s. Code AB/1234/X and AB/5555/X and AB/9000/X. All 31 mm, 32 mm, 45 mm. " * 2
+    page = "Since the 1960s and 199O or AB/12S4/X and K7/3l at 3l mm of AB/-\n7777/X and the\n1950s."
+    make = spark.createDataFrame
+    rows = [("b", 1, None, page, DAY, DAY), ("b", 2, None, clean, DAY, DAY)]
+    given = (
+        make([("b", "Title", 1)], "slug string, title string, n int"), make([("b", None, 1)], "book string, title string, n int"),
+        make([(1, "b", 1, 1, page), (2, "b", 2, 2, clean), (2, "b", 2, 2, clean)], "chunk_id bigint, book string, page_start int, page_end int, text string"),
+        make([], "figure_id bigint, book string, page int, caption string"),
+        make(rows, "book string, page int, layer string, extracted string, extracted_at timestamp, loaded_at timestamp"), make([("b", [1])], "book string, ocr_pages array<int>"),
+    )
+    found = {(r.kind, r.value) for r in ScanNoise(*given).repairs().collect()}
+    assert found == {("misread", "31")}
+
+
+def test_long_forms_and_short_titles(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosisrelatedness"
+    clean = f"Known {long} here. " * 4
+    head = "Map" + " " * 4 + "7"
+    page = head + f"\nSeen {long.replace('m', 'rn', 1)} and {long[:20]}-\n{long[20:]} too.\n" + "body text " * 30
+    make = spark.createDataFrame
+    rows = [("b", 7, None, page, DAY, DAY), ("b", 8, None, clean, DAY, DAY)]
+    given = (
+        make([("b", "Map", 1)], "slug string, title string, n int"), make([("b", None, 1)], "book string, title string, n int"),
+        make([(1, "b", 7, 7, page), (2, "b", 8, 8, clean)], "chunk_id bigint, book string, page_start int, page_end int, text string"),
+        make([], "figure_id bigint, book string, page int, caption string"),
+        make(rows, "book string, page int, layer string, extracted string, extracted_at timestamp, loaded_at timestamp"), make([("b", [7])], "book string, ocr_pages array<int>"),
+    )
+    found = {(r.kind, r.value) for r in ScanNoise(*given).repairs().collect()}
+    assert {("misread", long), ("hyphen", long), ("header", head)} <= found
 
 
 def test_paragraphs_of_mixed_chunks():
