@@ -6,15 +6,25 @@ from quire.llm.lookalikes import p3_forms, p3_found
 from quire.llm.packing import p6_packed
 from quire.llm.repeated_lines import p4_clean, p4_found
 from quire.llm.scan_noise import p1_found, p1_repaired
+from quire.llm.splitting import p2_found, p2_pieces
 from quire.llm.shared_spans import p7_found, p7_shared, p7_stretches
 from quire.llm.tokens import p5_ids
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_repaired, p3_found, p3_forms, p4_found, p4_clean, p5_ids, p6_packed, p7_found, p7_stretches, p7_shared)
+    for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p4_clean, p5_ids, p6_packed, p7_found, p7_stretches, p7_shared)
 }
 
 ORACLE: dict[str, str] = {
+    "p2_found": """
+WITH page AS (
+  SELECT book, page, max_by(length(coalesce(extracted, layer, '')), (coalesce(extracted_at, TIMESTAMP '1900-01-01'), coalesce(loaded_at, TIMESTAMP '1900-01-01'))) // 4 AS size
+  FROM page_texts GROUP BY book, page),
+s AS (SELECT DISTINCT span_id, book, page_start, page_end, max_tokens FROM spans JOIN budgets USING (budget))
+SELECT span_id, CASE WHEN max(size) > max_tokens THEN 'inside' ELSE 'page' END AS cut
+FROM s JOIN page p ON p.book = s.book AND p.page BETWEEN s.page_start AND s.page_end
+GROUP BY span_id, max_tokens HAVING sum(size) > max_tokens
+""",
     "p4_found": r"""
 WITH line AS (
   SELECT book, chunk_id, u.line, u.line_no

@@ -12,5 +12,6 @@ def test_runs(spark, name):
     rows = [tuple(r) for r in df.collect()]
     if name in queries.ORACLE:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW chunks AS SELECT * FROM '{FOLDER}/chunks.parquet'")
+        for name_ in ("chunks", "spans", "budgets", "page_texts"):
+            con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{FOLDER}/{name_}.parquet'")
         assert sorted(rows) == sorted(con.execute(queries.ORACLE[name]).fetchall())
