@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators.splitting import P2_ORACLE, p2_found, p2_pieces
 from quire.plans import library, study
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, **library.Q, **study.Q}
-ORACLE: dict[str, str] = {"p2_found": P2_ORACLE, **library.SQL, **study.SQL}
+QUERIES: dict[str, Query] = {**library.Q, **study.Q}
+ORACLE: dict[str, str] = {**library.SQL, **study.SQL}
