@@ -294,11 +294,19 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def pair_key(a: Column, b: Column) -> Column:
+    """The digest by which a pair of words is counted: pairs are many and only
+    weigh candidates, so their words don't move."""
+    return F.xxhash64(a, b)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(a, b, n) over (text, times): the text counts ``times``, which may be
-    negative."""
+    """(word, pair, n) over (text, times): the text counts ``times``, which may
+    be negative.  Words have a null pair, pairs of words a null word."""
     counted = texts.where(texts[0].isNotNull()).mapInArrow(_counter, "a string, b string, n bigint")
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    single = F.col("b").isNull()
+    keyed = counted.select(F.when(single, F.col("a")).alias("word"), F.when(~single, pair_key(F.col("a"), F.col("b"))).alias("pair"), "n")
+    return keyed.groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
 # ------------------------------------------------- what stands on scanned pages
@@ -581,8 +589,8 @@ class ScanNoise:
         scanned = self.records.select("text", "segments", "rows").mapInArrow(_scanned_parts, "text string, times int")
         # what stands outside scanned pages; the noise of these is no word
         counts = cut(word_counts(texts.unionAll(scanned)).where("n > 0"))
-        self.lexicon = counts.where((F.col("n") >= LEAST_COUNT) & F.col("b").isNull()).select(F.col("a").alias("word"), "n")
-        self.bigrams = counts.where("b IS NOT NULL")
+        self.lexicon = counts.where((F.col("n") >= LEAST_COUNT) & F.col("pair").isNull()).select("word", "n")
+        self.bigrams = counts.where("pair IS NOT NULL").select("pair", F.col("n").alias("times"))
         words = self.lexicon.where(~F.col("word").startswith("\0"))
         held = [r.word for r in words.orderBy(F.desc("n"), "word").limit(HELD_WORDS).collect()]
         self.longest = words.agg(F.max(F.length("word"))).first()[0] or 0
@@ -644,9 +652,9 @@ class ScanNoise:
         sides = sides.otherwise(F.array(side("none", F.lit(None).cast("string"), F.lit(None).cast("string"))))
         beside = made.withColumn("s", F.explode(F.filter(sides, lambda x: x["side"].isin("none", "apart") | x["a"].isNotNull() & x["b"].isNotNull() | (x["side"] == "before"))))
         # what has no neighbour must not meet on one null key
-        apart = F.concat(F.lit("\0"), F.xxhash64(*key, "role").cast("string"))
-        beside = beside.select(*key, *facts, "role", "o", "s.side", F.coalesce("s.a", apart).alias("a"), F.coalesce("s.b", F.lit("")).alias("b"))
-        counted = beside.join(self.bigrams.withColumnRenamed("n", "times"), ["a", "b"], "left")
+        pair = F.coalesce(F.when(F.col("s.a").isNotNull() & F.col("s.b").isNotNull(), pair_key(F.col("s.a"), F.col("s.b"))), F.xxhash64(F.lit("\0"), *key, "role"))
+        counted = beside.select(*key, *facts, "role", "o", "s.side", pair.alias("pair")).join(self.bigrams, "pair", "left")
+        counted = counted.withColumn("times", F.when(~F.col("side").isin("none"), F.col("times")))
         held = F.collect_list(F.struct("role", "o.word", "o.cost", "o.n", "side", "times")).alias("options")
         rows = counted.groupBy(*key).agg(*(F.first(c).alias(c) for c in facts), held)
         return rows.select("rec_id", "start", "stop", "kind", "form", "left", "right", "mark", "options").mapInArrow(
