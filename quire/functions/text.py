@@ -15,10 +15,22 @@ BLANK = r"[ \t\n\r\f\x{0B}\x{A0}]"
 SECTION = r"^ *([0-9]+(?:\.[0-9]+)*)(?:\. *| +)([^0-9 ].*)$"
 CHAPTER_PREFIX = r"^ *(?:[Cc][Hh][Aa][Pp][Tt][Ee][Rr]|[Rr][Oo][Zz][Dd][Zz][Ii][Aa][LlŁł])? *[0-9]{1,2}(?:[.] *|[-—:] *| +|$)"
 CHAPTER_NUMBER = r"^ *(?:[Cc][Hh][Aa][Pp][Tt][Ee][Rr]|[Rr][Oo][Zz][Dd][Zz][Ii][Aa][LlŁł])? *([0-9]{1,2})(?:$|[^0-9\p{L}_‐–-])"
+#: A chapter's number that is the first of a section's: no chapter heading.
+CHAPTER_SECTION = r"^ *(?:[Cc][Hh][Aa][Pp][Tt][Ee][Rr]|[Rr][Oo][Zz][Dd][Zz][Ii][Aa][LlŁł])? *[0-9]{1,2} *[.] *[0-9]"
+# Titles of a book's apparatus, as letters and digits, and how
+# longer ones begin.
+APPARATUS = (
+    "spistreści contents tableofcontents skorowidz index stronatytułowa stronaredakcyjna bibliografia bibliography references "
+    "odwołanialiteraturowe aboutbootlin genericcourseinformation lastslides aboutthisdocument copyingthisdocument cover titlepage "
+    "copyrightandcredits dedication contributors aboutpackt otherbooksyoumayenjoy"
+).split()
+APPARATUS_BEGINS = ("bibliografia", "bibliography")
 ACCENTED = "ąćęłńóśźżàáâäåçèéêëìíîïñòôöùúûüý"
 PLAIN = "acelnoszzaaaaaceeeeiiiinooouuuuy"
 MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 LEADER_ENTRY = r"(?m)^[^\n]*?(?:\. ?){4,} *[0-9]{1,4}[ \t]*$"
+#: A line that opens a numbered section: its number, and its title without a page number.
+NUMBERED_LINE = r"(?m)^[ \t\r]*(?:#{1,6}[ \t]+)?([0-9]{1,2}\.[0-9]{1,2})[ \t\r]+([^ \t\r\n][^\n]*?)[ \t\r]*(?:[0-9]{1,4})?[ \t\r]*$"
 WORD = r"[\p{L}\p{N}_]+"
 #: Estimated characters of a token.
 TOKEN_CHARS = 4
@@ -77,6 +89,24 @@ def chapter_number(c: Column) -> Column:
     return _first(c, CHAPTER_NUMBER).cast("int")
 
 
+def is_chapter_heading(c: Column) -> Column:
+    """A chapter's number that no section's follows."""
+    return chapter_number(c).isNotNull() & ~c.rlike(CHAPTER_SECTION)
+
+
+def is_apparatus(c: Column) -> Column:
+    """Contents, index, bibliography and the like."""
+    key = F.regexp_replace(letters_key(c), "^[0-9]+", "")
+    return key.isin(*APPARATUS) | key.rlike("^(?:" + "|".join(APPARATUS_BEGINS) + ")")
+
+
+def owner_chapter(title: Column, outline_chapter: Column) -> Column:
+    """The chapter of an entry: of its section's number, else of its title,
+    else the one the outline puts it in."""
+    of_section = F.regexp_extract(section_number(title), "^([0-9]+)", 1).try_cast("int")
+    return F.coalesce(of_section, chapter_number(title), outline_chapter)
+
+
 def chapter_name(c: Column) -> Column:
     """A title without its chapter word and number, never empty."""
     return F.coalesce(F.nullif(strip(F.regexp_replace(c, CHAPTER_PREFIX, "")), F.lit("")), strip(c))
@@ -98,10 +128,20 @@ def is_heading_title(c: Column) -> Column:
 
 
 def is_contents_page(c: Column) -> Column:
-    """At least five dotted entries, or dots on half of the page."""
-    entries = F.size(F.regexp_extract_all(c, F.lit(LEADER_ENTRY), 0))
-    dotted = F.length(c) - F.length(F.regexp_replace(c, r"(?:\. ?){4,}", ""))
-    return (entries >= 5) | ((F.length(c) > 0) & (dotted >= F.length(c) * 0.5))
+    """At least five dotted entries, or entries on half of the page."""
+    entries = F.regexp_extract_all(c, F.lit(LEADER_ENTRY), 0)
+    dotted = F.aggregate(entries, F.lit(0), lambda n, e: n + F.length(e))
+    return (F.size(entries) >= 5) | ((F.size(entries) > 0) & (dotted >= F.length(c) * 0.5))
+
+
+def opens_section(c: Column) -> Column:
+    """Whether a line opens a numbered section: its title begins with a letter
+    or digit that isn't in lower case and has no leader dots.  A digit that
+    stands apart from the number belongs to it."""
+    heads = F.arrays_zip(F.regexp_extract_all(c, F.lit(NUMBERED_LINE), 1).alias("number"), F.regexp_extract_all(c, F.lit(NUMBERED_LINE), 2).alias("title"))
+    split = lambda h: h["number"].rlike("^[0-9]+[.][0-9]$") & h["title"].rlike("^[0-9][ \t]+[^ \t]")
+    titles = F.transform(heads, lambda h: F.when(split(h), F.regexp_replace(h["title"], "^[0-9][ \t]+", "")).otherwise(h["title"]))
+    return F.exists(titles, is_heading_title)
 
 
 def garbled(c: Column, share: float = 0.2) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+
 def _down() -> WindowSpec:
     return Window.partitionBy("book").orderBy("idx")
 
@@ -48,28 +49,43 @@ def _following(outline: DataFrame, column: str, sign: int) -> DataFrame:
     return held.groupBy("book").applyInPandas(run, "book string, idx int, at int")
 
 
-def spans(outline: DataFrame) -> DataFrame:
+def last_pages(books: DataFrame, page_texts: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """(book, last): the last page of each book: of its count, its texts or,
+    where it has neither, its bookmarks."""
+    counts = books.select(F.col("slug").alias("book"), F.col("page_count").cast("int").alias("page"), F.lit(0).alias("rank"))
+    texts = page_texts.select("book", F.col("page").cast("int").alias("page"), F.lit(0).alias("rank"))
+    marks = bookmarks.select("book", F.col("page").cast("int").alias("page"), F.lit(1).alias("rank"))
+    found = counts.unionAll(texts).unionAll(marks).where("book IS NOT NULL AND page IS NOT NULL")
+    own = F.max(F.when(F.col("rank") == 0, F.col("page")))
+    return found.groupBy("book").agg(F.coalesce(own, F.max("page")).alias("last"))
+
+
+def spans(outline: DataFrame, last: DataFrame) -> DataFrame:
     """(book, idx, page_start, page_end): an entry reaches to the page before
     the first later one that doesn't point backwards, at least over its own
-    page; an entry without one reaches to the last page of the outline."""
+    page; an entry without one reaches to the last page of the book.
+    ``last``: (book, last)."""
     nxt = _following(outline, "page", 1)
     pages = outline.select("book", F.col("idx").alias("at"), F.col("page").alias("next_page"))
-    last = F.max("page").over(Window.partitionBy("book"))
-    held = outline.withColumn("last", last).join(nxt, ["book", "idx"]).join(pages, ["book", "at"], "left")
-    end = F.when(F.col("next_page").isNull(), F.col("last")).otherwise(F.greatest("page", F.col("next_page") - 1))
+    held = outline.join(last, "book", "left").join(nxt, ["book", "idx"]).join(pages, ["book", "at"], "left")
+    end = F.when(F.col("next_page").isNull(), F.greatest("page", "last")).otherwise(F.greatest("page", F.col("next_page") - 1))
     return held.select("book", "idx", F.col("page").alias("page_start"), end.alias("page_end"))
 
 
 def chapters(outline: DataFrame) -> DataFrame:
-    """(book, idx, chapter): the chapter of the last numbered top-level entry
-    at or before each entry; an unnumbered entry at that level or above ends
-    it."""
-    number = T.chapter_number(F.col("title"))
-    top = outline.withColumn("number", F.when(T.section_number(F.col("title")).contains("."), None).otherwise(number))
-    level = F.last(F.when(F.col("number").isNotNull(), F.col("level")), ignorenulls=True).over(_earlier())
-    reset = F.col("number").isNull() & (F.col("level") <= level) & T.section_number(F.col("title")).isNull()
-    marked = top.withColumn("event", F.when(F.col("number").isNotNull(), F.col("number")).when(reset, F.lit(-1)))
-    return marked.select("book", "idx", F.nullif(F.last("event", ignorenulls=True).over(_so_far()), F.lit(-1)).alias("chapter"))
+    """(book, idx, chapter): the chapter of the last numbered entry on or
+    before the page of each entry, in page order; an unnumbered entry at the
+    level of the last chapter heading or above ends it."""
+    title, by_page = F.col("title"), Window.partitionBy("book").orderBy("page", "idx")
+    before = by_page.rowsBetween(Window.unboundedPreceding, -1)
+    number = T.chapter_number(title)
+    level = F.coalesce(F.last(F.when(T.is_chapter_heading(title), F.col("level")), ignorenulls=True).over(before), F.lit(0))
+    event = F.when(number.isNotNull(), number).when(F.col("level") <= level, F.lit(-1))
+    state = F.last("event", ignorenulls=True).over(by_page.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # all entries of a page have the chapter that its last one leaves
+    of_page = outline.withColumn("event", event).withColumn("state", state)
+    held = F.max_by("state", "idx").over(Window.partitionBy("book", "page"))
+    return of_page.select("book", "idx", F.nullif(held, F.lit(-1)).alias("chapter"))
 
 
 def parents(outline: DataFrame) -> DataFrame:
@@ -94,53 +110,102 @@ def parents(outline: DataFrame) -> DataFrame:
 
 
 def problems(outline: DataFrame) -> DataFrame:
-    """(book, entries, backwards, numbered): entries whose successor lies on an
-    earlier page, and entries with a section number."""
+    """(book, entries, backwards, numbered, problems): entries whose successor
+    lies on an earlier page, entries with a section number, and why an outline
+    can't be trusted."""
     step = outline.withColumn("back", F.lead("page").over(_down()) < F.col("page"))
-    return step.groupBy("book").agg(
+    per = step.groupBy("book").agg(
         F.count("*").alias("entries"), F.count_if("back").alias("backwards"),
         F.count_if(T.section_number(F.col("title")).isNotNull()).alias("numbered"),
     )
+    texts = F.array(
+        F.when(F.col("backwards") > 0, F.concat(F.col("backwards").cast("string"), F.lit(" of "), F.col("entries").cast("string"), F.lit(" entries are followed by one on an earlier page"))),
+        F.when(F.col("numbered") == 0, F.lit("no entry has a section number")),
+    )
+    return per.withColumn("problems", F.array_compact(texts))
 
 
 def number_outline(outline: DataFrame) -> DataFrame:
-    """(book, idx, number): for books without any numbered entry, chapters are
-    counted at level 0 and their children as N.k; other books keep null."""
-    any_number = F.max(T.chapter_number(F.col("title")).isNotNull() | T.section_number(F.col("title")).isNotNull()).over(Window.partitionBy("book"))
-    chapter = F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(_so_far())
-    held = outline.withColumn("any", any_number).withColumn("c", chapter)
-    child = F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(Window.partitionBy("book", "c").orderBy("idx"))
-    number = F.when(F.col("any") | (F.col("c") == 0), None).when(F.col("level") == 0, F.col("c").cast("string"))
-    number = number.when(F.col("level") == 1, F.concat_ws(".", F.col("c"), child))
-    return held.select("book", "idx", number.alias("number"))
-
-
-def section_ranges(outline: DataFrame) -> DataFrame:
-    """(book, section, page_start, page_end): runs of entries that belong to
-    one numbered section; a section begins at an entry with a new number."""
-    number = T.section_number(F.col("title"))
-    held = outline.withColumn("number", number)
-    held = held.withColumn("owner", F.last("number", ignorenulls=True).over(_so_far())).where("owner IS NOT NULL")
-    fresh = F.when(F.lag("owner").over(_down()).eqNullSafe(F.col("owner")), 0).otherwise(1)
-    runs = held.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(_so_far()))
-    starts = runs.groupBy("book", "run").agg(F.min_by("owner", "idx").alias("section"), F.min_by("page", "idx").alias("page_start"), F.max("page").alias("last"))
+    """(book, idx, number, dropped): numbers for outlines that have none at
+    all.  Chapters are the entries of level 0 that are no apparatus, from the
+    first with entries under it on; before it those without are title slides
+    and are dropped.  Entries of level 1 in a chapter are its sections N.k."""
+    title = F.col("title")
+    numbered = F.max(T.section_number(title).isNotNull() | ((F.col("level") == 0) & T.is_chapter_heading(title))).over(Window.partitionBy("book"))
+    top, plain = F.col("level") == 0, ~T.is_apparatus(title)
+    parent = F.coalesce(F.lead("level").over(_down()) > 0, F.lit(False))
+    first = F.min(F.when(F.col("top") & F.col("plain") & F.col("parent"), F.col("idx"))).over(Window.partitionBy("book"))
+    held = outline.select("book", "idx", "level", numbered.alias("numbered"), top.alias("top"), plain.alias("plain"), parent.alias("parent")).withColumn("first", first)
+    begun = F.coalesce(F.col("idx") >= F.col("first"), F.lit(False))
+    held = held.withColumn("opens", F.when(F.col("top"), begun & F.col("plain"))).withColumn("begun", begun)
+    chapter = F.count_if(F.coalesce("opens", F.lit(False))).over(_so_far())
+    held = held.withColumn("c", chapter).withColumn("within", F.last("opens", ignorenulls=True).over(_so_far())).withColumn("block", F.count_if("top").over(_so_far()))
+    second = F.coalesce((F.col("level") == 1) & F.col("within"), F.lit(False))
+    k = F.count_if(F.col("second")).over(Window.partitionBy("book", "block").orderBy("idx"))
+    held = held.withColumn("second", second).withColumn("k", k)
+    number = F.when(F.col("opens"), F.col("c").cast("string")).when(F.col("second"), F.concat_ws(".", F.col("c"), F.col("k")))
+    dropped = ~F.col("numbered") & F.col("top") & ~F.col("begun") & F.col("plain") & ~F.col("parent")
+    return held.select("book", "idx", F.when(~F.col("numbered"), number).alias("number"), dropped.alias("dropped"))
+
+
+def with_numbers(outline: DataFrame) -> DataFrame:
+    """The outline as ``number_outline`` leaves it: numbers before the titles,
+    title slides gone."""
+    made = outline.join(number_outline(outline), ["book", "idx"]).where("NOT dropped")
+    return made.withColumn("title", F.concat_ws(" ", "number", "title")).drop("number", "dropped")
+
+
+def section_ranges(outline: DataFrame, last: DataFrame) -> DataFrame:
+    """(book, run, title, section, level, page_start, page_end): the pages of
+    each numbered section with all that is under it, in page order.  A section
+    begins at an entry with a number other than the last one's; apparatus at a
+    section's level or above stands beside it, on its own; what comes before the first number
+    keeps the first title.  A range ends before the next one begins, the last
+    on the last page of the book.  ``last``: (book, last)."""
+    title = F.col("title")
+    facts = outline.select("book", "idx", "title", "level", "page", T.section_number(title).alias("section"), T.is_apparatus(title).alias("apparatus"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, owner = [], None
+        for r in rows.sort_values(["page", "idx"]).itertuples():
+            section = None if pd.isna(r.section) else r.section
+            if owner is None:
+                opens = True
+            elif section is None:
+                opens = r.apparatus and r.level <= owner[1]
+            else:
+                opens = section != owner[0]
+            if opens:
+                owner = (section, r.level)
+                kept.append((r.book, len(kept) + 1, r.title, section, r.level, r.page))
+        return pd.DataFrame(kept, columns=["book", "run", "title", "section", "level", "page_start"])
+
+    starts = facts.groupBy("book").applyInPandas(run, "book string, run bigint, title string, section string, level int, page_start int")
     over = Window.partitionBy("book").orderBy("run")
-    end = F.coalesce(F.greatest("page_start", F.lead("page_start").over(over) - 1), F.greatest("page_start", "last"))
-    return starts.select("book", "run", "section", "page_start", end.alias("page_end"))
+    nxt = F.lead("page_start").over(over)
+    end = F.when(nxt.isNotNull(), F.greatest("page_start", nxt - 1)).otherwise(F.greatest("page_start", "last"))
+    held = starts.join(last, "book", "left")
+    return held.select("book", "run", "title", "section", "level", "page_start", end.alias("page_end"))
 
 
 def deep(outline: DataFrame) -> DataFrame:
-    """(book, deep): whether an unnumbered entry stands under a section with a
-    dotted number."""
-    number = T.section_number(F.col("title"))
-    held = outline.withColumn("dotted", number.contains(".")).withColumn("number", number)
-    dotted_level = F.last(F.when(F.col("dotted"), F.col("level")), ignorenulls=True).over(_earlier())
-    since = F.last(F.when(F.col("dotted"), F.col("idx")), ignorenulls=True).over(_earlier())
-    held = held.withColumn("dl", dotted_level).withColumn("di", since)
-    # no entry between came up to the section's level
-    least = F.min("level").over(Window.partitionBy("book", "di").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    under = F.col("number").isNull() & F.col("di").isNotNull() & (least > F.col("dl"))
-    return held.withColumn("under", under).groupBy("book").agg(F.max(F.coalesce("under", F.lit(False))).alias("deep"))
+    """(book, deep): whether an unnumbered entry stands, at any depth, under a
+    section with a dotted number."""
+    facts = outline.select("book", "idx", "level", T.section_number(F.col("title")).alias("section"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        found, above = False, []  # levels of the open entries, and whether one of them or above has a dotted number
+        for level, section in zip(rows["level"], rows["section"]):
+            while above and above[-1][0] >= level:
+                above.pop()
+            under = bool(above) and above[-1][1]
+            bare = pd.isna(section)
+            found = found or (bare and under)
+            above.append((level, under or (not bare and "." in section)))
+        return pd.DataFrame({"book": [rows["book"].iloc[0]], "deep": [found]})
+
+    return facts.groupBy("book").applyInPandas(run, "book string, deep boolean")
 
 
 def outermost(outline: DataFrame) -> DataFrame:

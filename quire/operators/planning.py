@@ -1,111 +1,170 @@
 """Packing pages and sections into chunks of a token budget.
 
-Folds go over the rows of one book in order; they run on page numbers and
-lengths alone, and the texts are put together afterwards by a join."""
+Folds go over the rows of one book in order, as a stream of page numbers and
+lengths; a task holds the state of one fold, not the book.  The texts are put
+together afterwards by a join."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A line that opens a numbered section, a section's number of which the last
-#: digit stands apart, and the leader dots of a line of contents.
-_NUMBERED_LINE = re.compile(r"^[ \t\r]*(?:#{1,6}[ \t]+)?(\d{1,2}\.\d{1,2})[ \t\r]+(\S[^\n]*?)[ \t\r]*(?:\d{1,4})?[ \t\r]*$", re.MULTILINE)
-_DIGIT_APART = re.compile(r"^\d\s+(\S.*)$")
+from quire.functions import text as T
+
+#: A section's number of which the last digit stands apart, and the leader
+#: dots of a line of contents.
+_NUMBERED_LINE = re.compile(T.NUMBERED_LINE)
+_DIGIT_APART = re.compile(r"^(\d)\s+(\S.*)$")
 _LEADER = re.compile(r"(?:\.\s?){4,}")
+#: Characters between two pages of a chunk.
+GAP = 2
+
+
+def number_runs(rows: DataFrame, keys: list[str], order: str, facts: list[str], fold: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """(keys, order, run): ``rows`` in runs, counted from 0 for each key.
+    ``fold()`` makes the fold of one key: called with the facts of each row in
+    order, it says whether a run begins there.  Linear, in one pass."""
+    n = len(keys)
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, order)) + ", run int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begins, at = None, None, 0
+        for batch in batches:
+            runs = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if begins is None or row[:n] != now:
+                    now, begins, at = row[:n], fold(), 0
+                    begins(*row[n + 1 :])
+                elif begins(*row[n + 1 :]):
+                    at += 1
+                runs.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(runs, pa.int32())], names=[*keys, order, "run"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, order, *facts).repartition(parts, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+def section_heads(text: str | None) -> list[tuple[str, str]]:
+    """(number, title) of the lines of a text that open a numbered section."""
+    found = []
+    for number, rest in _NUMBERED_LINE.findall(text or ""):
+        title = html.unescape(rest.strip())
+        if (apart := _DIGIT_APART.match(title)) and number.count(".") == 1 and len(number.partition(".")[2]) == 1:
+            number, title = number + apart[1], apart[2]
+        if title[:1].isalnum() and not title[:1].islower() and not _LEADER.search(title):
+            found.append((number, title))
+    return found
 
 
-def _fold(rows: DataFrame, keys: list[str], order: str, size: str, cut: callable) -> DataFrame:
-    """Number the runs of ``rows``: a fold over (order, size) per key that
-    starts a new run where ``cut(size so far, size of the next)`` holds."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("run"), F.array().cast("array<struct<o:int,run:int>>").alias("out"))
+def slices(most: int, least: int) -> Callable[..., bool]:
+    """A fold over (size, opens) of pages, in characters: a slice ends before
+    the page that would make it too long and, once it holds ``least``, before
+    one that opens a section; never before it has text."""
+    held = 0
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (F.size(acc["out"]) > 0) & cut(acc["held"], x["s"])
-        run = acc["run"] + F.when(new, 1).otherwise(0)
-        held = F.when(new, x["s"]).otherwise(acc["held"] + x["s"])
-        return F.struct(held.alias("held"), run.alias("run"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("int").alias("o"), run.alias("run")))).alias("out"))
+    def begins(size: int, opens: bool | None) -> bool:
+        nonlocal held
+        new = held > 0 and (held + size > most or (held >= least and bool(opens)))
+        held = size if new else held + size
+        return new
 
-    folded = rows.groupBy(*keys).agg(F.aggregate(steps, zero, step)["out"].alias("out"))
-    return folded.select(*keys, F.explode("out").alias("x")).select(*keys, F.col("x.o").alias(order), "x.run")
+    return begins
 
 
-def opens_section(text: str | None) -> bool:
-    """Whether a numbered section opens on a page of this text."""
-    for number, rest in _NUMBERED_LINE.findall(text or ""):
-        title = html.unescape(rest.strip())
-        if (apart := _DIGIT_APART.match(title)) and re.fullmatch(r"\d+\.\d", number):
-            title = apart[1]
-        if title[:1].isalnum() and not title[:1].islower() and not _LEADER.search(title):
-            return True
-    return False
+def _sized(pages: DataFrame) -> DataFrame:
+    opens = F.col("opens") if "opens" in pages.columns else F.lit(False)
+    return pages.select("book", "page", F.when(F.col("length") > 0, F.col("length") + GAP).otherwise(0).alias("size"), opens.alias("opens"))
 
 
-def slice_pages(pages: DataFrame, max_tokens: int = 6000, min_tokens: int | None = None) -> DataFrame:
-    """(book, slice, first_page, last_page, chars): consecutive pages of a book
-    packed greedily; a page counts its characters and two for the gap.  With
-    ``min_tokens`` a slice that holds so many also ends before a page that
-    opens a section, and none ends before a page has text.
-    ``pages``: (book, page, length), and with ``min_tokens`` opens BOOLEAN."""
-    sized = pages.withColumn("size", F.when(F.col("length") > 0, F.col("length") + 2).otherwise(0))
-    if min_tokens is None:
-        runs = _fold(sized, ["book"], "page", "size", lambda held, s: held + s > 4 * max_tokens)
-    else:
-        base = F.lit(1 << 40)
-        marked = sized.withColumn("w", F.when(F.col("opens"), base).otherwise(F.lit(0)) + F.col("size"))
-        full = lambda held, s: held % base + s % base > 4 * max_tokens
-        runs = _fold(marked, ["book"], "page", "w", lambda held, s: (held % base > 0) & (full(held, s) | ((held % base >= 4 * min_tokens) & (s >= base))))
-    joined = runs.join(sized, ["book", "page"])
-    return joined.groupBy("book", F.col("run").alias("slice")).agg(
-        F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum("size").alias("chars")
+def _slice_rows(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("book", F.col("run").alias("slice")).agg(
+        F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum("size").cast("bigint").alias("chars")
     )
 
 
-def balanced_slices(pages: DataFrame, max_tokens: int = 6000) -> DataFrame:
-    """Slices as many as greedy packing makes, under the lowest of 20 evenly
-    rising ceilings that gives as many; all ceilings are tried in one pass."""
-    sized = pages.withColumn("size", F.when(F.col("length") > 0, F.col("length") + 2).otherwise(0))
-    total = sized.groupBy("book").agg(F.sum("size").alias("total"))
-    greedy = slice_pages(pages, max_tokens).groupBy("book").agg(F.count("*").alias("n"))
-    tries = total.join(greedy, "book").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    even = F.col("total") / F.col("n")
-    ceiling = F.ceil(even + (F.lit(4.0 * max_tokens) - even) * F.col("k") / 20)
-    tried = sized.join(tries.select("book", "n", "k", ceiling.alias("ceiling")), "book")
-    steps = F.array_sort(F.collect_list(F.struct("page", F.col("size").cast("bigint").alias("s"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("run"), F.array().cast("array<struct<page:int,run:int,s:bigint>>").alias("out"))
-    grouped = tried.groupBy("book", "n", "k", "ceiling").agg(steps.alias("steps"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (F.size(acc["out"]) > 0) & (acc["held"] + x["s"] > F.col("ceiling"))
-        run = acc["run"] + F.when(new, 1).otherwise(0)
-        held = F.when(new, x["s"]).otherwise(acc["held"] + x["s"])
-        return F.struct(held.alias("held"), run.alias("run"), F.concat(acc["out"], F.array(F.struct(x["page"].alias("page"), run.alias("run"), x["s"].alias("s")))).alias("out"))
-
-    folded = grouped.select("book", "n", "k", F.aggregate("steps", zero, step)["out"].alias("out"))
-    made = folded.withColumn("made", F.element_at("out", -1)["run"] + 1).where("made <= n")
-    best = made.groupBy("book").agg(F.min_by("out", "k").alias("out"))
-    rows = best.select("book", F.explode("out").alias("x"))
-    return rows.groupBy("book", F.col("x.run").alias("slice")).agg(
-        F.min("x.page").alias("first_page"), F.max("x.page").alias("last_page"), F.sum("x.s").alias("chars")
-    )
-
+def slice_pages(pages: DataFrame, max_tokens: int = 6000, min_tokens: int | None = None) -> DataFrame:
+    """(book, slice, first_page, last_page, chars): consecutive pages of a book
+    packed greedily; a page counts its characters and two for the gap.  Once it
+    holds ``min_tokens``, else the most, a slice also ends before a page that
+    opens a section.  ``pages``: (book, page, length, opens BOOLEAN)."""
+    sized = _sized(pages)
+    runs = number_runs(sized, ["book"], "page", ["size", "opens"], lambda: slices(4 * max_tokens, 4 * (min_tokens or max_tokens)))
+    return _slice_rows(runs.join(sized, ["book", "page"]))
+
+
+def even_cuts(sizes: list[int], opens: list[bool], max_tokens: int, min_tokens: int) -> list[int]:
+    """The slice of each page, as few slices as greedy packing makes, under the
+    lowest ceiling that gives as many: from an even share it rises by a
+    twentieth at a time."""
+
+    def cut(ceiling: int) -> list[int]:
+        begins, at, out = slices(4 * ceiling, 4 * min(min_tokens, ceiling)), 0, []
+        for k, (size, new) in enumerate(zip(sizes, opens)):
+            at += begins(size, new) and k > 0
+            out.append(at)
+        return out
+
+    greedy = cut(max_tokens)
+    n = greedy[-1] + 1
+    if n == 1:
+        return greedy
+    ceiling = max(sum(sizes) - GAP, 0) // 4 // n
+    while ceiling < max_tokens:
+        if (even := cut(ceiling))[-1] + 1 == n:
+            return even
+        ceiling += max(1, ceiling // 20)
+    return greedy
+
+
+def balanced_slices(pages: DataFrame, max_tokens: int = 6000, min_tokens: int = 3000) -> DataFrame:
+    """``slice_pages`` under the lowest ceiling that needs no more slices.  A
+    book's lengths are gone over once for each ceiling tried, at most about
+    twenty times the slices' unevenness; texts aren't touched."""
 
-def group_spans(spans: DataFrame, max_tokens: int, min_tokens: int) -> DataFrame:
-    """(book, idx, grp): consecutive sections of a chapter merged until the
-    floor is reached, never above the ceiling, whatever their level; by units
-    of the outline they are merged by ``group_units``.  ``spans``: (book, idx, chapter,
-    tokens); groups are numbered through a book."""
-    per = spans.withColumn("chapter", F.coalesce("chapter", F.lit(0)))
-    fresh = F.when(F.lag("chapter").over(Window.partitionBy("book").orderBy("idx")).eqNullSafe(F.col("chapter")), 0).otherwise(1)
-    islands = per.withColumn("f", fresh).withColumn("island", F.sum("f").over(Window.partitionBy("book").orderBy("idx")))
-    runs = _fold(islands, ["book", "island"], "idx", "tokens", lambda held, s: (held >= min_tokens) | (held + s > max_tokens))
-    over = Window.partitionBy("book").orderBy("island", "run")
-    return runs.select("book", "idx", (F.dense_rank().over(over) - 1).alias("grp"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("page")
+        return rows[["book", "page", "size"]].assign(run=even_cuts(rows["size"].tolist(), rows["opens"].fillna(False).tolist(), max_tokens, min_tokens))
+
+    cut = _sized(pages).groupBy("book").applyInPandas(run, "book string, page int, size int, run int")
+    return _slice_rows(cut)
+
+
+def fold_units(level: list[int], chapter: list, tokens: list[int], max_tokens: int, min_tokens: int, least: int = 150) -> list[tuple[int, int, int]]:
+    """Groups (start, stop, the group it is folded into) of entries, by units
+    of the outline, as ``group_units`` says."""
+    n = len(level)
+    before, ends, waiting = [0], [n] * n, []
+    for t in tokens:
+        before.append(before[-1] + t)
+    for k in range(n):
+        while waiting and (chapter[k] != chapter[k - 1] or level[k] <= level[waiting[-1]]):
+            ends[waiting.pop()] = k
+        waiting.append(k)
+    starts: list[int] = []
+    held, k = 0, 0
+    open_ = False  # whether the last group still takes units
+    while k < n:
+        end = ends[k] if before[ends[k]] - before[k] <= max_tokens else k + 1
+        size = before[end] - before[k]
+        apart = ends[k] > end or chapter[k] != chapter[starts[-1]] or held + size > max_tokens or (size >= min_tokens and held >= least) if open_ else True
+        if apart:
+            starts.append(k)
+            held = 0
+        held += size
+        open_ = held < min_tokens
+        k = end
+    out: list[tuple[int, int, int]] = []
+    for g, (a, z) in enumerate(zip(starts, [*starts[1:], n])):
+        into = out[-1][2] if out else g
+        joins = g and before[z] - before[a] < least and chapter[starts[into]] == chapter[a]
+        out.append((a, z, into if joins else g))
+    return out
 
 
 def group_units(spans: DataFrame, max_tokens: int, min_tokens: int, least: int = 150, skip: int = 50) -> DataFrame:
@@ -121,64 +180,36 @@ def group_units(spans: DataFrame, max_tokens: int, min_tokens: int, least: int =
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
-        level, tokens = rows["level"].tolist(), rows["tokens"].tolist()
-        chapter = [None if pd.isna(c) else c for c in rows["chapter"]]
-        n = len(level)
-        before, ends, waiting = [0], [n] * n, []
-        for t in tokens:
-            before.append(before[-1] + t)
-        for k in range(n):
-            while waiting and (chapter[k] != chapter[k - 1] or level[k] <= level[waiting[-1]]):
-                ends[waiting.pop()] = k
-            waiting.append(k)
-        starts: list[int] = []
-        held, k = 0, 0
-        open_ = False  # whether the last group still takes units
-        while k < n:
-            end = ends[k] if before[ends[k]] - before[k] <= max_tokens else k + 1
-            size = before[end] - before[k]
-            apart = ends[k] > end or chapter[k] != chapter[starts[-1]] or held + size > max_tokens or (size >= min_tokens and held >= least) if open_ else True
-            if apart:
-                starts.append(k)
-                held = 0
-            held += size
-            open_ = held < min_tokens
-            k = end
-        into: list[int] = []
+        tokens = rows["tokens"].tolist()
+        groups = fold_units(rows["level"].tolist(), [None if pd.isna(c) else c for c in rows["chapter"]], tokens, max_tokens, min_tokens, least)
         together: dict[int, int] = {}
-        for g, (a, z) in enumerate(zip(starts, [*starts[1:], n])):
-            size = before[z] - before[a]
-            joins = g and size < least and chapter[starts[into[-1]]] == chapter[a]
-            into.append(into[-1] if joins else g)
-            together[into[-1]] = together.get(into[-1], 0) + size
-        grp = [g for g, (a, z) in enumerate(zip(starts, [*starts[1:], n])) for _ in range(a, z)]
-        kept = [into[g] if together[into[g]] >= skip else None for g in grp]
+        for a, z, into in groups:
+            together[into] = together.get(into, 0) + sum(tokens[a:z])
+        grp = [g for g, (a, z, _) in enumerate(groups) for _ in range(a, z)]
+        kept = [into if together[into] >= skip else None for a, z, into in groups for _ in range(a, z)]
         return pd.DataFrame({"book": rows["book"], "idx": rows["idx"], "grp": grp, "into": pd.array(kept, "Int32")})
 
     held = spans.select("book", "idx", F.coalesce("level", F.lit(0)).alias("level"), "chapter", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
     return held.groupBy("book").applyInPandas(run, "book string, idx int, grp int, into int")
 
 
-def fold_small(groups: DataFrame, least: int = 150, skip: int = 50) -> DataFrame:
-    """(book, grp, into): groups under ``least`` tokens join the previous group
-    of their chapter, if there is one; what then stays under ``skip`` is
-    dropped.  ``groups``: (book, grp, chapter, tokens)."""
-    over = Window.partitionBy("book", "chapter").orderBy("grp")
-    first = F.row_number().over(over) == 1
-    anchor = F.when(first | (F.col("tokens") >= least), F.col("grp"))
-    into = F.last(anchor, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = groups.withColumn("into", into)
-    size = F.sum("tokens").over(Window.partitionBy("book", "into"))
-    return held.withColumn("size", size).where(F.col("size") >= skip).select("book", "grp", "into")
-
-
 def paginate(blocks: DataFrame, most: int = 3000) -> DataFrame:
     """(doc, pos, page): a page is closed before the next block once it holds
     ``most`` characters, and before a block that an outline points to.
     ``blocks``: (doc, pos, length, target)."""
-    sized = blocks.withColumn("w", F.when(F.col("target"), F.lit(1 << 40)).otherwise(F.lit(0)) + F.col("length"))
-    base = F.lit(1 << 40)
-    runs = _fold(sized, ["doc"], "pos", "w", lambda held, s: (held % base >= most) | (s >= base))
+
+    def fold() -> Callable[..., bool]:
+        held = 0
+
+        def begins(length: int, target: bool) -> bool:
+            nonlocal held
+            new = held >= most or target
+            held = length if new else held + length
+            return new
+
+        return begins
+
+    runs = number_runs(blocks, ["doc"], "pos", ["length", "target"], fold)
     return runs.select("doc", "pos", (F.col("run") + 1).alias("page"))
 
 
@@ -189,11 +220,34 @@ def oversized(chunks: DataFrame, budgets: DataFrame, books: DataFrame) -> DataFr
     return chunks.select("chunk_id", "book", size.alias("tokens")).join(limit, "book").where("tokens > max_tokens").select("chunk_id", "tokens", "max_tokens")
 
 
+def unique_in_order(names: list[str]) -> list[str]:
+    """Every name used once: a later use gets "-2", "-3" and so on, whichever
+    is free."""
+    used: set[str] = set()
+    next_free: dict[str, int] = {}
+    out = []
+    for name in names:
+        made, k = name, next_free.get(name, 2)
+        while made in used:
+            made, k = f"{name}-{k}", k + 1
+        next_free[name] = k
+        used.add(made)
+        out.append(made)
+    return out
+
+
 def unique_names(rows: DataFrame, key: str, name: str, order: str) -> DataFrame:
-    """Second and later uses of a name get "-2", "-3" and so on."""
-    n = F.row_number().over(Window.partitionBy(key, name).orderBy(order))
-    unique = F.when(n > 1, F.concat_ws("-", F.col(name), n)).otherwise(F.col(name))
-    return rows.withColumn("unique_name", unique)
+    """(order, unique_name): names made unique within a key, in order; null
+    names stay null.  Only keys, names and the order are gathered per key."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("o")
+        return pd.DataFrame({"o": rows["o"], "unique_name": unique_in_order(rows["n"].tolist())})
+
+    named = rows.where(F.col(name).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(order).alias("o")).distinct()
+    kind = rows.schema[order].dataType.simpleString()
+    made = named.groupBy("k").applyInPandas(run, f"o {kind}, unique_name string").withColumnRenamed("o", order)
+    return rows.select(order).distinct().join(made, order, "left")
 
 
 def batches(pages: DataFrame, size: int = 40) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import mathfont
 from quire.functions import text as T
-from quire.operators import cleaning, figures, listing, outline, planning, titles
+from quire.operators import cleaning, figures, listing, outline, plan, planning, titles
 from quire.operators.pages import holding, page_text, scanned_pages
 from quire.session import cut, table
 from quire.sources import html
@@ -68,7 +68,7 @@ def q_scanned_pages(spark, d):
 
 
 @query(rf"""WITH {PAGES} SELECT book, page FROM pages WHERE len(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){{4,}} *[0-9]{{1,4}}[ \t]*$')) >= 5
-OR (length(text) > 0 AND length(text) - length(regexp_replace(text, '(?:\. ?){{4,}}', '', 'g')) >= length(text) * 0.5)""")
+OR length(list_aggregate(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){{4,}} *[0-9]{{1,4}}[ \t]*$'), 'string_agg', '')) >= length(text) * 0.5""")
 def q_contents_page(spark, d):
     return pages(spark, d).where(T.is_contents_page(F.col("text"))).select("book", "page")
 
@@ -76,7 +76,7 @@ def q_contents_page(spark, d):
 @query(r"""WITH v(id, text) AS (VALUES (1, 'Intro ..... 3' || chr(10) || 'Sets . . . . . 12' || chr(10) || 'Maps ...... 20' || chr(10) || 'Rings ..... 31' || chr(10) || 'Fields .... 44'),
  (2, 'A plain page with one dot.'), (3, '........ ..... ....'), (4, ''))
 SELECT id, len(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){4,} *[0-9]{1,4}[ \t]*$')) >= 5
- OR (length(text) > 0 AND length(text) - length(regexp_replace(text, '(?:\. ?){4,}', '', 'g')) >= length(text) * 0.5) AS contents FROM v""")
+ OR coalesce(length(list_aggregate(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){4,} *[0-9]{1,4}[ \t]*$'), 'string_agg', '')) >= length(text) * 0.5, false) AS contents FROM v""")
 def q_contents_predicate(spark, d):
     rows = [(1, "Intro ..... 3\nSets . . . . . 12\nMaps ...... 20\nRings ..... 31\nFields .... 44"), (2, "A plain page with one dot."), (3, "........ ..... ...."), (4, "")]
     return spark.createDataFrame(rows, "id int, text string").select("id", T.is_contents_page(F.col("text")).alias("contents"))
@@ -166,11 +166,19 @@ def q_page_ranges(spark, d):
     return rows.select("id", F.inline(T.page_ranges(F.col("s"))))
 
 
-@query(f"""WITH {OUTLINE}, n AS (SELECT a.*, (SELECT arg_min(b.page, b.idx) FROM o b WHERE b.book = a.book AND b.idx > a.idx AND b.page >= a.page) AS next_page,
- max(page) OVER (PARTITION BY book) AS last FROM o a)
-SELECT book, idx, page AS page_start, CASE WHEN next_page IS NULL THEN last ELSE greatest(page, next_page - 1) END AS page_end FROM n""")
+LAST = """
+own AS (SELECT book, max(page) AS page FROM (SELECT slug AS book, page_count AS page FROM books UNION ALL SELECT book, page FROM page_texts) WHERE book IS NOT NULL AND page IS NOT NULL GROUP BY book),
+last AS (SELECT book, coalesce(own.page, max(b.page)) AS last FROM bookmarks b LEFT JOIN own USING (book) WHERE b.page IS NOT NULL GROUP BY book, own.page)"""
+
+
+def last_pages(spark, d):
+    return outline.last_pages(table(spark, d, "books"), table(spark, d, "page_texts"), table(spark, d, "bookmarks"))
+
+
+@query(f"""WITH {OUTLINE}, {LAST}, n AS (SELECT a.*, (SELECT arg_min(b.page, b.idx) FROM o b WHERE b.book = a.book AND b.idx > a.idx AND b.page >= a.page) AS next_page FROM o a)
+SELECT book, idx, page AS page_start, CASE WHEN next_page IS NULL THEN greatest(page, last) ELSE greatest(page, next_page - 1) END AS page_end FROM n JOIN last USING (book)""")
 def q_spans(spark, d):
-    return outline.spans(entries(spark, d))
+    return outline.spans(entries(spark, d), last_pages(spark, d))
 
 
 @query(f"""WITH {OUTLINE} SELECT a.book, a.idx, (SELECT max(b.idx) FROM o b WHERE b.book = a.book AND b.idx < a.idx AND b.level < a.level) AS parent FROM o a""")
@@ -183,44 +191,51 @@ def q_subtree_ends(spark, d):
     return outline.subtree_ends(entries(spark, d))
 
 
-_NUMBERED = f"""WITH {OUTLINE}, t AS (SELECT *, nullif(regexp_extract(trim(regexp_replace(title, '{B}+', ' ', 'g')), '{T.SECTION}', 1), '') AS section,
- TRY_CAST(nullif(regexp_extract(title, '{T.CHAPTER_NUMBER}', 1), '') AS INTEGER) AS chapter FROM o)
+_APPARATUS = "(regexp_replace(lower(regexp_replace(title, '[^\\p{L}\\p{N}]', '', 'g')), '^[0-9]+', '') IN (" + ", ".join(f"'{x}'" for x in T.APPARATUS) + f") OR regexp_matches(regexp_replace(lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '^[0-9]+', ''), '^(?:{'|'.join(T.APPARATUS_BEGINS)})'))"
+_NUMBERED = f"""WITH RECURSIVE {OUTLINE}, t AS (SELECT *, nullif(regexp_extract(trim(regexp_replace(title, '{B}+', ' ', 'g')), '{T.SECTION}', 1), '') AS section,
+ TRY_CAST(nullif(regexp_extract(title, '{T.CHAPTER_NUMBER}', 1), '') AS INTEGER) AS chapter, chapter IS NOT NULL AND NOT regexp_matches(title, '{T.CHAPTER_SECTION}') AS heads, {_APPARATUS} AS apparatus FROM o)
 """
 
 
-@query(_NUMBERED + """, s AS (SELECT *, lead(page) OVER (PARTITION BY book ORDER BY idx) < page AS back FROM t)
-SELECT book, count(*) AS entries, count(*) FILTER (WHERE back) AS backwards, count(*) FILTER (WHERE section IS NOT NULL) AS numbered FROM s GROUP BY book""")
+@query(_NUMBERED + """, s AS (SELECT *, lead(page) OVER (PARTITION BY book ORDER BY idx) < page AS back FROM t),
+c AS (SELECT book, count(*) AS entries, count(*) FILTER (WHERE back) AS backwards, count(*) FILTER (WHERE section IS NOT NULL) AS numbered FROM s GROUP BY book)
+SELECT *, list_filter([CASE WHEN backwards > 0 THEN backwards || ' of ' || entries || ' entries are followed by one on an earlier page' END, CASE WHEN numbered = 0 THEN 'no entry has a section number' END], lambda x: x IS NOT NULL) AS problems FROM c""")
 def q_outline_problems(spark, d):
     return outline.problems(entries(spark, d))
 
 
-@query(_NUMBERED + """, n AS (SELECT *, CASE WHEN section LIKE '%.%' THEN NULL ELSE chapter END AS number FROM t),
-l AS (SELECT *, last_value(CASE WHEN number IS NOT NULL THEN level END IGNORE NULLS) OVER (PARTITION BY book ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lv FROM n),
-e AS (SELECT *, CASE WHEN number IS NOT NULL THEN number WHEN level <= lv AND section IS NULL THEN -1 END AS event FROM l)
-SELECT book, idx, nullif(last_value(event IGNORE NULLS) OVER (PARTITION BY book ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS chapter FROM e""")
+@query(_NUMBERED + """, n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, idx) AS n FROM t),
+f AS (SELECT book, n, page, CASE WHEN chapter IS NOT NULL THEN chapter END AS now, CASE WHEN heads THEN level ELSE 0 END AS lv FROM n WHERE n = 1 UNION ALL
+ SELECT n.book, n.n, n.page, CASE WHEN n.chapter IS NOT NULL THEN n.chapter WHEN n.level <= f.lv THEN NULL ELSE f.now END, CASE WHEN n.heads THEN n.level ELSE f.lv END FROM f JOIN n ON n.book = f.book AND n.n = f.n + 1),
+p AS (SELECT book, page, arg_max(coalesce(now, -1), n) AS now FROM f GROUP BY book, page)
+SELECT t.book, idx, nullif(p.now, -1) AS chapter FROM t JOIN p ON p.book = t.book AND p.page = t.page""")
 def q_outline_chapter(spark, d):
     return outline.chapters(entries(spark, d))
 
 
-@query(_NUMBERED + """, a AS (SELECT *, bool_or(chapter IS NOT NULL OR section IS NOT NULL) OVER (PARTITION BY book) AS n, sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY idx) AS c FROM t),
-b AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book, c ORDER BY idx) AS k FROM a)
-SELECT book, idx, CASE WHEN n OR c = 0 THEN NULL WHEN level = 0 THEN CAST(c AS VARCHAR) WHEN level = 1 THEN c || '.' || k END AS number FROM b""")
+@query(_NUMBERED + """, a AS (SELECT *, bool_or(section IS NOT NULL OR (level = 0 AND heads)) OVER (PARTITION BY book) AS numbered, coalesce(lead(level) OVER (PARTITION BY book ORDER BY idx) > 0, false) AS parent FROM t),
+b AS (SELECT *, coalesce(idx >= min(idx) FILTER (WHERE level = 0 AND parent AND NOT apparatus) OVER (PARTITION BY book), false) AS begun FROM a),
+c AS (SELECT *, level = 0 AND begun AND NOT apparatus AS opens, (SELECT max(z.idx) FROM t z WHERE z.book = b.book AND z.level = 0 AND z.idx <= b.idx) AS top FROM b),
+d AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY book ORDER BY idx) AS n, max(CASE WHEN idx = top THEN opens END) OVER (PARTITION BY book, top) AS within FROM c),
+e AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book, top ORDER BY idx) AS k FROM d)
+SELECT book, idx, CASE WHEN numbered THEN NULL WHEN opens THEN CAST(n AS VARCHAR) WHEN level = 1 AND within THEN n || '.' || k END AS number,
+ NOT numbered AND level = 0 AND NOT begun AND NOT apparatus AND NOT parent AS dropped FROM e""")
 def q_number_outline(spark, d):
     return outline.number_outline(entries(spark, d))
 
 
-@query(_NUMBERED + """, w AS (SELECT *, last_value(section IGNORE NULLS) OVER (PARTITION BY book ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM t),
-x AS (SELECT *, CASE WHEN lag(owner) OVER (PARTITION BY book ORDER BY idx) IS NOT DISTINCT FROM owner THEN 0 ELSE 1 END AS fresh FROM w WHERE owner IS NOT NULL),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY book ORDER BY idx) AS run FROM x),
-g AS (SELECT book, run, arg_min(owner, idx) AS section, arg_min(page, idx) AS page_start, max(page) AS last FROM r GROUP BY book, run)
-SELECT book, CAST(run AS BIGINT) AS run, section, page_start, coalesce(greatest(page_start, lead(page_start) OVER (PARTITION BY book ORDER BY run) - 1), greatest(page_start, last)) AS page_end FROM g""")
+@query(_NUMBERED + f""", {LAST}, n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, idx) AS n FROM t),
+f AS (SELECT book, n, title, section, level, page, 1 AS run, section AS own, level AS lv, true AS opens FROM n WHERE n = 1 UNION ALL
+ SELECT n.book, n.n, n.title, n.section, n.level, n.page, f.run + CAST(x.opens AS INTEGER), CASE WHEN x.opens THEN n.section ELSE f.own END, CASE WHEN x.opens THEN n.level ELSE f.lv END, x.opens
+ FROM f JOIN n ON n.book = f.book AND n.n = f.n + 1, LATERAL (SELECT CASE WHEN n.section IS NULL THEN n.apparatus AND n.level <= f.lv ELSE n.section IS DISTINCT FROM f.own END AS opens) x),
+g AS (SELECT *, lead(page) OVER (PARTITION BY book ORDER BY run) AS following FROM f WHERE opens)
+SELECT book, CAST(run AS BIGINT) AS run, title, section, level, page AS page_start, CASE WHEN following IS NULL THEN greatest(page, last) ELSE greatest(page, following - 1) END AS page_end FROM g JOIN last USING (book)""")
 def q_section_ranges(spark, d):
-    return outline.section_ranges(entries(spark, d))
+    return outline.section_ranges(entries(spark, d), last_pages(spark, d))
 
 
-@query(_NUMBERED + """, u AS (SELECT a.book, a.idx, a.section IS NULL AND EXISTS (SELECT 1 FROM t b WHERE b.book = a.book AND b.section LIKE '%.%' AND b.idx =
-  (SELECT max(c.idx) FROM t c WHERE c.book = a.book AND c.idx < a.idx AND c.section LIKE '%.%') AND NOT EXISTS
-  (SELECT 1 FROM t m WHERE m.book = a.book AND m.idx > b.idx AND m.idx <= a.idx AND m.level <= b.level)) AS under FROM t a)
+@query(_NUMBERED + """, u AS (SELECT a.book, a.section IS NULL AND EXISTS (SELECT 1 FROM t b WHERE b.book = a.book AND b.section LIKE '%.%' AND b.idx < a.idx AND b.level < a.level AND NOT EXISTS
+  (SELECT 1 FROM t m WHERE m.book = a.book AND m.idx > b.idx AND m.idx < a.idx AND m.level <= b.level)) AS under FROM t a)
 SELECT book, bool_or(under) AS deep FROM u GROUP BY book""")
 def q_deep_outline(spark, d):
     return outline.deep(entries(spark, d))
@@ -237,62 +252,90 @@ def _sizes(spark, d):
     return cut(holding(rows.withColumn("length", F.length(page_text(rows))), F.col("length")))
 
 
-_SLICES = f"""WITH RECURSIVE {PAGES}, s AS (SELECT book, page, CASE WHEN text <> '' THEN length(text) + 2 ELSE 0 END AS size, row_number() OVER (PARTITION BY book ORDER BY page) AS n FROM pages),
+def _opening(spark, d):
+    return cut(pages(spark, d).select("book", "page", F.length("text").alias("length"), T.opens_section(F.col("text")).alias("opens")))
+
+
+# a line that opens a section: its title begins with a letter or digit that isn't in lower case and has no leader dots; a digit apart belongs to the number
+_OPENS = rf"""len(list_filter(list_transform(list_zip(regexp_extract_all(text, '{T.NUMBERED_LINE}', 1), regexp_extract_all(text, '{T.NUMBERED_LINE}', 2)),
+ lambda h: CASE WHEN regexp_full_match(h[1], '[0-9]+[.][0-9]') AND regexp_matches(h[2], '^[0-9]\s+\S') THEN regexp_replace(h[2], '^[0-9]\s+', '') ELSE h[2] END),
+ lambda t: regexp_matches(t, '^[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}]') AND NOT regexp_matches(t, '(?:\.\s?){{4,}}'))) > 0"""
+_SLICES = f"""WITH RECURSIVE {PAGES}, s AS (SELECT book, page, CASE WHEN text <> '' THEN length(text) + 2 ELSE 0 END AS size, {_OPENS} AS opens, row_number() OVER (PARTITION BY book ORDER BY page) AS n FROM pages),
 g AS (SELECT book, page, n, size AS held, size, 0 AS slice FROM s WHERE n = 1 UNION ALL
- SELECT s.book, s.page, s.n, CASE WHEN g.held + s.size > {{most}} THEN s.size ELSE g.held + s.size END, s.size, g.slice + CASE WHEN g.held + s.size > {{most}} THEN 1 ELSE 0 END FROM g JOIN s ON s.book = g.book AND s.n = g.n + 1)
+ SELECT s.book, s.page, s.n, CASE WHEN x.new THEN s.size ELSE g.held + s.size END, s.size, g.slice + CAST(x.new AS INTEGER)
+ FROM g JOIN s ON s.book = g.book AND s.n = g.n + 1, LATERAL (SELECT g.held > 0 AND (g.held + s.size > 24000 OR (g.held >= {{least}} AND s.opens)) AS new) x)
 SELECT book, slice, min(page) AS first_page, max(page) AS last_page, CAST(sum(size) AS BIGINT) AS chars FROM g GROUP BY book, slice"""
 
 
-@query(_SLICES.format(most=24000))
+@query(_SLICES.replace("{least}", "24000"))
 def q_slice_pages(spark, d):
-    return planning.slice_pages(_sizes(spark, d))
+    return planning.slice_pages(_opening(spark, d))
 
 
-@query()
+@query(_SLICES.replace("{least}", "12000"))
 def q_slice_sections(spark, d):
-    opens = F.udf(planning.opens_section, "boolean")
-    return planning.slice_pages(cut(pages(spark, d).select("book", "page", F.length("text").alias("length"), opens("text").alias("opens"))), 6000, 3000)
+    return planning.slice_pages(_opening(spark, d), 6000, 3000)
 
 
 @query()
 def q_balanced(spark, d):
-    return planning.balanced_slices(_sizes(spark, d))
+    return planning.balanced_slices(_opening(spark, d))
+
+
+# units of the outline: an entry with its subtree in its chapter, if that fits; groups by the rules of fold_units
+_UNITS = """WITH RECURSIVE s0 AS (SELECT DISTINCT book, idx, coalesce(level, 0) AS level, coalesce(outline_chapter, -1) AS chapter, coalesce(tokens, 0) AS tokens FROM spans WHERE book IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY idx) AS n, sum(tokens) OVER (PARTITION BY book ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b4, count(*) OVER (PARTITION BY book) AS entries, sum(tokens) OVER (PARTITION BY book) AS total FROM s0),
+e AS (SELECT a.*, coalesce((SELECT min(z.n) FROM s z WHERE z.book = a.book AND z.n > a.n AND (z.level <= a.level OR z.chapter <> a.chapter)), entries + 1) AS stop FROM s a),
+p AS (SELECT e.*, coalesce(z.b4, CASE WHEN e.stop > e.entries THEN e.total ELSE 0 END) - coalesce(e.b4, 0) AS whole FROM e LEFT JOIN s z ON z.book = e.book AND z.n = e.stop),
+q AS (SELECT book, idx, n, level, chapter, stop, entries, CASE WHEN whole <= 6000 THEN stop ELSE n + 1 END AS unit_end, CASE WHEN whole <= 6000 THEN whole ELSE tokens END AS size FROM p),
+u AS (SELECT book, n, unit_end, size, chapter, CAST(size AS BIGINT) AS held, size < 3000 AS open, 0 AS grp, chapter AS gchapter FROM q WHERE n = 1 UNION ALL
+ SELECT q.book, q.n, q.unit_end, q.size, q.chapter, CASE WHEN x.apart THEN q.size ELSE u.held + q.size END, (CASE WHEN x.apart THEN q.size ELSE u.held + q.size END) < 3000, u.grp + CAST(x.apart AS INTEGER), CASE WHEN x.apart THEN q.chapter ELSE u.gchapter END
+ FROM u JOIN q ON q.book = u.book AND q.n = u.unit_end, LATERAL (SELECT NOT u.open OR q.stop > q.unit_end OR q.chapter <> u.gchapter OR u.held + q.size > 6000 OR (q.size >= 3000 AND u.held >= 150) AS apart) x),
+m AS (SELECT s.book, s.idx, s.tokens, u.grp, u.gchapter FROM s JOIN u ON u.book = s.book AND s.n >= u.n AND s.n < u.unit_end),
+t AS (SELECT book, grp, any_value(gchapter) AS chapter, sum(tokens) AS tokens FROM m GROUP BY book, grp),
+r AS (SELECT book, grp, chapter, tokens, grp AS into_grp, chapter AS ichapter FROM t WHERE grp = 0 UNION ALL
+ SELECT t.book, t.grp, t.chapter, t.tokens, CASE WHEN t.tokens < 150 AND r.ichapter = t.chapter THEN r.into_grp ELSE t.grp END, t.chapter FROM r JOIN t ON t.book = r.book AND t.grp = r.grp + 1),
+k AS (SELECT *, sum(tokens) OVER (PARTITION BY book, into_grp) AS together FROM r)
+SELECT m.book, m.idx, m.grp, CASE WHEN k.together >= 50 THEN k.into_grp END AS "into" FROM m JOIN k USING (book, grp)"""
+
+
+@query(_UNITS)
+def q_group_units(spark, d):
+    rows = table(spark, d, "spans").where("book IS NOT NULL").select("book", "idx", "level", F.col("outline_chapter").alias("chapter"), "tokens").distinct()
+    return planning.group_units(rows, 6000, 3000)
 
 
-_GROUPS = """WITH RECURSIVE s0 AS (SELECT DISTINCT book, idx, coalesce(outline_chapter, 0) AS chapter, coalesce(tokens, 0) AS tokens FROM spans WHERE book IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY idx) AS n FROM s0),
-g AS (SELECT book, idx, n, chapter, CAST(tokens AS BIGINT) AS held, tokens, 0 AS grp FROM s WHERE n = 1 UNION ALL
- SELECT s.book, s.idx, s.n, s.chapter, CASE WHEN x.cut THEN s.tokens ELSE g.held + s.tokens END, s.tokens, g.grp + CASE WHEN x.cut THEN 1 ELSE 0 END
- FROM g JOIN s ON s.book = g.book AND s.n = g.n + 1, LATERAL (SELECT s.chapter <> g.chapter OR g.held >= 3000 OR g.held + s.tokens > 6000 AS cut) x)
-"""
+@query(_UNITS.rpartition("SELECT m.book")[0] + "SELECT book, idx, grp FROM m")
+def q_group_spans(spark, d):
+    return q_group_units(spark, d).select("book", "idx", "grp")
 
 
-def _groups(spark, d):
-    rows = table(spark, d, "spans").where("book IS NOT NULL")
-    rows = rows.select("book", "idx", F.coalesce("outline_chapter", F.lit(0)).alias("chapter"), F.coalesce("tokens", F.lit(0)).alias("tokens")).distinct()
-    return rows, planning.group_spans(rows, 6000, 3000)
+@query(_UNITS.rpartition("SELECT m.book")[0] + """SELECT book, grp, into_grp AS "into" FROM k WHERE together >= 50""")
+def q_fold_small(spark, d):
+    return q_group_units(spark, d).where("`into` IS NOT NULL").select("book", "grp", "into").distinct()
 
 
-@query(_GROUPS + "SELECT book, idx, grp FROM g")
-def q_group_spans(spark, d):
-    return _groups(spark, d)[1]
+def plan_parts(spark, d):
+    """The pages of all spans of all books, trimmed."""
+    rows = table(spark, d, "page_texts")
+    held = cut(holding(rows.withColumn("text", page_text(rows)), F.col("text"), F.col("layer")))
+    clean = plan.readable(held, cleaning.furniture(held))
+    spans = plan.planned_spans(entries(spark, d), last_pages(spark, d))
+    return cut(plan.span_pages(spans, clean))
 
 
-@query(_GROUPS + """, t AS (SELECT book, grp, chapter, sum(tokens) AS tokens FROM g GROUP BY book, grp, chapter),
-a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY book, chapter ORDER BY grp) = 1 OR tokens >= 150 THEN grp END AS anchor FROM t),
-i AS (SELECT *, last_value(anchor IGNORE NULLS) OVER (PARTITION BY book, chapter ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS into_grp FROM a),
-z AS (SELECT *, sum(tokens) OVER (PARTITION BY book, into_grp) AS size FROM i)
-SELECT book, grp, into_grp AS "into" FROM z WHERE size >= 50""")
-def q_fold_small(spark, d):
-    rows, groups = _groups(spark, d)
-    per = groups.join(rows, ["book", "idx"]).groupBy("book", "grp", "chapter").agg(F.sum("tokens").alias("tokens"))
-    return planning.fold_small(per)
+@query()
+def q_plan(spark, d):
+    parts = plan_parts(spark, d)
+    chunks = cut(plan.plan(parts))
+    texts = plan.chunk_texts(chunks, parts).select("book", "ord", F.md5("text").alias("digest"), F.length("text").alias("chars"))
+    return chunks.drop("pages").join(texts, ["book", "ord"], "left")
 
 
-@query()
-def q_group_units(spark, d):
-    rows = table(spark, d, "spans").where("book IS NOT NULL").select("book", "idx", "level", F.col("outline_chapter").alias("chapter"), "tokens").distinct()
-    return planning.group_units(rows, 6000, 3000)
+@query("""WITH t AS (SELECT book, chapter, arg_min(coalesce(title, ''), ord) FILTER (WHERE section = CAST(chapter AS VARCHAR)) AS title FROM chunks WHERE chapter IS NOT NULL GROUP BY book, chapter)
+SELECT book, chapter, coalesce(title, '') AS title FROM t""")
+def q_chapter_titles(spark, d):
+    return plan.chapter_titles(table(spark, d, "chunks"))
 
 
 @query("""WITH RECURSIVE b AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, coalesce(length(text), 0) AS length, coalesce(text LIKE '# %', false) AS target FROM documents WHERE source IS NOT NULL),
@@ -306,8 +349,12 @@ def q_paginate(spark, d):
     return planning.paginate(blocks)
 
 
-@query("""SELECT chunk_id, CASE WHEN n > 1 THEN concat_ws('-', section, n) ELSE section END AS unique_name FROM
- (SELECT chunk_id, section, row_number() OVER (PARTITION BY book, section ORDER BY chunk_id) AS n FROM chunks)""")
+# in order: a name that is used gets the first free number
+@query("""WITH RECURSIVE c AS (SELECT book, chunk_id, section, row_number() OVER (PARTITION BY book ORDER BY chunk_id) AS n FROM (SELECT DISTINCT book, chunk_id, section FROM chunks WHERE section IS NOT NULL)),
+w AS (SELECT book, chunk_id, n, section AS made, [section] AS used FROM c WHERE n = 1 UNION ALL
+ SELECT c.book, c.chunk_id, c.n, x.made, list_append(w.used, x.made) FROM w JOIN c ON c.book IS NOT DISTINCT FROM w.book AND c.n = w.n + 1,
+ LATERAL (SELECT CASE WHEN NOT list_contains(w.used, c.section) THEN c.section ELSE c.section || '-' || (SELECT min(k) FROM range(2, len(w.used) + 3) t(k) WHERE NOT list_contains(w.used, c.section || '-' || k)) END AS made) x)
+SELECT chunk_id, made AS unique_name FROM w UNION ALL SELECT chunk_id, NULL FROM chunks WHERE section IS NULL GROUP BY chunk_id""")
 def q_unique_suffix(spark, d):
     return planning.unique_names(table(spark, d, "chunks"), "book", "section", "chunk_id").select("chunk_id", "unique_name")
 

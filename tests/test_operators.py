@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import figures, notes, outline, planning, stages, state, verify
+from quire.operators import figures, notes, outline, plan, planning, stages, state, verify
 from quire.streaming.queue import consume, event_stream, windowed_counts
 
 DAY = datetime(2024, 1, 1)
@@ -28,8 +28,8 @@ def test_scalars(spark):
 
 def test_spans_tile(spark):
     rows = [("b", 0, "1 A", 0, 71), ("b", 1, "1.1 B", 1, 73), ("b", 2, "1.2 C", 1, 74), ("b", 3, "2 D", 0, 90), ("b", 4, "Back", 0, 10), ("b", 5, "End", 0, 120)]
-    found = outline.spans(outline.entries(spark.createDataFrame(rows, "book string, idx int, title string, level int, page int")))
-    assert [(r.page_start, r.page_end) for r in found.orderBy("idx").collect()] == [(71, 72), (73, 73), (74, 89), (90, 119), (10, 119), (120, 120)]
+    found = outline.spans(outline.entries(spark.createDataFrame(rows, "book string, idx int, title string, level int, page int")), spark.createDataFrame([("b", 131)], "book string, last int"))
+    assert [(r.page_start, r.page_end) for r in found.orderBy("idx").collect()] == [(71, 72), (73, 73), (74, 89), (90, 119), (10, 119), (120, 131)]
 
 
 def test_parents_of_deep_outlines(spark):
@@ -48,7 +48,11 @@ def test_groups_of_outline_units(spark):
 
 
 def test_slices_end_before_sections(spark):
-    assert planning.opens_section("x\n## 2.1 1 Title 7") and not planning.opens_section("2.1 shows\n2.2 A ..... 7\n3 Title") and not planning.opens_section(None)
+    opens_section = lambda text: bool(planning.section_heads(text))
+    texts = ["x\n## 2.1 1 Title 7", "2.1 shows\n2.2 A ..... 7\n3 Title", "1.2 1 lower", "# 4.2 (a)", "", "a\r\n12.3\tŁódź\r\nb"]
+    given = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    assert [r.o for r in given.orderBy("k").select(T.opens_section(F.col("text")).alias("o")).collect()] == [opens_section(t) for t in texts]
+    assert opens_section("x\n## 2.1 1 Title 7") and not opens_section("2.1 shows\n2.2 A ..... 7\n3 Title") and not opens_section(None)
     rows = [("b", p, n, opens) for p, n, opens in ((1, 0, False), (2, 50, True), (3, 10, False), (4, 10, True), (5, 30, False), (6, 10, True))]
     pages = spark.createDataFrame(rows, "book string, page int, length int, opens boolean")
     assert [(r.first_page, r.last_page) for r in planning.slice_pages(pages, 10, 4).orderBy("slice").collect()] == [(1, 2), (3, 4), (5, 5), (6, 6)]
@@ -120,3 +124,58 @@ def test_streams(spark, tmp_path):
     windows = windowed_counts(event_stream(spark, str(tmp_path / "in"), "events.parquet"))
     windows.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("w").first().events == 5
+
+
+def book(spark, marks, pages):
+    outlined = spark.createDataFrame([("b", k, *m) for k, m in enumerate(marks)], "book string, idx int, title string, level int, page int")
+    last = spark.createDataFrame([("b", len(pages))], "book string, last int")
+    texts = spark.createDataFrame([("b", k, t) for k, t in enumerate(pages, 1)], "book string, page int, text string")
+    return plan.span_pages(plan.planned_spans(outline.entries(outlined), last), texts)
+
+
+def test_plan_of_a_numbered_book(spark):
+    fill = lambda word, n: " ".join([word] * n)
+    pages = [
+        "Contents", f"# Chapter 1 Start\n\n{fill('alpha', 90)}\n\n## 1.1 First\n\n{fill('beta', 100)}", f"{fill('gamma', 100)}\n\n1.2 Second\n\n{fill('delta', 100)}",
+        "", f"## 1.3 Third\n\n```\nx = 1\n## 2 Next\n```\n{fill('eps', 200)}", fill("zeta", 100),
+    ]
+    marks = [("Contents", 0, 1), ("Chapter 1 Start", 0, 2), ("1.1 First", 1, 2), ("1.2 Sec ond", 1, 3), ("1.3 Third", 1, 5), ("2 Next", 0, 5)]
+    parts = book(spark, marks, pages).cache()
+    assert parts.where("title = 'Contents'").count() == 0
+    text = {(r.span, r.page): r.text for r in parts.collect()}
+    assert text[1, 2].endswith("alpha") and text[2, 2].startswith("## 1.1 First") and "delta" not in text[2, 3] and text[3, 3].startswith("1.2 Second")
+    # a title inside a listing cuts it there; both halves are whole listings
+    assert text[4, 5].endswith("x = 1\n```") and text[5, 5].startswith("```\n## 2 Next")
+    chunks = plan.plan(parts, 300, 150).orderBy("ord").collect()
+    # 139, 278, 152, 7, 204 and 124 tokens: the chapter's section must be cut, 1.3 is folded into 1.2, the second half of 2 into the first
+    assert [(c.section, c.title, c.chapter, c.page_start, c.page_end, c.parts) for c in chunks] == [
+        ("1", "Start", 1, 2, 2, []), ("1.1", "First", 1, 2, 3, []), ("1.2", "Second", 1, 3, 5, ["1.2 Second", "1.3 Third"]), ("2", "Next", 2, 5, 6, []),
+    ]
+    whole = {r.ord: r.text for r in plan.chunk_texts(plan.plan(parts, 300, 150), parts).collect()}
+    assert whole[1].startswith("# Chapter 1 Start") and whole[2].endswith("gamma") and whole[2].startswith("## 1.1") and "delta" in whole[3] and whole[4].endswith("zeta")
+
+
+def test_outlines_against_the_rules(spark):
+    make = lambda rows: outline.entries(spark.createDataFrame([("b", k, *r) for k, r in enumerate(rows)], "book string, idx int, title string, level int, page int"))
+    last = spark.createDataFrame([("b", 50)], "book string, last int")
+    # an unnumbered sibling of 1.1.1 stands under 1.1; under a chapter alone is not deep
+    assert outline.deep(make([("1.1 A", 0, 1), ("1.1.1 B", 1, 2), ("C", 1, 3)])).first().deep
+    assert not outline.deep(make([("1 A", 0, 1), ("B", 1, 2), ("1.1 C", 0, 3), ("D", 0, 4)])).first().deep
+    # ranges: what repeats the number belongs to the section, apparatus beside it doesn't, the last one ends with the book
+    rows = [("Preface", 0, 1), ("1.1 A", 0, 3), ("Lesson", 1, 4), ("1.1 A again", 1, 6), ("1.2 B", 0, 9), ("Index", 1, 12), ("Index", 0, 20), ("1.2 B", 0, 30)]
+    found = outline.section_ranges(make(rows), last).orderBy("run").collect()
+    assert [(r.title, r.page_start, r.page_end) for r in found] == [("Preface", 1, 2), ("1.1 A", 3, 8), ("1.2 B", 9, 19), ("Index", 20, 29), ("1.2 B", 30, 50)]
+    # a course: the title slide goes, apparatus gets no number
+    rows = [("Title slide", 0, 1), ("About this document", 0, 2), ("Basics", 0, 3), ("Setup", 1, 4), ("Slide", 2, 5), ("Use", 1, 6), ("Licensing", 0, 7), ("Last slides", 0, 8), ("Thanks", 1, 9)]
+    found = outline.number_outline(make(rows)).orderBy("idx").collect()
+    assert [(r.number, r.dropped) for r in found] == [(None, True), (None, False), ("1", False), ("1.1", False), (None, False), ("1.2", False), ("2", False), (None, False), (None, False)]
+    # an appendix at the chapter's level ends the chapter
+    rows = [("Chapter 1 A", 0, 1), ("x", 1, 2), ("1.1 y", 1, 2), ("Appendix", 0, 9), ("z", 1, 10)]
+    assert [r.chapter for r in outline.chapters(make(rows)).orderBy("idx").collect()] == [1, 1, 1, None, None]
+
+
+def test_even_cuts_and_names():
+    sizes, opens = [4000] * 6 + [1200], [False] * 7
+    assert planning.even_cuts(sizes, opens, 6000, 3000) == [0, 0, 0, 1, 1, 1, 1]  # under 3306 tokens, not 3149
+    assert planning.even_cuts([100], [True], 6000, 3000) == [0] and planning.even_cuts([50000, 10], [False] * 2, 6000, 3000) == [0, 1]
+    assert planning.unique_in_order(["a", "a-2", "a", "a", "b"]) == ["a", "a-2", "a-3", "a-4", "b"]
