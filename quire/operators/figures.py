@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +53,13 @@ def bands(figures: DataFrame, pages: int = 5, tolerance: float = 2.0) -> DataFra
 
 def in_chunks(figures: DataFrame, chunks: DataFrame) -> DataFrame:
     """(chunk_id, figure_id): figures whose page lies in a chunk's range.  The
-    range is opened into pages, so the join is one of equality."""
-    pages = chunks.select("chunk_id", "book", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    return pages.join(figures.select("figure_id", "book", "page"), ["book", "page"]).select("chunk_id", "figure_id")
+    range is opened into pages, so the join is one of equality; only as far as
+    the book has figures, and a range that ends before it begins is empty."""
+    last = figures.groupBy("book").agg(F.max("page").alias("last"))
+    held = chunks.select("chunk_id", "book", "page_start", "page_end").join(last, "book")
+    held = held.withColumn("a", F.greatest("page_start", F.lit(1))).withColumn("z", F.least("page_end", "last")).where("page_start IS NOT NULL AND page_end IS NOT NULL AND a <= z")
+    pages = held.select("chunk_id", "book", F.explode(F.sequence("a", "z")).alias("page"))
+    return pages.join(figures.select("figure_id", "book", "page"), ["book", "page"]).select("chunk_id", "figure_id").distinct()
 
 
 def carried_heading(figures: DataFrame) -> DataFrame:
@@ -85,28 +91,51 @@ def same_pictures(sightings: DataFrame, bits: int = 4) -> DataFrame:
     return met.where(apart <= bits).select("a", "b", apart.alias("apart")).distinct()
 
 
-def repeated(sightings: DataFrame, pages: int = 3, span: int = 20, bits: int = 4, tolerance: float = 2.0) -> DataFrame:
-    """(book, id) of pictures that recur: sightings (book, id, hash, page,
-    width, height) gather round the first of their kind in page order; a
-    cluster on ``pages`` distinct pages that reach over ``span`` is dropped."""
+def kinds(sightings: DataFrame, bits: int = 4, tolerance: float = 2.0) -> DataFrame:
+    """(book, id, page, kind): sightings (book, id, hash, page, width, height)
+    by the first picture of their kind in page order that they look like.
+    Firsts are looked up by the slices of their hashes: two hashes at most
+    ``bits`` apart agree in one of bits + 1 slices.  One pass over a book."""
+    ends = [64 * k // (bits + 1) for k in range(bits + 2)]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, float, float, list]] = []
-        for r in rows.sort_values(["page", "id"]).itertuples():
-            for h, w, t, held in leaders:
-                if ((h ^ r.hash) & ((1 << 64) - 1)).bit_count() <= bits and abs(w - r.width) <= tolerance and abs(t - r.height) <= tolerance:
-                    held.append(r)
-                    break
-            else:
-                leaders.append((r.hash, r.width, r.height, [r]))
-        gone = [
-            (r.book, r.id) for *_, held in leaders
-            if len({x.page for x in held}) >= pages and max(x.page for x in held) - min(x.page for x in held) >= span
-            for r in held
-        ]
-        return pd.DataFrame(gone, columns=["book", "id"])
-
-    return sightings.groupBy("book").applyInPandas(run, sightings.select("book", "id").schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, firsts, by_slice = None, [], {}
+        for batch in batches:
+            found = []
+            for book, page, _, signed, width, height in zip(*(c.to_pylist() for c in batch.columns)):
+                if book != now:
+                    now, firsts, by_slice = book, [], {}
+                h = signed & ((1 << 64) - 1)
+                keys = [(k, h >> a & ((1 << (z - a)) - 1)) for k, (a, z) in enumerate(zip(ends, ends[1:]))]
+                like = lambda f: (f[0] ^ h).bit_count() <= bits and abs(f[1] - width) <= tolerance and abs(f[2] - height) <= tolerance
+                kind = min((n for key in keys for n in by_slice.get(key, ()) if like(firsts[n])), default=len(firsts))
+                if kind == len(firsts):
+                    firsts.append((h, width, height))
+                    for key in keys:
+                        by_slice.setdefault(key, []).append(kind)
+                found.append(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(found, pa.int32())], names=["book", "id", "page", "kind"])
+
+    facts = ["book", "page", "id", "hash", "width", "height"]
+    schema = ", ".join(f"{c} {sightings.schema[c].dataType.simpleString()}" for c in ("book", "id", "page")) + ", kind int"
+    parts = int(sightings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sightings.dropna(subset=facts).select(*facts).repartition(parts, "book").sortWithinPartitions("book", "page", "id").mapInArrow(run, schema)
+
+
+def repeated(sightings: DataFrame, pages: int = 3, span: int = 20, bits: int = 4, tolerance: float = 2.0) -> DataFrame:
+    """(book, id) of pictures that recur: of a kind that stands on ``pages``
+    distinct pages which reach over ``span``."""
+    held = kinds(sightings, bits, tolerance)
+    often = held.groupBy("book", "kind").agg(F.countDistinct("page").alias("n"), (F.max("page") - F.min("page")).alias("reach"))
+    return held.join(often.where((F.col("n") >= pages) & (F.col("reach") >= span)), ["book", "kind"], "left_semi").select("book", "id")
+
+
+def without_repeated(figures: DataFrame, sightings: DataFrame, **limits) -> DataFrame:
+    """Figures but those without a caption whose picture recurs."""
+    gone = repeated(sightings, **limits).distinct()
+    bare = F.coalesce("caption", F.lit("")) == ""
+    kept = figures.where(~bare)
+    return kept.unionByName(figures.where(bare).join(gone, ["book", "id"], "left_anti").select(figures.columns))
 
 
 def embeds(figures: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import figures, notes, outline, plan, planning, stages, state, verify
+from quire.operators import figures, listing, notes, outline, plan, planning, stages, state, verify
 from quire.streaming.queue import consume, event_stream, windowed_counts
 
 DAY = datetime(2024, 1, 1)
@@ -179,3 +179,30 @@ def test_even_cuts_and_names():
     assert planning.even_cuts(sizes, opens, 6000, 3000) == [0, 0, 0, 1, 1, 1, 1]  # under 3306 tokens, not 3149
     assert planning.even_cuts([100], [True], 6000, 3000) == [0] and planning.even_cuts([50000, 10], [False] * 2, 6000, 3000) == [0, 1]
     assert planning.unique_in_order(["a", "a-2", "a", "a", "b"]) == ["a", "a-2", "a-3", "a-4", "b"]
+
+
+def test_kinds_of_pictures(spark):
+    # chain: 0 and 4 bits are 4 apart, 0b11110000 is 4 from that and 8 from the first
+    rows = [(1, 0, 1, 10.0), (2, 0b1111, 5, 10.0), (3, 0b11110000, 6, 10.0), (4, 0, 21, 11.9), (5, 0, 40, 12.1), (6, 0b11111111, 41, 10.0), (7, None, 50, 10.0)]
+    given = spark.createDataFrame([("b", i, h, p, w, 10.0) for i, h, p, w in rows], "book string, id int, hash bigint, page int, width double, height double")
+    assert {r.id: r.kind for r in figures.kinds(given).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 2}
+    assert sorted(r.id for r in figures.repeated(given).collect()) == [1, 2, 3, 4]
+    assert figures.repeated(given, span=21).count() == 0
+    pictures = spark.createDataFrame([("b", 1, None), ("b", 2, "kept"), ("b", 6, "")], "book string, id int, caption string")
+    assert sorted(r.id for r in figures.without_repeated(pictures, given).collect()) == [2, 6]
+
+
+def test_listing_layout(spark):
+    cell = lambda row, x, c, width=6.0, blank=False: ("b", 1, 1, c, 10.0 + x, 100.0 - 10 * row, 10 + x + width, 108.0 - 10 * row, blank)
+    rows = [cell(0, 6.0 * k, c) for k, c in enumerate("if x:") if c != " "] + [cell(1, 24 + 6.0 * k, c) for k, c in enumerate("y“a”")]
+    rows += [cell(2, -30, "N", 9.0), cell(2, -19, "o", 4.0), cell(2, -14.9, "t", 3.0, True)] + [cell(3, 6.0 * k + (1.5 if k else 0), c) for k, c in enumerate("ab")]
+    glyphs = spark.createDataFrame(rows, "book string, page int, box int, text string, left double, bottom double, right double, top double, space_before boolean")
+    # prose left of the code doesn't move its margin; a narrow gap is a blank
+    assert listing.layout(glyphs).first().text.split("\n") == ["if x:", '    y"a"', "N o t", "a b"]
+    assert listing.layout(glyphs.limit(0)).count() == 0
+
+
+def test_figures_of_bad_ranges(spark):
+    pictures = spark.createDataFrame([(k, "b", k) for k in (1, 2, 3)], "figure_id int, book string, page int")
+    chunks = spark.createDataFrame([(1, "b", 2, 1), (2, "b", 2, 2**31 - 1), (3, "b", None, 3), (4, "c", 1, 3)], "chunk_id int, book string, page_start int, page_end int")
+    assert sorted(map(tuple, figures.in_chunks(pictures, chunks).collect())) == [(2, 2), (2, 3)]

@@ -5,12 +5,12 @@ from datetime import datetime
 import pytest
 
 from quire.sources import log, sinks
-from quire.sources.epub import EpubDataSource, read_epub
+from quire.sources.epub import read_books
 from quire.sources.html import html_blocks
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/p.opf"/></rootfiles></container>'
 PACKAGE = """<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="a" href="a.xhtml"/><item id="m" href="mark.xhtml"/><item id="b" href="b%20two.xhtml"/>
-<item id="skip" href="skip.xhtml"/><item id="n" href="toc.ncx"/></manifest><spine toc="n"><itemref idref="m"/><itemref idref="a"/><itemref idref="skip" linear="no"/><itemref idref="b"/></spine></package>"""
+<item id="skip" href="skip.xhtml"/><item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine><itemref idref="m"/><itemref idref="a"/><itemref idref="skip" linear="no"/><itemref idref="b"/></spine></package>"""
 NCX = """<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>First &nbsp; part</text></navLabel><content src="a.xhtml"/>
 <navPoint><navLabel><text>Inner</text></navLabel><content src="a.xhtml#in"/></navPoint></navPoint><navPoint><navLabel><text>Second</text></navLabel><content src="b%20two.xhtml#gone"/></navPoint></navMap></ncx>"""
 
@@ -22,24 +22,23 @@ def book(tmp_path):
         z.writestr("META-INF/container.xml", CONTAINER)
         z.writestr("OPS/p.opf", PACKAGE)
         z.writestr("OPS/toc.ncx", NCX)
-        z.writestr("OPS/mark.xhtml", "<p>Sold to reader@example.org</p>")
+        z.writestr("OPS/mark.xhtml", "<p>Copy of pat.lee@mail.test</p>")
         z.writestr("OPS/a.xhtml", "<h1>Start</h1><p>Text.</p><h2 id='in'>Inner</h2><pre>a = 1</pre><pre>b = 2</pre>")
         z.writestr("OPS/b two.xhtml", "<p>Last</p>")
         z.writestr("OPS/skip.xhtml", "<p>Never</p>")
     return str(path)
 
 
-def test_epub_pages_and_bookmarks(book):
-    pages, marks = read_epub(book)
-    assert marks == [("First part", 0, 1), ("Inner", 1, 2), ("Second", 0, 2)]
-    assert pages == ["# Start\n\nText.", "## Inner\n\n```\na = 1\nb = 2\n```\n\nLast"]
+def test_epub_pages_and_bookmarks(spark, book):
+    pages, marks = read_books(spark, os.path.dirname(book))
+    assert [(r.title, r.level, r.page) for r in marks.orderBy("idx").collect()] == [("First part", 0, 1), ("Inner", 1, 2), ("Second", 0, 2)]
+    assert [(r.book, r.page, r.text) for r in pages.orderBy("page").collect()] == [("one", 1, "# Start\n\nText."), ("one", 2, "## Inner\n\n```\na = 1\nb = 2\n```\n\nLast")]
 
 
-def test_epub_source(spark, book):
-    spark.dataSource.register(EpubDataSource)
-    folder = os.path.dirname(book)
-    assert [r.page for r in spark.read.format("epub").load(folder).orderBy("page").collect()] == [1, 2]
-    assert spark.read.format("epub").option("table", "bookmark").load(folder).where("level = 1").first().title == "Inner"
+def test_epub_pages_close_when_full(spark, book):
+    pages, marks = read_books(spark, os.path.dirname(book), most=6)
+    assert [r.text for r in pages.orderBy("page").collect()] == ["# Start", "Text.", "## Inner", "```\na = 1\nb = 2\n```", "Last"]
+    assert [r.page for r in marks.orderBy("idx").collect()] == [1, 3, 5]
 
 
 def test_html_is_lenient():
@@ -61,7 +60,10 @@ def test_owned_files(spark, tmp_path):
     (tmp_path / "full").mkdir()
     (tmp_path / "full" / "f").write_text("")
     with pytest.raises(PermissionError):
-        sinks.claim(str(tmp_path / "full"))
+        sinks.claim(str(tmp_path), "full")
+    with pytest.raises(ValueError):
+        sinks.claim(root, "../full")
+    assert sinks.header("---\na: b: c\n---\ngenerator: quire\n") == {"a": "b: c"} and sinks.header("---\ngenerator: quire\n") == sinks.header("x") == {}
 
 
 def test_log(spark, tmp_path):
