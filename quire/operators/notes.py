@@ -110,10 +110,12 @@ def glossary_entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "pos", T.squeeze(F.col("e.term")).alias("term"), T.squeeze(F.col("e.translation")).alias("translation"))
 
 
-def merge_glossary(entries: DataFrame) -> DataFrame:
-    """(term, translation, uses): one entry per term in any case; the first
-    spelling and translation are kept.  Partial aggregates do the merging, so a
-    term used everywhere is no hot key."""
+def merge_glossary(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, term, translation, uses, sources): one entry per term in any
+    case, of each group of ``keys``; the first spelling and translation are
+    kept, sources are the notes it stands in, in order.  Entries merge before
+    the shuffle, so only a term's distinct notes move."""
+    keys = keys or []
     first = F.min(F.struct("id", "pos", "term", "translation")).alias("f")
-    merged = entries.groupBy(F.lower("term").alias("key")).agg(first, F.countDistinct("id").alias("uses"))
-    return merged.select("f.term", "f.translation", "uses")
+    merged = entries.groupBy(*keys, F.lower("term").alias("key")).agg(first, F.sort_array(F.collect_set("id")).alias("sources"))
+    return merged.select(*keys, "f.term", "f.translation", F.size("sources").cast("bigint").alias("uses"), "sources")

@@ -3,7 +3,7 @@ each key.  Events are (key columns, id, status, ts, ...)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Statuses of a job or stage.
@@ -71,3 +71,40 @@ def eta_minutes(jobs: DataFrame) -> DataFrame:
     spent = F.unix_timestamp("now") - F.unix_timestamp("started")
     left = F.ceil(spent / F.col("done") * (F.col("total") - F.col("done")) / 60)
     return jobs.select("id", F.when(F.col("done") > 0, left).alias("minutes"))
+
+
+# what a queue or a stage writes: events, never changes in place
+
+
+def enqueued(work: DataFrame, stage: str, model: str, at: Column) -> DataFrame:
+    """Events that queue a job for every row of work (id, book, total)."""
+    return work.select("id", "book", F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.lit(QUEUED).alias("status"), at.alias("ts"), F.lit(0).alias("done"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def claims(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, ts) of the claim that holds: of the running events after the
+    last queued one of each key the first, by ts and id.  Several workers may
+    append a claim at once; each reads here whether its own is the one."""
+    queued = F.max(F.when(F.col("status") == QUEUED, F.struct("ts", "id"))).over(Window.partitionBy(*keys))
+    after = events.withColumn("queued", queued).where((F.col("status") == RUNNING) & (F.struct("ts", "id") > F.col("queued")))
+    held = after.groupBy(*keys).agg(F.min(F.struct("ts", "id")).alias("e"))
+    return held.select(*keys, "e.id", "e.ts")
+
+
+def stage_runs(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, status, started, finished, error): what a table of runs would
+    hold after all events: a start clears what an earlier run left, an end
+    keeps the start.  ``events``: keys, id, status, ts, error."""
+    order = F.struct("ts", "id")
+    started = F.max(F.when(F.col("status") == RUNNING, order)).alias("s")
+    ended = F.max(F.when(F.col("status").isin(DONE, FAILED, STOPPED), F.struct("ts", "id", "error"))).alias("e")
+    per = events.groupBy(*keys).agg(started, ended, F.max(F.struct("ts", "id", "status")).alias("last"))
+    over = F.col("e").isNotNull() & (F.col("s").isNull() | (F.struct("e.ts", "e.id") > F.col("s")))
+    return per.select(*keys, "last.status", F.col("s.ts").alias("started"), F.when(over, F.col("e.ts")).alias("finished"), F.when(over, F.col("e.error")).alias("error"))
+
+
+def progress(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, done, total): how far each job says it is, by its last event that
+    says so."""
+    told = events.where("total IS NOT NULL").groupBy(*keys).agg(F.max(F.struct("ts", "id", F.coalesce("done", F.lit(0)).alias("done"), "total")).alias("e"))
+    return told.select(*keys, "e.done", "e.total")

@@ -14,6 +14,18 @@ from quire.functions import text as T
 FENCE = r"(?ms)^```[^\n]*\n(.*?)^```"
 ROW = r"(?m)^\|[^\n]*\|[ \t]*$"
 RULE = r"^\|[ \t:|-]+\|$"
+# Commands of mathematics in cells, and what they stand for; the
+# micro and ohm signs have code points of their own.
+SYMBOLS = (
+    "alpha α beta β gamma γ delta δ epsilon ε varepsilon ε zeta ζ eta η theta θ kappa κ lambda λ mu μ nu ν xi ξ pi π rho ρ sigma σ tau τ phi φ "
+    "varphi φ chi χ psi ψ omega ω Gamma Γ Delta Δ Theta Θ Lambda Λ Pi Π Sigma Σ Phi Φ Psi Ψ Omega Ω infty ∞ neq ≠ ne ≠ leq ≤ le ≤ geq ≥ ge ≥ "
+    "times × cdot · pm ± oplus ⊕ ldots … dots … cap ∩ cup ∪ leftarrow ← gets ← Leftarrow ⇐ Rightarrow ⇒ leftrightarrow ↔ Leftrightarrow ⇔ "
+    "approx ≈ equiv ≡ div ÷ neg ¬ lnot ¬ wedge ∧ land ∧ vee ∨ lor ∨ rightarrow → to →"
+).split()
+LATEX = dict(zip(SYMBOLS[::2], SYMBOLS[1::2]))
+ALIKE = ("\u00b5\u2126", "\u03bc\u03a9")
+# Entities that stand in tables for what Markdown would read.
+ENTITIES = {"&#124;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 DIGEST = r"\b[0-9a-f]{32}\b"
 
 
@@ -28,13 +40,36 @@ def inline_code(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"`([^`\n]+)`"), 1), lambda x: T.squeeze(x))
 
 
+def _symbols(c: Column) -> Column:
+    """Commands as the signs they stand for.  Split at backslashes, every part
+    but the first begins with the name of one, whole or not."""
+    names = F.create_map(*(F.lit(x) for pair in LATEX.items() for x in pair))
+    name = lambda p: F.regexp_extract(p, "^([A-Za-z]+)", 1)
+
+    def part(p: Column, k: Column) -> Column:
+        sign = F.try_element_at(names, name(p))
+        return F.when(k == 0, p).when(sign.isNotNull(), F.concat(sign, F.substring(p, F.length(name(p)) + 1, F.length(p)))).otherwise(F.concat(F.lit("\\"), p))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(F.split(c, r"\\", -1), part), "")).otherwise(c)
+
+
+def cell(c: Column) -> Column:
+    """A cell as a book would print it: commands of mathematics as signs, no
+    dollars and backticks, entities resolved, signs that look alike as one,
+    white space squeezed."""
+    out = F.regexp_replace(_symbols(c), "[`$]", "")
+    for entity, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return T.squeeze(F.translate(out, *ALIKE))
+
+
 def table_rows(c: Column) -> Column:
-    """Rows of pipe tables as squeezed cells joined by " | ", without rules and
-    empty cells at the end."""
+    """Rows of pipe tables as cells joined by " | ", without rules and empty
+    cells at the end."""
     rows = F.filter(F.transform(F.regexp_extract_all(T.unix_lines(c), F.lit(ROW), 0), lambda r: F.regexp_replace(r, "[ \t]+$", "")), lambda r: ~r.rlike(RULE))
-    bare = F.transform(rows, lambda r: F.regexp_replace(F.regexp_replace(r, r"^\||\|$", ""), "[`$]", ""))
-    cells = F.transform(bare, lambda r: F.array_join(F.transform(F.split(r, r"\|", -1), lambda x: T.squeeze(x)), " | "))
-    return F.transform(cells, lambda r: F.regexp_replace(r, r"(?: \| ?)+$", ""))
+    bare = F.transform(rows, lambda r: F.regexp_replace(r, r"^\||\|$", ""))
+    cells = F.transform(bare, lambda r: F.array_join(F.transform(F.split(r, r"\|", -1), cell), " | "))
+    return F.filter(F.transform(cells, lambda r: F.regexp_replace(r, r"(?: \| ?)+$", "")), lambda r: r != "")
 
 
 def _in_order(cells: Column, other: Column) -> Column:
@@ -49,37 +84,54 @@ def _in_order(cells: Column, other: Column) -> Column:
 
 def lost_lines(note: Column, source: Column, least: int = 8) -> Column:
     """Listing lines of the source that the note has nowhere in its code: not
-    as a line, nor, from ``least`` characters on, inside one."""
-    have = F.concat(F.transform(code_lines(note), lambda x: T.squeezed_command(x)), inline_code(note), table_rows(note))
+    as a line, nor, from ``least`` characters on, inside one.  Equal lines are
+    taken out as sets; only what is left is searched for inside the rest."""
+    have = F.array_distinct(F.concat(F.transform(code_lines(note), lambda x: T.squeezed_command(x)), inline_code(note), table_rows(note)))
     wanted = F.filter(F.transform(code_lines(source), lambda x: T.squeezed_command(x)), lambda x: x != "")
-    missing = lambda held: F.filter(wanted, lambda x: ~F.exists(held, lambda h: (h == x) | ((F.length(x) >= least) & F.contains(h, x))))
-    return T.let(have, missing)
 
+    def missing(both: Column) -> Column:
+        rest = F.array_except(both["wanted"], both["have"])
+        # one text of all lines: a line inside it, with no break in it, is inside one of them
+        gone = T.let(F.array_join(both["have"], "\n"), lambda whole: F.filter(rest, lambda x: (F.length(x) < least) | ~F.contains(whole, x)))
+        return T.let(gone, lambda g: F.filter(both["wanted"], lambda x: F.array_contains(g, x)))
 
-def lost_rows(note: Column, source: Column) -> Column:
-    """Table rows of the source that the note doesn't have: whole, or, for rows
-    with an empty cell or of one cell, in order inside a longer row."""
+    return T.let(F.struct(wanted.alias("wanted"), have.alias("have")), missing)
 
-    def found(row: Column, have: Column) -> Column:
+
+def lost_rows(note: Column, source: Column, least_words: int = 2) -> Column:
+    """Table rows of the source that the note doesn't have: whole; for rows
+    with an empty cell or of one cell, in order inside a longer row; or, for
+    rows that name ``least_words`` words, with all words in its code."""
+    words = lambda c: F.transform(T.words(c), lambda w: F.lower(w))
+    in_code = words(F.array_join(code_lines(note), "\n"))
+
+    def found(row: Column, have: Column, code: Column) -> Column:
         cells = F.split(row, r" \| ", -1)
         full = F.filter(cells, lambda x: x != "")
         partial = (F.size(full) < F.size(cells)) | (F.size(cells) == 1)
-        return F.exists(have, lambda h: (h == row) | (partial & _in_order(full, F.split(h, r" \| ", -1))))
+        row_words = words(row)
+        named = F.size(F.filter(row_words, lambda w: ~w.rlike(r"^[\p{N}]+$")))
+        coded = (named >= least_words) & (F.size(F.array_except(row_words, code)) == 0)
+        inside = lambda h: partial & _in_order(full, F.filter(F.split(h, r" \| ", -1), lambda x: x != ""))
+        return F.array_contains(have, row) | coded | F.exists(have, inside)
 
-    return T.let(table_rows(note), lambda have: F.filter(table_rows(source), lambda r: ~found(r, have)))
+    both = F.struct(table_rows(note).alias("have"), F.array_distinct(in_code).alias("code"))
+    return T.let(both, lambda b: F.filter(table_rows(source), lambda r: ~found(r, b["have"], b["code"])))
 
 
 def report(pairs: DataFrame) -> DataFrame:
     """One row per pair (id, chapter, note, source); a null note is unwritten.
-    Counts are of bags: repeated lines count each time."""
+    Counts are of bags: repeated lines count each time.  With a column
+    ``listings`` only pairs where it holds are checked for listing lines."""
+    listings = F.coalesce("listings", F.lit(True)) if "listings" in pairs.columns else F.lit(True)
     note, source = F.coalesce("note", F.lit("")), F.coalesce("source", F.lit(""))
     exact = T.let(code_lines(note), lambda have: F.filter(code_lines(source), lambda x: F.array_contains(have, x)))
     mails = F.array_except(F.regexp_extract_all(note, F.lit(T.MAIL), 0), F.regexp_extract_all(source, F.lit(T.MAIL), 0))
     digest = lambda c: F.filter(F.regexp_extract_all(c, F.lit(DIGEST), 0), lambda x: x.rlike("[a-f]") & x.rlike("[0-9]"))
     counted = pairs.select(
         "id", "chapter", F.col("note").isNotNull().alias("written"),
-        F.size(F.filter(F.transform(code_lines(source), lambda x: T.squeezed_command(x)), lambda x: x != "")).alias("lines"),
-        F.size(lost_lines(note, source)).alias("lines_lost"), F.size(exact).alias("lines_exact"),
+        F.when(listings, F.size(F.filter(F.transform(code_lines(source), lambda x: T.squeezed_command(x)), lambda x: x != ""))).otherwise(0).alias("lines"),
+        F.when(listings, F.size(lost_lines(note, source))).otherwise(0).alias("lines_lost"), F.when(listings, F.size(exact)).otherwise(0).alias("lines_exact"),
         F.size(table_rows(source)).alias("rows"), F.size(lost_rows(note, source)).alias("rows_lost"),
         F.array_min(mails).alias("stray_mail"), (F.size(F.array_except(digest(note), digest(source))) > 0).alias("stray_digest"),
         F.size(T.words(note)).alias("note_words"), F.size(T.words(source)).alias("source_words"),
@@ -94,11 +146,27 @@ def report(pairs: DataFrame) -> DataFrame:
 
 
 def summary(reports: DataFrame) -> DataFrame:
-    """Per chapter: notes written, listing lines and table rows kept, notes
-    with a problem."""
+    """Per chapter: how many notes there are, and of the written ones their
+    listing lines and table rows, how many are kept, and how many notes have a
+    problem."""
+    of_written = lambda c: F.coalesce(F.sum(F.when(F.col("written"), c)), F.lit(0).cast("bigint"))
+    c = F.col
     return reports.groupBy("chapter").agg(
         F.count("*").alias("notes"), F.count_if("written").alias("written"),
-        F.sum("lines").alias("lines"), F.sum(F.col("lines") - F.col("lines_lost")).alias("lines_found"), F.sum("lines_exact").alias("lines_exact"),
-        F.sum("rows").alias("rows"), F.sum(F.col("rows") - F.col("rows_lost")).alias("rows_found"),
-        F.count_if(F.size("problems") > 0).alias("flagged"),
+        of_written(c("lines")).alias("lines"), of_written(c("lines") - c("lines_lost")).alias("lines_found"), of_written(c("lines_exact")).alias("lines_exact"),
+        of_written(c("rows")).alias("rows"), of_written(c("rows") - c("rows_lost")).alias("rows_found"),
+        F.count_if(c("written") & (F.size("problems") > 0)).alias("flagged"),
     )
+
+
+def body(note: Column) -> Column:
+    """A note without the header block it begins with."""
+    return F.regexp_replace(note, r"\A---\n(?:(?!---\n)[^\n]*\n)*---\n", "")
+
+
+def check_plan(chunks: DataFrame, notes: DataFrame) -> DataFrame:
+    """Reports on every chunk (book, chunk_id, chapter, text) of a plan, by its
+    note (book, chunk_id, note) if there is one."""
+    written = notes.select("book", "chunk_id", body(F.col("note")).alias("note"))
+    pairs = chunks.select("book", "chunk_id", "chapter", F.col("text").alias("source")).join(written, ["book", "chunk_id"], "left")
+    return report(pairs.select(F.struct("book", "chunk_id").alias("id"), F.struct("book", "chapter").alias("chapter"), "note", "source"))

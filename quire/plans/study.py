@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import notes, state, verify
+from quire.operators import figures, files, notes, state, verify
 from quire.session import table
 from quire.streaming.queue import status_counts
 
@@ -76,9 +76,20 @@ _SQ = lambda x: f"trim(regexp_replace({x}, '{B}+', ' ', 'g'))"
 _CODE = lambda c: f"list_filter(list_transform(flatten(list_transform(regexp_extract_all({c}, '(?ms)^```[^\\n]*\\n(.*?)^```', 1), lambda b: string_split(b, chr(10)))), lambda x: regexp_replace(x, '[ \\t\\r]+$', '')), lambda x: x <> '')"
 _CMD = lambda c: f"list_transform({_CODE(c)}, lambda x: " + _SQ("regexp_replace(x, '^[ \\t]*\\$[ \\t]+', '')") + ")"
 _INLINE = lambda c: f"list_transform(regexp_extract_all({c}, '`([^`\\n]+)`', 1), lambda x: {_SQ('x')})"
+# a cell: commands of mathematics as signs, no dollars and backticks, entities resolved
+_SYM = lambda x: f"CASE WHEN contains({x}, '\\') THEN list_aggregate(list_transform(string_split({x}, '\\'), lambda p, k: CASE WHEN k = 1 THEN p WHEN list_contains({[*verify.LATEX]}, regexp_extract(p, '^([A-Za-z]+)', 1)) THEN list_extract({[*verify.LATEX.values()]}, list_position({[*verify.LATEX]}, regexp_extract(p, '^([A-Za-z]+)', 1))) || regexp_replace(p, '^[A-Za-z]+', '') ELSE '\\' || p END), 'string_agg', '') ELSE {x} END"
+
+
+def _cell(x: str) -> str:
+    out = f"regexp_replace({_SYM(x)}, '[`$]', '', 'g')"
+    for entity, sign in verify.ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return _SQ(f"translate({out}, '{verify.ALIKE[0]}', '{verify.ALIKE[1]}')")
+
+
 _ROWS = lambda c: (
-    f"list_transform(list_filter(list_transform(regexp_extract_all({c}, '(?m)^\\|[^\\n]*\\|[ \\t]*$'), lambda r: regexp_replace(r, '[ \\t]+$', '')), lambda r: NOT regexp_matches(r, '^\\|[ \\t:|-]+\\|$')), "
-    f"lambda r: regexp_replace(list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(r, '^\\||\\|$', '', 'g'), '[`$]', '', 'g'), '|'), lambda x: {_SQ('x')}), 'string_agg', ' | '), '(?: \\| ?)+$', ''))"
+    f"list_filter(list_transform(list_filter(list_transform(regexp_extract_all({c}, '(?m)^\\|[^\\n]*\\|[ \\t]*$'), lambda r: regexp_replace(r, '[ \\t]+$', '')), lambda r: NOT regexp_matches(r, '^\\|[ \\t:|-]+\\|$')), "
+    f"lambda r: regexp_replace(list_aggregate(list_transform(string_split(regexp_replace(r, '^\\||\\|$', '', 'g'), '|'), lambda x: {_cell('x')}), 'string_agg', ' | '), '(?: \\| ?)+$', '')), lambda r: r <> '')"
 )
 _PAIRS = r"""p AS (SELECT doc_id AS id, coalesce(source, '') AS chapter, CASE WHEN doc_id % 10 <> 3 THEN regexp_replace(text, '(?m)^[^\n]*7[^\n]*$', '', 'g') END AS note, text AS source FROM (SELECT doc_id, source, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL)),
 n AS (SELECT id, chapter, note IS NOT NULL AS written, coalesce(note, '') AS note, source FROM p)"""
@@ -102,12 +113,32 @@ def q_table_rows(spark, d):
     return _pairs(spark, d).select("id", F.size(rows).alias("table_rows"), F.md5(F.array_join(rows, "\n")).alias("digest"))
 
 
-@query()
+# a row is in order inside a longer one if a pattern of its cells with anything between matches it
+_ROWLOST = f"""tr AS (SELECT id, {_ROWS('note')} AS have, list_distinct(list_transform(regexp_extract_all(coalesce(list_aggregate({_CODE('note')}, 'string_agg', chr(10)), ''), '{T.WORD}'), lambda w: lower(w))) AS code, {_ROWS('source')} AS wanted FROM n),
+wr AS (SELECT id, have, code, w.pos, w.row, string_split(w.row, ' | ') AS cells, list_filter(string_split(w.row, ' | '), lambda x: x <> '') AS filled, list_transform(regexp_extract_all(w.row, '{T.WORD}'), lambda x: lower(x)) AS words
+  FROM tr, LATERAL (SELECT unnest(wanted) AS row, generate_subscripts(wanted, 1) AS pos) w),
+lr AS (SELECT id, pos, row FROM wr WHERE NOT list_contains(have, row)
+  AND NOT (len(list_filter(words, lambda w: NOT regexp_matches(w, '^[\\p{{N}}]+$'))) >= 2 AND len(list_filter(words, lambda w: NOT list_contains(code, w))) = 0)
+  AND NOT ((len(filled) < len(cells) OR len(cells) = 1) AND coalesce(list_bool_or(list_transform(have, lambda h: len(list_filter(string_split(h, ' | '), lambda x: x <> '')) > len(filled)
+    AND regexp_matches(' | ' || list_aggregate(list_filter(string_split(h, ' | '), lambda x: x <> ''), 'string_agg', ' | ') || ' | ', ' \\| ' || list_aggregate(list_transform(filled, lambda x: regexp_escape(x)), 'string_agg', ' \\| (?:.* \\| )?') || ' \\| '))), false)))"""
+
+
+@query(f"WITH {_PAIRS}, {_ROWLOST} SELECT id, row FROM lr")
 def q_table_lost(spark, d):
     return _pairs(spark, d).select("id", F.explode(verify.lost_rows(F.coalesce("note", F.lit("")), F.col("source"))).alias("row"))
 
 
-@query()
+_DIG = "list_filter(regexp_extract_all({c}, '\\b[0-9a-f]{{32}}\\b'), lambda x: regexp_matches(x, '[a-f]') AND regexp_matches(x, '[0-9]'))"
+_REPORT = f"""{_LOST}, {_ROWLOST},
+q AS (SELECT id, chapter, written, len(wanted) AS lines, len(lost) AS lines_lost, len(list_filter({_CODE('source')}, lambda c: list_contains({_CODE('note')}, c))) AS lines_exact, len({_ROWS('source')}) AS rows,
+ (SELECT count(*) FROM lr WHERE lr.id = m.id) AS rows_lost, list_aggregate(list_filter(regexp_extract_all(note, '{T.MAIL}'), lambda x: NOT list_contains(regexp_extract_all(source, '{T.MAIL}'), x)), 'min') AS stray_mail,
+ len(list_filter({_DIG.format(c='note')}, lambda x: NOT list_contains({_DIG.format(c='source')}, x))) > 0 AS stray_digest, len(regexp_extract_all(note, '{T.WORD}')) AS note_words, len(regexp_extract_all(source, '{T.WORD}')) AS source_words FROM m),
+r AS (SELECT *, list_filter([CASE WHEN written AND lines > 0 AND lines_lost > 0.1 * lines + 1e-9 THEN 'lines' END, CASE WHEN written AND rows > 0 AND rows_lost > 0.1 * rows + 1e-9 THEN 'rows' END, CASE WHEN written AND stray_mail IS NOT NULL THEN 'mail' END,
+ CASE WHEN written AND stray_digest THEN 'digest' END, CASE WHEN written AND source_words > 0 AND note_words < 0.1 * source_words THEN 'short' END, CASE WHEN NOT written THEN 'unwritten' END], lambda x: x IS NOT NULL) AS problems FROM q)
+"""
+
+
+@query(f"WITH {_REPORT} SELECT * FROM r")
 def q_verify_report(spark, d):
     return verify.report(_pairs(spark, d))
 
@@ -122,18 +153,18 @@ def q_word_share(spark, d):
     return rows.withColumn("short", (F.col("source_words") > 0) & (F.col("note_words") < 0.1 * F.col("source_words")))
 
 
-@query(rf"""WITH v(id, note, source) AS (VALUES (1, 'ask a.b@x.org or c@y.pl', 'a.b@x.org'), (2, 'none', 'z@z.org'), (3, '', ''))
-SELECT id, list_aggregate(list_filter(regexp_extract_all(note, '{_MAIL}'), lambda m: NOT list_contains(regexp_extract_all(source, '{_MAIL}'), m)), 'min') AS stray FROM v""")
+@query(rf"""WITH {_PAIRS} SELECT id, list_aggregate(list_filter(regexp_extract_all(source, '{_MAIL}'), lambda m: NOT list_contains(regexp_extract_all(note, '{_MAIL}'), m)), 'min') AS lost FROM n""")
 def q_mail_anti(spark, d):
-    rows = spark.createDataFrame([(1, "ask a.b@x.org or c@y.pl", "a.b@x.org"), (2, "none", "z@z.org"), (3, "", "")], "id int, note string, source string")
     mails = lambda c: F.regexp_extract_all(c, F.lit(T.MAIL), 0)
-    return rows.select("id", F.array_min(F.array_except(mails("note"), mails("source"))).alias("stray"))
+    return _pairs(spark, d).select("id", F.array_min(F.array_except(mails(F.col("source")), mails(F.coalesce("note", F.lit(""))))).alias("lost"))
 
 
-@query(f"""WITH {_LOST}, x AS (SELECT *, len(list_filter({_CODE('source')}, lambda c: list_contains({_CODE('note')}, c))) AS exact FROM m)
-SELECT chapter, count(*) AS notes, count(*) FILTER (WHERE written) AS written, CAST(sum(len(wanted)) AS BIGINT) AS lines, CAST(sum(len(wanted) - len(lost)) AS BIGINT) AS lines_found, CAST(sum(exact) AS BIGINT) AS lines_exact FROM x GROUP BY chapter""")
+@query(f"""WITH {_REPORT}
+SELECT chapter, count(*) AS notes, count(*) FILTER (WHERE written) AS written, CAST(coalesce(sum(lines) FILTER (WHERE written), 0) AS BIGINT) AS lines, CAST(coalesce(sum(lines - lines_lost) FILTER (WHERE written), 0) AS BIGINT) AS lines_found,
+ CAST(coalesce(sum(lines_exact) FILTER (WHERE written), 0) AS BIGINT) AS lines_exact, CAST(coalesce(sum(rows) FILTER (WHERE written), 0) AS BIGINT) AS rows, CAST(coalesce(sum(rows - rows_lost) FILTER (WHERE written), 0) AS BIGINT) AS rows_found,
+ count(*) FILTER (WHERE written AND len(problems) > 0) AS flagged FROM r GROUP BY chapter""")
 def q_verify_summary(spark, d):
-    return verify.summary(verify.report(_pairs(spark, d))).select("chapter", "notes", "written", "lines", "lines_found", "lines_exact")
+    return verify.summary(verify.report(_pairs(spark, d)))
 
 
 _G = notes.GLOSSARY
@@ -147,7 +178,7 @@ def q_glossary_entries(spark, d):
     return notes.glossary_entries(documents(spark, d), "doc_id", "text")
 
 
-@query(f"WITH {_ENTRIES} SELECT arg_min(term, (id, pos)) AS term, arg_min(translation, (id, pos)) AS translation, count(DISTINCT id) AS uses FROM g GROUP BY lower(term)")
+@query(f"WITH {_ENTRIES} SELECT arg_min(term, (id, pos)) AS term, arg_min(translation, (id, pos)) AS translation, count(DISTINCT id) AS uses, list_sort(list_distinct(list(id))) AS sources FROM g GROUP BY lower(term)")
 def q_glossary_merge(spark, d):
     return notes.merge_glossary(notes.glossary_entries(documents(spark, d), "doc_id", "text"))
 
@@ -195,6 +226,59 @@ def q_note_assemble(spark, d):
     return rows.select("id", notes.assemble(F.lit("Title"), parts, F.col("language")).alias("note"), F.size(notes.missing_sections(parts)).alias("missing"))
 
 
+# ---------------------------------------------------------------- files
+
+_TWO = lambda x: f"CASE WHEN length(CAST({x} AS VARCHAR)) < 2 THEN lpad(CAST({x} AS VARCHAR), 2, '0') ELSE CAST({x} AS VARCHAR) END"
+_STRIP = lambda x: f"regexp_replace({x}, '^{B}+|{B}+$', '', 'g')"
+_SLUG = lambda x: f"coalesce(nullif(regexp_replace(regexp_replace(translate(lower({x}), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled')"
+_SAFE = lambda x: _SQ(f"regexp_replace(regexp_replace({x}, ' *[/\\\\|] *', ' - ', 'g'), '[<>:" + '"' + "?*#^\\[\\]]', '', 'g')")
+_PLACED = f"""ct AS (SELECT book, chapter, coalesce(arg_min(coalesce(title, ''), ord) FILTER (WHERE section = CAST(chapter AS VARCHAR)), '') AS ct FROM chunks WHERE chapter IS NOT NULL GROUP BY book, chapter),
+bk AS (SELECT slug AS book, any_value(title) AS book_title, any_value(domain) AS domain, any_value(language) AS language FROM books GROUP BY slug),
+pl AS (SELECT c.*, bk.book_title, bk.domain, bk.language, ct.ct, CASE WHEN c.chapter IS NULL THEN '00-unsorted' ELSE {_TWO('c.chapter')} || CASE WHEN {_STRIP('ct.ct')} <> '' THEN '-' || {_SLUG('ct.ct')} ELSE '' END END AS folder,
+ {_SAFE("concat_ws(' ', list_aggregate(list_transform(string_split(c.section, '.'), lambda x: CASE WHEN length(x) < 2 THEN lpad(x, 2, '0') ELSE x END), 'string_agg', '.'), coalesce(nullif(regexp_extract(" + _SQ("coalesce(c.title, '')") + ", '" + T.SECTION + "', 2), ''), " + _SQ("coalesce(c.title, '')") + "))")} AS stem
+ FROM chunks c LEFT JOIN bk USING (book) LEFT JOIN ct ON ct.book = c.book AND ct.chapter = c.chapter)"""
+_TAGS = lambda last: f"'tags: [' || {_SLUG(chr(99) + 'oalesce(domain, ' + chr(39) + 'general' + chr(39) + ')')} || ', ' || book || ', ' || {last} || ']'"
+
+
+@query(f"WITH {_PLACED} SELECT book, chunk_id, folder || '/' || stem || '.md' AS path FROM pl")
+def q_note_paths(spark, d):
+    return files.note_paths(table(spark, d, "chunks"), table(spark, d, "books"))
+
+
+@query(f"""WITH {_PLACED}, fg AS (SELECT DISTINCT ON (figure_id) * FROM figures),
+fl AS (SELECT c.chunk_id, string_agg('![' || split_part(path, '/', -1) || '](../figures/' || split_part(path, '/', -1) || ')' || chr(10) || '*' || coalesce(nullif(caption, ''), id) || '*', chr(10) || chr(10) ORDER BY page, figure_id) AS figures
+  FROM fg f JOIN chunks c ON c.book = f.book AND f.page BETWEEN c.page_start AND c.page_end GROUP BY c.chunk_id)
+SELECT book, chunk_id, '_source/' || book || '/' || folder || '/' || stem || '.md' AS path, md5(concat_ws(chr(10) || chr(10), concat_ws(chr(10), '---', 'source: "' || coalesce(book_title, '') || '"', 'chapter: ' || coalesce(CAST(chapter AS VARCHAR), 'null'), 'section: "' || coalesce(section, '') || '"',
+ format('pages: [{{}}, {{}}]', page_start, page_end), 'stage: export', 'generator: quire', {_TAGS("'chapter-' || coalesce(" + _TWO('chapter') + ", 'na')")}, '---'), {_STRIP("'# ' || concat_ws(' ', section, title)")},
+ '## Figures' || chr(10) || chr(10) || figures, '## Source text' || chr(10) || chr(10) || {_STRIP("coalesce(text, '')")}) || chr(10)) AS digest FROM pl LEFT JOIN fl USING (chunk_id)""")
+def q_export(spark, d):
+    made = files.export_files(table(spark, d, "chunks"), figures.distinct_figures(table(spark, d, "figures")), table(spark, d, "books"))
+    return made.withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
+
+
+_W = lambda name: f"CASE WHEN language = 'pl' THEN '{files.WORDS['pl'][name]}' ELSE '{files.WORDS['en'][name]}' END"
+
+
+@query(f"""WITH {_PLACED}, mp AS (SELECT book, chapter, ct, folder, book_title, domain, language, string_agg('- [[' || stem || ']] — ' || {_W('pages')} || ' ' || page_start || '-' || page_end, chr(10) ORDER BY ord, chunk_id) AS lines FROM pl WHERE chapter > 0 GROUP BY ALL),
+nm AS (SELECT *, concat_ws(' ', {_TWO('chapter')}, nullif(ct, '')) AS named FROM mp)
+SELECT book, chapter, folder || '/' || {_SAFE("named || ' — ' || " + _W('map'))} || '.md' AS path, concat_ws(chr(10), '---', 'source: "' || coalesce(book_title, '') || '"', 'chapter: ' || chapter, 'type: moc', 'generator: quire', {_TAGS("'chapter-' || " + _TWO('chapter'))}, '---')
+ || chr(10) || chr(10) || {_STRIP("'# ' || named")} || chr(10) || chr(10) || {_W('order')} || chr(10) || chr(10) || lines || chr(10) || chr(10) || '---' || chr(10) || '[[_Glossary]]' || chr(10) AS text,
+ EXISTS (SELECT 1 FROM pl WHERE pl.book = nm.book AND pl.folder || '/' || pl.stem || '.md' = nm.folder || '/' || {_SAFE("nm.named || ' — ' || " + _W('map').replace('language', 'nm.language'))} || '.md') AS clash FROM nm""")
+def q_index_files(spark, d):
+    return files.chapter_maps(table(spark, d, "chunks"), table(spark, d, "books"))
+
+
+@query(f"""WITH {_ENTRIES}, e AS (SELECT coalesce(source, '') AS book, 'note ' || id AS id, pos, term, translation FROM g JOIN documents ON doc_id = g.id),
+m AS (SELECT book, lower(term) AS key, arg_min(term, (id, pos)) AS term, arg_min(translation, (id, pos)) AS translation, list_sort(list_distinct(list('[[' || id || ']]'))) AS links FROM e GROUP BY book, lower(term)),
+bk AS (SELECT slug AS book, any_value(title) AS book_title, any_value(domain) AS domain, any_value(language) AS language FROM books GROUP BY slug),
+t AS (SELECT book, string_agg('- **' || term || '** — ' || translation || '  ' || list_aggregate(links, 'string_agg', ' '), chr(10) ORDER BY key) AS lines FROM m GROUP BY book)
+SELECT book, '{files.GLOSSARY_FILE}' AS path, md5(concat_ws(chr(10), '---', 'source: "' || coalesce(book_title, '') || '"', 'type: glossary', 'generator: quire', {_TAGS("'glossary'")}, '---', '# ' || {_W('glossary')}, '', lines) || chr(10)) AS digest FROM t LEFT JOIN bk USING (book)""")
+def q_glossary_files(spark, d):
+    of = documents(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("book"))
+    entries = notes.glossary_entries(documents(spark, d), "doc_id", "text").join(of, "id").withColumn("id", F.concat(F.lit("note "), F.col("id").cast("string")))
+    return files.glossary_files(entries, table(spark, d, "books")).withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
+
+
 # ---------------------------------------------------------------- state
 
 _STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'view' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'stopped' END"
@@ -222,6 +306,19 @@ def q_claim_next(spark, d):
     return state.claim_next(state.latest(_events(spark, d), ["user_id"])).select("id", "user_id")
 
 
+@query(f"""WITH {_EV}, q AS (SELECT *, max(CASE WHEN status = 'queued' THEN (ts, id) END) OVER (PARTITION BY user_id) AS queued FROM ev)
+SELECT user_id, arg_min(id, (ts, id)) AS id FROM q WHERE status = 'running' AND (ts, id) > queued GROUP BY user_id""")
+def q_claim(spark, d):
+    return state.claims(_events(spark, d), ["user_id"]).select("user_id", "id")
+
+
+@query(f"""WITH {_EV}, k AS (SELECT user_id, arg_max(status, (ts, id)) AS status, max(CASE WHEN status = 'running' THEN (ts, id) END) AS s, max(CASE WHEN status IN ('done', 'failed', 'stopped') THEN (ts, id) END) AS e FROM ev GROUP BY user_id)
+SELECT user_id, status, s[1] AS started, CASE WHEN e IS NOT NULL AND (s IS NULL OR e > s) THEN e[1] END AS finished, CASE WHEN e IS NOT NULL AND (s IS NULL OR e > s) THEN (SELECT CASE WHEN ev.status = 'failed' THEN 'error ' || ev.id END FROM ev WHERE ev.id = e[2]) END AS error FROM k""")
+def q_stage_events(spark, d):
+    error = F.when(F.col("status") == state.FAILED, F.concat(F.lit("error "), F.col("id").cast("string")))
+    return state.stage_runs(_events(spark, d).withColumn("error", error), ["user_id"])
+
+
 @query(f"WITH {_EV} SELECT id, user_id, status FROM ev ORDER BY id DESC LIMIT 20")
 def q_recent_jobs(spark, d):
     return state.recent(_events(spark, d)).select("id", "user_id", "status")

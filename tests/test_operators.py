@@ -206,3 +206,24 @@ def test_figures_of_bad_ranges(spark):
     pictures = spark.createDataFrame([(k, "b", k) for k in (1, 2, 3)], "figure_id int, book string, page int")
     chunks = spark.createDataFrame([(1, "b", 2, 1), (2, "b", 2, 2**31 - 1), (3, "b", None, 3), (4, "c", 1, 3)], "chunk_id int, book string, page_start int, page_end int")
     assert sorted(map(tuple, figures.in_chunks(pictures, chunks).collect())) == [(2, 2), (2, 3)]
+
+
+def test_verify_cells_code_and_switch(spark):
+    source = "```\nx = 1\n```\n| $\\mu$A | \\leftarrow b |\n|---|---|\n| &#124;a | 5 Ω |\n| mov ax | 17 |\n| alone | here |\n"
+    note = "---\ntags: a@b.cd\n---\n```\nMOV AX, 17\n```\n| μA | ← b |\n| a | 5 Ω | |\n"
+    pairs = spark.createDataFrame([(1, "c", note, source, False), (2, "c", note, source, None), (3, "c", None, source, True)], "id int, chapter string, note string, source string, listings boolean")
+    rows = {r.id: r for r in verify.report(pairs).collect()}
+    assert (rows[1].rows, rows[1].rows_lost) == (4, 1)
+    assert (rows[1].lines, rows[1].lines_lost, rows[2].lines, rows[2].lines_lost) == (0, 0, 1, 1)
+    total = verify.summary(verify.report(pairs)).first()
+    assert (total.notes, total.written, total.lines, total.lines_found, total.rows, total.rows_found, total.flagged) == (3, 2, 1, 0, 8, 6, 2)
+    chunks = spark.createDataFrame([("b", 1, 1, source), ("b", 2, 1, source)], "book string, chunk_id int, chapter int, text string")
+    notes_ = spark.createDataFrame([("b", 1, note)], "book string, chunk_id int, note string")
+    found = {r.id.chunk_id: r for r in verify.check_plan(chunks, notes_).collect()}
+    assert found[1].written and found[1].stray_mail is None and not found[2].written
+    assert one(spark, verify.body(F.lit("a\n---\nb"))) == "a\n---\nb"
+
+
+def test_glossary_keeps_its_sources(spark):
+    entries = spark.createDataFrame([("n2", 0, "Gate", "bramka"), ("n1", 1, "gate", "brama"), ("n1", 0, "node", "węzeł"), ("n2", 3, "gate", "x")], "id string, pos int, term string, translation string")
+    assert sorted(map(tuple, notes.merge_glossary(entries).collect())) == [("gate", "brama", 2, ["n1", "n2"]), ("node", "węzeł", 1, ["n1"])]
