@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import state
+from quire.session import cut
 
 REQUIRED = ("In short", "Explanation")
 _HEADING = re.compile(r"^## +(.*\S)\s*$")
@@ -117,6 +119,22 @@ def generate(work: DataFrame, make_model: Callable[[], NoteModel], max_tokens: i
     return work.select("id", "prompt", "source").mapInArrow(run, f"id {kind}, status string, error string, sections map<string,string>")
 
 
+def advance(work: DataFrame, events: DataFrame, make_model: Callable[[], NoteModel], at: Column, stopped: DataFrame | None = None, max_tokens: int = 6000) -> tuple[DataFrame, DataFrame]:
+    """One pass of a stage: what isn't done yet (id, prompt, source), and whose
+    job (``stopped``: (id)) nobody asked to stop, goes to the model.  Returns
+    the answers and the events (id, event, status, ts, error) to append, a
+    start and an end for each; a failure ends only its own row.  Answers are
+    written once, so that both are of one call."""
+    order = F.struct("ts", "event")
+    last = events.groupBy("id").agg(F.max_by("status", order).alias("status"))
+    left = work.join(last.where(F.col("status") == state.DONE), "id", "left_anti")
+    if stopped is not None:
+        left = left.join(stopped.select("id"), "id", "left_anti")
+    made = cut(generate(left, make_model, max_tokens))
+    begun = made.select("id", F.lit(0).alias("event"), F.lit(state.RUNNING).alias("status"), at.alias("ts"), F.lit(None).cast("string").alias("error"))
+    return made, begun.unionByName(made.select("id", F.lit(1).alias("event"), "status", at.alias("ts"), "error"))
+
+
 def insert_description(note: Column, file: Column, description: Column) -> Column:
     """Put a description under the embed of one figure, in place of the line
     that is there; doing it again replaces it."""

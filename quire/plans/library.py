@@ -73,20 +73,25 @@ def q_contents_page(spark, d):
     return pages(spark, d).where(T.is_contents_page(F.col("text"))).select("book", "page")
 
 
-@query(r"""WITH v(id, text) AS (VALUES (1, 'Intro ..... 3' || chr(10) || 'Sets . . . . . 12' || chr(10) || 'Maps ...... 20' || chr(10) || 'Rings ..... 31' || chr(10) || 'Fields .... 44'),
- (2, 'A plain page with one dot.'), (3, '........ ..... ....'), (4, ''))
-SELECT id, len(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){4,} *[0-9]{1,4}[ \t]*$')) >= 5
- OR coalesce(length(list_aggregate(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){4,} *[0-9]{1,4}[ \t]*$'), 'string_agg', '')) >= length(text) * 0.5, false) AS contents FROM v""")
+# every page with as many dotted entries below it as its number says
+@query(rf"""WITH {PAGES}, v AS (SELECT book, page, text || repeat(chr(10) || 'An entry of the contents ..... ' || page, CAST(page % 8 AS INTEGER)) AS text FROM pages)
+SELECT book, page, len(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){{4,}} *[0-9]{{1,4}}[ \t]*$')) >= 5
+ OR coalesce(length(list_aggregate(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){{4,}} *[0-9]{{1,4}}[ \t]*$'), 'string_agg', '')) >= length(text) * 0.5, false) AS contents FROM v""")
 def q_contents_predicate(spark, d):
-    rows = [(1, "Intro ..... 3\nSets . . . . . 12\nMaps ...... 20\nRings ..... 31\nFields .... 44"), (2, "A plain page with one dot."), (3, "........ ..... ...."), (4, "")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", T.is_contents_page(F.col("text")).alias("contents"))
+    entry = F.concat(F.lit("\nAn entry of the contents ..... "), F.col("page").cast("string"))
+    return pages(spark, d).select("book", "page", T.is_contents_page(F.concat("text", F.repeat(entry, (F.col("page") % 8).cast("int")))).alias("contents"))
 
 
-@query(r"""WITH v(id, text) AS (VALUES (1, 'abc' || chr(1) || chr(2)), (2, 'abcdefghij' || chr(1)), (3, ''), (4, chr(65533) || 'ab' || chr(10)))
-SELECT id, length(text) > 0 AND length(text) - length(regexp_replace(text, '[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]', '', 'g')) >= length(text) * 0.2 AS bad FROM v""")
+_BAD = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]"
+
+
+# every page as it is, and with some of its letters unreadable
+@query(rf"""WITH {PAGES}, v AS (SELECT book, page, text, translate(text, 'aeio', chr(1) || chr(2) || chr(65533) || chr(127)) AS broken FROM pages)
+SELECT book, page, length(text) > 0 AND length(text) - length(regexp_replace(text, '{_BAD}', '', 'g')) >= length(text) * 0.2 AS bad,
+ length(broken) > 0 AND length(broken) - length(regexp_replace(broken, '{_BAD}', '', 'g')) >= length(broken) * 0.2 AS broken_bad FROM v""")
 def q_garbled(spark, d):
-    rows = [(1, "abc\x01\x02"), (2, "abcdefghij\x01"), (3, ""), (4, "�ab\n")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", T.garbled(F.col("text")).alias("bad"))
+    broken = F.translate("text", "aeio", "\x01\x02\ufffd\x7f")
+    return pages(spark, d).select("book", "page", T.garbled(F.col("text")).alias("bad"), T.garbled(broken).alias("broken_bad"))
 
 
 _LINES = f"""WITH {PAGES},
@@ -120,12 +125,28 @@ def q_watermark(spark, d):
     return cleaning.watermarks(pages(spark, d), r"\b[A-Z]{2}-[0-9]{4}\b")
 
 
+@query(rf"""WITH {PAGES}, t AS (SELECT DISTINCT book, page, unnest(regexp_extract_all(text, '\b[A-Z]{{2}}-[0-9]{{4}}\b')) AS token FROM pages),
+n AS (SELECT book, count(*) AS n FROM pages GROUP BY book), m AS (SELECT book, token FROM t JOIN n USING (book) GROUP BY book, token, n HAVING count(*) >= greatest(2, least(3, n))),
+x AS (SELECT book, page, string_agg(token, '|') AS marks FROM t JOIN m USING (book, token) GROUP BY book, page)
+SELECT p.book, p.page, md5(CASE WHEN marks IS NULL THEN text ELSE regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[ \t]*\b(?:' || marks || ')\b[ \t]*', '', 'g'), '[ \t]*\b(?:' || marks || ')\b[ \t]*(?m:$)', '', 'g'), '[ \t]*\b(?:' || marks || ')\b[ \t]*', ' ', 'g') END) AS digest
+FROM pages p LEFT JOIN x ON x.book = p.book AND x.page = p.page""")
+def q_without_watermarks(spark, d):
+    clean = cleaning.without_watermarks(cut(pages(spark, d)), r"\b[A-Z]{2}-[0-9]{4}\b")
+    return clean.select("book", "page", F.md5("text").alias("digest"))
+
+
+@query(r"""SELECT doc_id, md5(list_aggregate(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^\|[^\n]*\|[ \t\r]*$') THEN regexp_replace(regexp_replace(x, '[ \t]{2,}', ' ', 'g'), '-{4,}', '---', 'g') ELSE x END), 'string_agg', chr(10))) AS digest
+FROM documents WHERE text IS NOT NULL""")
+def q_compact_tables(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(cleaning.compact_tables(F.col("text"))).alias("digest"))
+
+
 @query(rf"""WITH {PAGES}, b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pages),
 h AS (SELECT book, substring(text, 1, CAST(200000 - before AS BIGINT)) AS t FROM b WHERE before < 200000),
 c AS (SELECT book, sum(length(regexp_replace(t, '[^ąćęłńóśźżĄĆĘŁŃÓŚŹŻ]', '', 'g'))) AS polish, sum(length(regexp_replace(t, '[^\p{{L}}]', '', 'g'))) AS letters FROM h GROUP BY book)
-SELECT book, CAST(polish AS BIGINT) AS polish, CAST(letters AS BIGINT) AS letters, CASE WHEN letters > 0 AND polish >= 0.02 * letters THEN 'pl' ELSE 'en' END AS language FROM c""")
+SELECT book, CAST(polish AS BIGINT) AS polish, CAST(letters AS BIGINT) AS letters, coalesce((SELECT max(lower(language)) FROM books WHERE slug = book), CASE WHEN letters > 0 AND polish >= 0.02 * letters THEN 'pl' ELSE 'en' END) AS language FROM c""")
 def q_language(spark, d):
-    return cleaning.language(pages(spark, d))
+    return cleaning.language(cut(pages(spark, d)), settings=table(spark, d, "books").select(F.col("slug").alias("book"), "language"))
 
 
 @query("SELECT chunk_id, length(text) // 4 AS tokens, max_tokens FROM chunks c JOIN books b ON b.slug = c.book JOIN budgets USING (budget) WHERE length(text) // 4 > max_tokens")
@@ -157,13 +178,14 @@ def q_section_parts(spark, d):
     )
 
 
-@query(r"""WITH v(id, s) AS (VALUES (1, '60-120, 131'), (2, '7; 9–11'), (3, '5' || chr(10) || '8 - 9'), (4, '')),
-p AS (SELECT id, trim(unnest(string_split_regex(s, '[,;\n]'))) AS part FROM v)
-SELECT id, CAST(regexp_extract(part, '^([0-9]+)', 1) AS INTEGER) AS first, CAST(coalesce(nullif(regexp_extract(part, '[-–] *([0-9]+)$', 1), ''), regexp_extract(part, '^([0-9]+)', 1)) AS INTEGER) AS last
-FROM p WHERE part <> ''""")
+# the ranges of a book's chunks, written down with all marks that may stand between
+@query("""SELECT chunk_id, CAST(page_start AS INTEGER) AS first, CAST(page_end AS INTEGER) AS last FROM chunks WHERE page_start >= 1 AND page_start <= page_end
+UNION ALL SELECT chunk_id, CAST(page_end AS INTEGER), CAST(page_end AS INTEGER) FROM chunks WHERE page_start >= 1 AND page_start <= page_end""")
 def q_page_ranges(spark, d):
-    rows = spark.createDataFrame([(1, "60-120, 131"), (2, "7; 9–11"), (3, "5\n8 - 9"), (4, "")], "id int, s string")
-    return rows.select("id", F.inline(T.page_ranges(F.col("s"))))
+    rows = table(spark, d, "chunks").where("page_start >= 1 AND page_start <= page_end")
+    dash = F.when(F.col("chunk_id") % 2 == 0, " – ").otherwise("-")
+    written = F.concat(F.col("page_start").cast("string"), dash, F.col("page_end").cast("string"), F.when(F.col("chunk_id") % 3 == 0, ";\n").otherwise(", "), F.col("page_end").cast("string"))
+    return rows.select("chunk_id", F.inline(T.page_ranges(written)))
 
 
 LAST = """
@@ -393,10 +415,11 @@ def q_bands(spark, d):
     return figures.bands(_figures(spark, d), pages=2)
 
 
-@query(f"""WITH {_FIGS} SELECT figure_id, CAST(greatest(round_even((least(bbox.l, bbox.r) - 6) * 200 / 72, 0), 0) AS INTEGER) AS left_px FROM f""")
+@query(f"""WITH {_FIGS} SELECT figure_id, CAST(greatest(round_even((least(bbox.l, bbox.r) - 6) * 200 / 72, 0), 0) AS INTEGER) AS "left", CAST(greatest(round_even((792 - greatest(bbox.t, bbox.b) - 6) * 200 / 72, 0), 0) AS INTEGER) AS top,
+ CAST(greatest(round_even((greatest(bbox.l, bbox.r) + 6) * 200 / 72, 0), 0) AS INTEGER) AS "right", CAST(greatest(round_even((792 - least(bbox.t, bbox.b) + 6) * 200 / 72, 0), 0) AS INTEGER) AS bottom FROM f""")
 def q_bbox_pixels(spark, d):
     box = F.struct(F.least("bbox.l", "bbox.r").alias("l"), F.col("bbox.t").alias("t"), F.greatest("bbox.l", "bbox.r").alias("r"), F.col("bbox.b").alias("b"))
-    return _figures(spark, d).select("figure_id", T.bbox_to_pixels(box, 792.0)["left"].alias("left_px"))
+    return _figures(spark, d).select("figure_id", T.bbox_to_pixels(box, 792.0).alias("b")).select("figure_id", "b.*")
 
 
 def _sightings(spark, d):
@@ -438,19 +461,27 @@ def q_title_offset(spark, d):
     return titles.title_offsets(spans, pages(spark, d))
 
 
-@query(r"""WITH v(id, s) AS (VALUES (1, chr(119909) || chr(2869)), (2, 'x' || chr(2869)), (3, chr(4666) || chr(3027) || chr(4667)))
-SELECT id, CASE id WHEN 1 THEN chr(119909) || '1' WHEN 2 THEN 'x' || chr(2869) ELSE '(Z)' END AS text FROM v""")
+# pages set in the broken font: a letter of mathematics on every other one, without which nothing is touched
+@query(rf"""WITH {PAGES}, v AS (SELECT book, page, translate(text, 'ABCabc123', '{"".join(map(chr, (0xBBA, 0xBBB, 0xBBC, 0xBD4, 0xBD5, 0xBD6, 0xB35, 0xB36, 0xB37)))}') AS broken, text, page % 2 = 0 AS shows FROM pages)
+SELECT book, page, md5(CASE WHEN shows THEN text || chr(119909) || '(' ELSE broken END) AS digest FROM v""")
 def q_math_font(spark, d):
-    rows = [(1, chr(119909) + chr(2869)), (2, "x" + chr(2869)), (3, chr(4666) + chr(3027) + chr(4667))]
-    return spark.createDataFrame(rows, "id int, s string").select("id", mathfont.restore(F.col("s")).alias("text"))
+    broken = F.translate("text", "ABCabc123", "".join(map(chr, (0xBBA, 0xBBB, 0xBBC, 0xBD4, 0xBD5, 0xBD6, 0xB35, 0xB36, 0xB37))))
+    shown = F.when(F.col("page") % 2 == 0, F.concat(broken, F.lit(chr(119909) + chr(0x123A)))).otherwise(broken)
+    return pages(spark, d).select("book", "page", F.md5(mathfont.restore(shown)).alias("digest"))
+
+
+_S = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 'heading', 2, 'A title'), (1, 1, 'paragraph', 0, 'x^2 is m_{ab}'), (1, 2, 'item', 0, '- one'), (1, 3, 'item', 0, '- two'),
- (1, 4, 'table', 0, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 |  |'), (2, 0, 'listing', 0, 'int x;' || chr(10) || '  x++;')) t(id, pos, kind, level, text)""")
+# every document set as HTML: a heading, and its paragraphs with their signs escaped
+@query(rf"""WITH p AS (SELECT doc_id AS id, unnest(string_split(text, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+s AS (SELECT id, n, trim(regexp_replace(raw, '{_S}', ' ', 'g')) AS text FROM p), h AS (SELECT doc_id AS id, 0 AS n, 'Document ' || doc_id AS text FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM s WHERE text <> '')
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INTEGER) AS pos, CASE WHEN n = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN n = 0 THEN 2 ELSE 0 END AS level, text FROM h""")
 def q_html_blocks(spark, d):
-    one = "<h2 id='a'>A  title</h2><p>x<sup>2</sup> is m<sub>ab</sub><ul><li>one<li>two</ul><script>no()</script><table><tr><td>a<td>b</tr><tr><td>1<td></tr></table>"
-    rows = spark.createDataFrame([(1, one), (2, "<pre>int x;\n  x++;\n</pre>"), (3, None), (4, "")], "id int, html string")
-    return html.blocks(rows, "id", "html").drop("anchors")
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.array_join(F.transform(F.split("text", "\n\n", -1), lambda x: F.concat(F.lit("<p>"), escaped(x))), "")
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("<h2>Document "), F.col("doc_id").cast("string"), F.lit("</h2>"), body).alias("html"))
+    return html.blocks(rows, "doc_id", "html").drop("anchors")
 
 
 @query("""SELECT 1 AS box, 'if x:' || chr(10) || '    y = 1' AS text""")

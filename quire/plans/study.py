@@ -215,15 +215,19 @@ def q_frontmatter(spark, d):
     return table(spark, d, "chunks").select("chunk_id", notes.front_matter(c("book"), c("chapter"), c("section"), c("page_start"), c("page_end")).alias("header"))
 
 
-@query("""WITH v(id, language, brief, body) AS (VALUES (1, 'en', 'Short.', 'Long text.'), (2, 'pl', '', 'Treść.'), (3, 'en', '  ', ''))
-SELECT id, concat_ws(chr(10) || chr(10), '# Title', concat_ws(chr(10) || chr(10),
- CASE WHEN trim(brief) <> '' THEN '## ' || CASE language WHEN 'pl' THEN 'W skrócie' ELSE 'In short' END || chr(10) || chr(10) || trim(brief) END,
- CASE WHEN trim(body) <> '' THEN '## ' || CASE language WHEN 'pl' THEN 'Wyjaśnienie' ELSE 'Explanation' END || chr(10) || chr(10) || trim(body) END)) AS note,
- CAST((trim(brief) = '') AS INTEGER) + CAST((trim(body) = '') AS INTEGER) AS missing FROM v""")
+# a note of every document: its first paragraph in short, the rest explained
+@query(f"""WITH v AS (SELECT doc_id AS id, lower(coalesce(lang, 'en')) AS language, split_part(text, chr(10) || chr(10), 1) AS brief, substring(text, length(split_part(text, chr(10) || chr(10), 1)) + 1) AS body FROM documents WHERE text IS NOT NULL),
+w AS (SELECT id, language, regexp_replace(brief, '^{B}+|{B}+$', '', 'g') AS brief, regexp_replace(body, '^{B}+|{B}+$', '', 'g') AS body FROM v)
+SELECT id, md5(concat_ws(chr(10) || chr(10), '# Title', coalesce(concat_ws(chr(10) || chr(10),
+ CASE WHEN brief <> '' THEN '## ' || CASE language WHEN 'pl' THEN 'W skrócie' ELSE 'In short' END || chr(10) || chr(10) || brief END,
+ CASE WHEN body <> '' THEN '## ' || CASE language WHEN 'pl' THEN 'Wyjaśnienie' ELSE 'Explanation' END || chr(10) || chr(10) || body END), ''))) AS note,
+ CAST((brief = '') AS INTEGER) + CAST((body = '') AS INTEGER) AS missing FROM w""")
 def q_note_assemble(spark, d):
-    rows = spark.createDataFrame([(1, "en", "Short.", "Long text."), (2, "pl", "", "Treść."), (3, "en", "  ", "")], "id int, language string, brief string, body string")
-    parts = F.create_map(F.lit("In short"), F.col("brief"), F.lit("Explanation"), F.col("body"))
-    return rows.select("id", notes.assemble(F.lit("Title"), parts, F.col("language")).alias("note"), F.size(notes.missing_sections(parts)).alias("missing"))
+    brief = F.split("text", "\n\n", 2)[0]
+    body = F.substring(F.col("text"), F.length(brief) + 1, F.length("text"))
+    parts = F.create_map(F.lit("In short"), brief, F.lit("Explanation"), body)
+    rows = documents(spark, d)
+    return rows.select(F.col("doc_id").alias("id"), F.md5(notes.assemble(F.lit("Title"), parts, F.lower(F.coalesce("lang", F.lit("en"))))).alias("note"), F.size(notes.missing_sections(parts)).alias("missing"))
 
 
 # ---------------------------------------------------------------- files

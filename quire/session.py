@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,8 @@ DEFAULTS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # files of checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,18 +37,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a result once to the shared checkpoint folder and read it back.
-
-    The folder is the session's spark.checkpoint.dir.  Only where that is
-    unset, as in local tests, a folder of our own is taken; its files then go
-    with the temporary directory of the one machine there is."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what must outlive an executor: the session's
+    spark.checkpoint.dir.  Only on a single machine, where that is unset, as
+    in local tests, a temporary folder of our own is taken."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a result once to the shared checkpoint folder and read it back.
+    With spark.cleaner.referenceTracking.cleanCheckpoints, as ``session`` sets
+    it, the files go when the result isn't referred to any more."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

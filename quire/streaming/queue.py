@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.session import shared_folder
+
 
 def event_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Parquet files of a folder as a stream, with the schema of what is there."""
@@ -23,7 +25,7 @@ def status_counts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     name = "status_" + uuid.uuid4().hex
     counted = event_stream(spark, folder, pattern).groupBy(F.col("event_type").alias("status"))
     counted = counted.agg(F.count("*").alias("events"), F.max("event_id").alias("last_id"))
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 

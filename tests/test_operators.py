@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import figures, listing, notes, outline, plan, planning, stages, state, verify
+from quire.operators import cleaning, figures, files, listing, notes, outline, plan, planning, stages, state, verify
+from quire.sources import sinks
 from quire.streaming.queue import consume, event_stream, windowed_counts
 
 DAY = datetime(2024, 1, 1)
@@ -227,3 +228,55 @@ def test_verify_cells_code_and_switch(spark):
 def test_glossary_keeps_its_sources(spark):
     entries = spark.createDataFrame([("n2", 0, "Gate", "bramka"), ("n1", 1, "gate", "brama"), ("n1", 0, "node", "węzeł"), ("n2", 3, "gate", "x")], "id string, pos int, term string, translation string")
     assert sorted(map(tuple, notes.merge_glossary(entries).collect())) == [("gate", "brama", 2, ["n1", "n2"]), ("node", "węzeł", 1, ["n1"])]
+
+
+def test_watermarks_leave_one_blank(spark):
+    mark, once = "0123456789abcdef" * 2, "f" * 31 + "1"
+    rows = [("b", 1, f"one {mark}  two\n{mark} three\nfour {mark}\n{once}"), ("b", 2, mark), ("b", 3, f"x{mark} {mark}"), ("c", 1, once), ("b", 4, None)]
+    pages = spark.createDataFrame(rows, "book string, page int, text string")
+    found = {(r.book, r.page): r.text for r in cleaning.without_watermarks(pages).collect()}
+    assert found == {("b", 1): f"one two\nthree\nfour\n{once}", ("b", 2): "", ("b", 3): f"x{mark}", ("c", 1): once, ("b", 4): None}
+
+
+def test_language_can_be_set(spark):
+    pages = spark.createDataFrame([("a", 1, "żółw ślimak"), ("b", 1, "żółw ślimak"), ("c", 1, ""), ("d", 1, "plain")], "book string, page int, text string")
+    given = spark.createDataFrame([("a", "EN"), ("b", None)], "book string, language string")
+    assert {r.book: r.language for r in cleaning.language(pages, settings=given).collect()} == {"a": "en", "b": "pl", "c": "en", "d": "en"}
+
+
+def test_a_stage_goes_on_where_it_ended(spark):
+    class Fails(stages.ExtractiveModel):
+        def complete(self, prompt):
+            if "bad" in prompt:
+                raise RuntimeError("no answer")
+            return super().complete(prompt)
+
+    work = spark.createDataFrame([(k, p, "Source text.") for k, p in ((1, "done before"), (2, "bad"), (3, "fine"), (4, "stopped"))], "id int, prompt string, source string")
+    events = spark.createDataFrame([(1, 5, "done", DAY), (1, 4, "failed", DAY), (3, 1, "failed", DAY)], "id int, event int, status string, ts timestamp")
+    made, new = stages.advance(work, events, Fails, F.lit(DAY), work.where("id = 4"))
+    assert {r.id: r.status for r in made.collect()} == {2: "failed", 3: "done"}
+    assert sorted((r.id, r.event, r.status) for r in new.collect()) == [(2, 0, "running"), (2, 1, "failed"), (3, 0, "running"), (3, 1, "done")]
+
+
+def test_runs_and_claims(spark):
+    at = lambda k: datetime(2024, 1, 1, k)
+    rows = [(1, 1, "running", 1, None), (1, 2, "failed", 2, "e"), (1, 3, "running", 3, None), (2, 4, "running", 1, None), (2, 5, "done", 2, None), (3, 6, "queued", 1, None), (3, 7, "running", 0, None), (3, 9, "running", 2, None), (3, 8, "running", 2, None)]
+    events = spark.createDataFrame([(k, i, s, at(t), e) for k, i, s, t, e in rows], "k int, id int, status string, ts timestamp, error string")
+    runs = {r.k: (r.status, r.started, r.finished, r.error) for r in state.stage_runs(events, ["k"]).collect()}
+    assert runs[1] == ("running", at(3), None, None) and runs[2] == ("done", at(1), at(2), None)
+    assert [(r.k, r.id) for r in state.claims(events, ["k"]).collect()] == [(3, 8)]
+    jobs = state.enqueued(spark.createDataFrame([(1, "b", 7), (2, "b", None)], "id int, book string, total int"), "generate", "m", F.lit(DAY))
+    told = jobs.unionByName(jobs.where("id = 1").withColumn("ts", F.lit(at(9))).withColumn("done", F.lit(3)))
+    assert sorted((r.id, r.done, r.total) for r in state.progress(told.withColumn("k", F.col("id")), ["k"]).withColumnRenamed("k", "id").collect()) == [(1, 3, 7), (2, 0, 0)]
+
+
+def test_files(spark):
+    chunks = spark.createDataFrame([("b", 1, 1, 1, "1", "Start: one", 1, 2, " text \n"), ("b", 2, 2, 1, "1.2", "A/B", 3, 4, "x"), ("b", 3, 3, None, "003", None, 5, 5, None), ("c", 4, 1, 2, "2.1", "Other", 1, 1, "y")], "book string, chunk_id int, ord int, chapter int, section string, title string, page_start int, page_end int, text string")
+    books = spark.createDataFrame([("b", "A book", None, None)], "slug string, title string, domain string, language string")
+    drawn = spark.createDataFrame([(1, "b", "f1", 2, "", "x/f1.png"), (2, "b", "f2", 1, "Shown", "x/f2.png")], "figure_id int, book string, id string, page int, caption string, path string")
+    made = {r.chunk_id: r for r in files.export_files(chunks, drawn, books).collect()}
+    assert made[1].path == "_source/b/01-start-one/01 Start one.md" and made[2].path == "_source/b/01-start-one/01.02 A - B.md" and made[3].path == "_source/b/00-unsorted/003.md" and made[4].path == "_source/c/02/02.01 Other.md"
+    assert made[1].text.endswith("## Figures\n\n![f2.png](../figures/f2.png)\n*Shown*\n\n![f1.png](../figures/f1.png)\n*f1*\n\n## Source text\n\ntext\n") and "## Figures" not in made[2].text
+    assert sinks.header(made[2].text) == {"source": '"A book"', "chapter": "1", "section": '"1.2"', "pages": "[3, 4]", "stage": "export", "generator": "quire", "tags": "[general, b, chapter-01]"}
+    maps = {r.book: r for r in files.chapter_maps(chunks, books).collect()}
+    assert maps["b"].path == "01-start-one/01 Start one — chapter map.md" and not maps["b"].clash and "- [[01.02 A - B]] — pages 3-4\n" in maps["b"].text
