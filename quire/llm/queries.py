@@ -7,12 +7,12 @@ from quire.llm.packing import p6_packed
 from quire.llm.repeated_lines import p4_clean, p4_found
 from quire.llm.scan_noise import p1_found, p1_repaired
 from quire.llm.splitting import p2_found, p2_pieces
-from quire.llm.shared_spans import p7_found, p7_shared, p7_stretches
+from quire.llm.shared_spans import p7_found, p7_members, p7_shared, p7_stretches
 from quire.llm.tokens import p5_ids
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p4_clean, p5_ids, p6_packed, p7_found, p7_stretches, p7_shared)
+    for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p4_clean, p5_ids, p6_packed, p7_found, p7_stretches, p7_members, p7_shared)
 }
 
 ORACLE: dict[str, str] = {

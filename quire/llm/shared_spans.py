@@ -2,17 +2,19 @@
 
 Method: units are hashed, their digests grouped over the whole corpus, the
 earliest ranked occurrence is kept and the rest can be removed by its original
-offsets.  Lines and paragraphs can't be the units here, since a shared span may
-begin and end in the middle of both; the units are the windows of ``least``
-code points, taken only around anchors that the content itself picks:
+offsets.  Paragraphs, without the white space at their ends, are the first
+units.  A shared span may begin and end in the middle of a paragraph, so by
+themselves they don't give all; the further units are windows of ``least`` code
+points, taken only around anchors that the content itself picks:
 
 1. An anchor is a position whose GRAM code points have the least digest in a
    window of ``least - GRAM + 1`` positions.  Any span of ``least`` code points
    holds such an anchor, the same wherever the span stands.
-2. Only anchors whose digest occurs in several texts go on, with the text
-   around them.  What two surroundings have in common is a unit if it has
-   ``least`` code points; around anchors that occur often, every window of
-   ``least`` code points is a unit instead, so nothing is paired there.
+2. Only paragraphs and anchors whose digest occurs in several texts go on, the
+   anchors with the text around them.  What two surroundings have in common is
+   a unit if it has ``least`` code points; around anchors that occur often,
+   every window of ``least`` code points is a unit instead, so nothing is
+   paired there.
 3. Units with equal digests (128 bits) in several texts are the shared spans.
 
 Equal texts are one text throughout, by digest, and are spread to documents at
@@ -21,6 +23,7 @@ the end.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -37,12 +40,15 @@ GRAM = 96
 #: Occurrences of an anchor up to which their surroundings are compared with
 #: each other; beyond, every window around the anchor is hashed.
 COMPARED = 64
+#: Documents with one unit that one task pairs with all of them.
+PAIRED_TOGETHER = 4096
 #: Code points that are hashed together, so that arrays stay in the cache.
 TOGETHER = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0x5851F42D4C957F2D
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PARAGRAPH = re.compile(r"\S[^\n]*(?:\n(?![^\S\n]*(?:\n|$))[^\n]*)*")
 
 
 def gram_digests(points: np.ndarray) -> np.ndarray:
@@ -99,6 +105,12 @@ def anchors(texts: list[str], least: int) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
+def paragraphs(text: str, least: int) -> dict[int, int]:
+    """Where each paragraph of ``least`` code points begins, and where it ends."""
+    found = ((m.start(), m.start() + len(m[0].rstrip())) for m in _PARAGRAPH.finditer(text))
+    return {start: stop for start, stop in found if stop - start >= least}
+
+
 def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
     a, held = 0, 0
     for b, size in enumerate(sizes):
@@ -111,18 +123,20 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _anchor_rows(least: int):
-    """Over (key, text): (digest, key, at) of every anchor."""
+    """Over (key, text): (digest, key, at) of every anchor and, with -1 - at,
+    of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in _groups([len(t) for t in texts]):
                 found = anchors(texts[a:b], least)
+                whole = [(k, -1 - start, _digest(texts[k][start:stop])[0]) for k in range(a, b) for start, stop in paragraphs(texts[k], least).items()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([d for _, d in found])),
-                        pa.array(np.repeat(keys[a:b], [len(p) for p, _ in found])),
-                        pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)),
+                        pa.array(np.concatenate([*(d for _, d in found), np.array([d for *_, d in whole], np.int64)])),
+                        pa.array(np.concatenate([np.repeat(keys[a:b], [len(p) for p, _ in found]), keys[[k for k, *_ in whole]]])),
+                        pa.array(np.concatenate([*(p for p, _ in found), np.array([at for _, at, _ in whole], np.int64)]).astype(np.int32)),
                     ],
                     names=["digest", "key", "at"],
                 )
@@ -130,26 +144,30 @@ def _anchor_rows(least: int):
     return run
 
 
+_CONTEXT = "doc bigint, digest bigint, start int, before int, context string, u1 bigint, u2 bigint, stop int"
+
+
 def _contexts(least: int):
-    """Over (doc, text, hits): the text around each anchor."""
+    """Over (doc, text, hits): the text around each anchor; each paragraph as a
+    unit (u1, u2, doc, start, stop)."""
     around = least - GRAM
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, digests, starts, befores, contexts = [], [], [], [], []
+            rows: list[tuple] = []
             for doc, text, hits in zip(*(c.to_pylist() for c in batch.columns)):
+                ends = paragraphs(text, least) if any(h["at"] < 0 for h in hits) else {}
                 for hit in hits:
                     at = hit["at"]
-                    start = max(0, at - around)
-                    docs.append(doc)
-                    digests.append(hit["digest"])
-                    starts.append(start)
-                    befores.append(at - start)
-                    contexts.append(text[start : at + least])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(digests, pa.int64()), pa.array(starts, pa.int32()), pa.array(befores, pa.int32()), pa.array(contexts, pa.string())],
-                names=["doc", "digest", "start", "before", "context"],
-            )
+                    if at >= 0:
+                        start = max(0, at - around)
+                        rows.append((doc, hit["digest"], start, at - start, text[start : at + least], None, None, None))
+                    else:
+                        start, stop = -1 - at, ends[-1 - at]
+                        rows.append((doc, hit["digest"], start, None, None, *_digest(text[start:stop]), stop))
+            columns = list(zip(*rows)) or [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _CONTEXT.split(", ")])
 
     return run
 
@@ -222,6 +240,16 @@ def _compared(least: int):
     return run
 
 
+def _all_pairs(sets: DataFrame, keys: list[str], member: str, size: str, a: str, b: str) -> DataFrame:
+    """(keys, a, b), a < b: the pairs of the members of each set, of which
+    ``size`` says how many it has.  One side of a large set is dealt out to
+    parts, the other goes to each of them."""
+    parts = F.ceil(F.col(size) / PAIRED_TOGETHER).cast("int")
+    left = sets.select(*keys, F.col(member).alias(a), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = sets.select(*keys, F.col(member).alias(b), F.pmod(F.xxhash64(member), parts).cast("int").alias("part"))
+    return left.join(right, [*keys, "part"]).where(F.col(a) < F.col(b))
+
+
 class SharedSpans:
     """The shared spans of one table of documents.
 
@@ -252,15 +280,17 @@ class SharedSpans:
         hits = docs.select("doc_id", "text").mapInArrow(run, rows).join(often, "digest").withColumnRenamed("key", "doc_id")
         firsts = ids.join(copies, ["t1", "t2"]).where("doc_id = first").select("doc_id")
         per_doc = hits.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "at")).alias("hits"))
-        with_text = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", "hits")
-        contexts = with_text.mapInArrow(_contexts(least), "doc bigint, digest bigint, start int, before int, context string")
-        contexts = cut(contexts.where(F.length("context") >= least).distinct())
+        # rows are repeated rarely; where they are, one of them is taken without another shuffle
+        with_text = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", "hits").dropDuplicates(["doc_id"])
+        contexts = cut(with_text.mapInArrow(_contexts(least), _CONTEXT).where((F.length("context") >= least) | F.col("u1").isNotNull()))
+        whole = contexts.where("u1 IS NOT NULL").select("u1", "u2", "doc", "start", "stop")
+        contexts = contexts.where("u1 IS NULL").select("doc", "digest", "start", "before", "context")
         count = contexts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
         around = contexts.join(count, "digest")
         held = around.where(F.col("n") <= COMPARED).groupBy("digest").agg(F.collect_list(F.struct("doc", "start", "before", "context")).alias("held"))
         compared = held.select("held").mapInArrow(_compared(least), _UNIT)
         windows = around.where(F.col("n") > COMPARED).select("doc", "start", "context").mapInArrow(_windows(least), _UNIT)
-        self.units = cut(compared.unionAll(windows).distinct())
+        self.units = cut(whole.unionAll(compared).unionAll(windows).distinct())
 
     def _shared(self) -> DataFrame:
         """Units of several texts: u1, u2, the first document that has it, and
@@ -270,19 +300,28 @@ class SharedSpans:
         per = per.agg(F.count("*").alias("n"), F.min("doc").alias("earliest"), F.bit_xor(h).alias("x"), F.bit_xor(g).alias("y"))
         return per.where("n > 1")
 
+    def members(self) -> DataFrame:
+        """(doc_id, earliest, start, stop): for every document each unit that
+        it shares, with the least document that has it, its representative.
+        One row per unit and document, however many have it."""
+        shared = self._shared().select("u1", "u2", F.col("earliest"))
+        held = self.units.join(shared, ["u1", "u2"]).select("doc", "start", "stop", "earliest")
+        spread = self.texts.select("doc_id", F.col("first").alias("doc"))
+        whole = self.texts.where("copies > 1").select("doc_id", F.col("first").alias("earliest"), F.lit(0).alias("start"), F.col("size").alias("stop"))
+        return held.join(spread, "doc").select("doc_id", "earliest", "start", "stop").unionByName(whole).distinct()
+
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b, of all documents that share a span.
-        Units with one and the same set of documents give their pairs once."""
+        Units with one and the same set of documents give their pairs once.  A
+        set of many documents is paired in parts, so that no task makes all
+        pairs of one; ``members`` has the same links without making them."""
         one = self._shared().groupBy("n", "x", "y").agg(F.min(F.struct("u1", "u2")).alias("u"))
-        sets = self.units.join(one.select("u.u1", "u.u2"), ["u1", "u2"]).select("u1", "u2", "doc").distinct()
-        other = sets.withColumnRenamed("doc", "other")
-        between = sets.join(other, ["u1", "u2"]).where("doc < other").select("doc", "other").distinct()
+        sets = self.units.join(one.select("u.u1", "u.u2", "n"), ["u1", "u2"]).select("u1", "u2", "n", "doc").distinct()
+        between = _all_pairs(sets, ["u1", "u2"], "doc", "n", "doc", "other").select("doc", "other").distinct()
         spread = self.texts.select(F.col("first").alias("doc"), F.col("doc_id").alias("a"))
         spread_b = self.texts.select(F.col("first").alias("other"), F.col("doc_id").alias("b"))
         out = between.join(spread, "doc").join(spread_b, "other").select("a", "b")
-        copied = self.texts.where("copies > 1")
-        left = copied.select("first", F.col("doc_id").alias("a"))
-        within = left.join(copied.select("first", F.col("doc_id").alias("b")), "first").where("a < b").select("a", "b")
+        within = _all_pairs(self.texts.where("copies > 1").select("first", "doc_id", "copies"), ["first"], "doc_id", "copies", "a", "b").select("a", "b")
         out = out.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
         # the pairs of two texts and those of one text never meet
         return out.unionAll(within.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
@@ -340,5 +379,9 @@ def p7_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents")).stretches()
 
 
+def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedSpans(table(spark, sf_dir, "documents")).members()
+
+
 def p7_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_characters(table(spark, sf_dir, "documents"))

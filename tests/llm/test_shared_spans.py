@@ -14,6 +14,9 @@ def corpus():
     docs = {1: fresh(300) + part + fresh(90), 2: part[:200] + fresh(40), 3: fresh(50) + part[60:], 4: part[61:] + fresh(5), 5: fresh(700)}
     for k in range(6, 14):  # 199 characters are none
         docs[k] = fresh(120) + notice + fresh(120)
+    whole = fresh(210)
+    for k in range(30, 36):  # a paragraph of its own
+        docs[k] = fresh(90) + "\n\n" + whole + "\n \n" + fresh(30)
     docs |= {20: docs[5], 21: docs[5], 22: "z" * 900, 23: "z" * 400 + fresh(30), 24: "short", 25: "", 26: None}
     return docs
 
@@ -28,9 +31,17 @@ def expected(docs, least=200):
     return pairs, shared
 
 
-@pytest.mark.parametrize("compared", [64, 1])
-def test_against_brute_force(spark, monkeypatch, compared):
+def test_paragraphs():
+    a, b = "x y\n" * 60, "long line " * 30
+    text = f"  {a} \t\n\r\n{b}\n\nshort\n \n{a}"
+    found = shared_spans.paragraphs(text, 200)
+    assert [text[s:e] for s, e in found.items()] == [a.strip(), b.strip(), a.strip()]
+
+
+@pytest.mark.parametrize("compared, together", [(64, 4096), (1, 2)])
+def test_against_brute_force(spark, monkeypatch, compared, together):
     monkeypatch.setattr(shared_spans, "COMPARED", compared)
+    monkeypatch.setattr(shared_spans, "PAIRED_TOGETHER", together)
     docs = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()] + [(1, docs[1], "x"), (None, docs[1], "x")], "doc_id bigint, text string, size string")
     pairs, shared = expected(docs)
@@ -38,6 +49,9 @@ def test_against_brute_force(spark, monkeypatch, compared):
     rows = [tuple(r) for r in found.pairs().collect()]
     assert len(rows) == len(set(rows)) and set(rows) == pairs
     assert {r.doc_id: r.shared for r in shared_characters(df).collect()} == shared
+    members = {(r.doc_id, r.earliest) for r in found.members().collect()}
+    linked = lambda a, b: any((a, e) in members and (b, e) in members for e in docs)
+    assert all(linked(a, b) for a, b in pairs) and {d for d, _ in members} == {d for d, n in shared.items() if n}
     kept = {r.doc_id: r.text for r in without_shared(df).collect() if r.doc_id}
     assert kept[20] == "" and kept[5] == docs[5] and kept[26] is None and kept[1] == docs[1] and len(kept[2]) < 45
 
