@@ -279,7 +279,8 @@ class SharedSpans:
         often = often.where("a <> b").select("digest")
         hits = docs.select("doc_id", "text").mapInArrow(run, rows).join(often, "digest").withColumnRenamed("key", "doc_id")
         firsts = ids.join(copies, ["t1", "t2"]).where("doc_id = first").select("doc_id")
-        per_doc = hits.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "at")).alias("hits"))
+        # an inner join, for a semi join would be moved before the one that leaves few anchors
+        per_doc = hits.join(firsts.distinct(), "doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "at")).alias("hits"))
         # rows are repeated rarely; where they are, one of them is taken without another shuffle
         with_text = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", "hits").dropDuplicates(["doc_id"])
         contexts = cut(with_text.mapInArrow(_contexts(least), _CONTEXT).where((F.length("context") >= least) | F.col("u1").isNotNull()))
