@@ -16,11 +16,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import table
+from quire.session import cut, table
 
 # Letters and signs of other scripts with the Latin (or Greek)
 # character they can't be told from.
@@ -125,16 +125,18 @@ def same_looking(records: DataFrame) -> DataFrame:
     records with equal strings never meet; a string of many records is spread
     in parts of IDS_TOGETHER.  ``one_form`` gives the same as membership: a row
     per record with its class."""
-    rows = records.where("book IS NOT NULL AND id IS NOT NULL AND s <> ''").select("book", "id", "s").distinct()
-    counted = rows.groupBy("book", "s").agg(F.count("*").alias("n"))
-    strings = one_form(counted, "s").where("form <> ''").select("book", "form", "s", "n")
-    other = strings.select("book", "form", F.col("s").alias("t"), F.col("n").alias("m"))
+    rows = records.where("book IS NOT NULL AND id IS NOT NULL AND s <> ''").select("book", "id", "s")
+    strings = one_form(rows.select("book", "s").distinct(), "s").where("form <> ''")
+    # two strings only differ in form-neutral ways if their form has several strings
+    alike = F.count("*").over(Window.partitionBy("book", "form"))
+    classes = strings.withColumn("alike", alike).where("alike > 1").select("book", "form", "s")
+    members = cut(rows.join(classes, ["book", "s"]).select("book", "form", "s", "id").distinct())
+    sizes = members.groupBy("book", "form", "s").agg(F.count("*").alias("n"))
+    other = sizes.select("book", "form", F.col("s").alias("t"), F.col("n").alias("m"))
     # distinct strings of one form; each such pair gives at least one row
-    pairs = strings.join(other, ["book", "form"]).where("s < t").select("book", "s", "t", "n", "m")
-
+    pairs = sizes.join(other, ["book", "form"]).where("s < t").select("book", "s", "t", "n", "m")
     parts = lambda n: F.ceil(F.col(n) / IDS_TOGETHER).cast("int")
-    paired = pairs.select("book", "s", "n").unionAll(pairs.select("book", F.col("t").alias("s"), F.col("m").alias("n"))).distinct()
-    members = rows.join(paired, ["book", "s"]).select("book", "s", "id", F.pmod(F.xxhash64("id"), parts("n")).cast("int").alias("part"))
+    members = members.join(sizes.drop("form"), ["book", "s"]).select("book", "s", "id", F.pmod(F.xxhash64("id"), parts("n")).cast("int").alias("part"))
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
     left = pairs.withColumn("part", every("n")).join(members.withColumnRenamed("id", "x"), ["book", "s", "part"])
     right = members.select("book", F.col("s").alias("t"), "part", F.col("id").alias("y"))
