@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import figures, files, notes, state, verify
+from quire.operators import figures, files, notes, stages, state, verify
 from quire.session import table
-from quire.streaming.queue import status_counts
+from quire.sources import log
+from quire.streaming.queue import status_counts, windowed_table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -352,9 +353,48 @@ def q_eta(spark, d):
     return state.eta_minutes(jobs)
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 60")
+@query("""SELECT strftime(ts, '%H:%M:%S') || ' ' || event_type || ' event ' || event_id || CASE WHEN event_id % 2 = 0 THEN ' user=' || user_id ELSE '' END AS line FROM events ORDER BY ts DESC, event_id DESC LIMIT 60""")
 def q_log_tail(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(60).select("event_id", "event_type")
+    extra = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("user"), F.col("user_id").cast("string")))
+    message = F.concat(F.lit("event "), F.col("event_id").cast("string"))
+    events = table(spark, d, "events").select("ts", "event_id", F.col("event_type").alias("stage"), message.alias("message"), extra.alias("extra"), F.lit(None).cast("string").alias("_corrupt"))
+    return log.tail(events, order=("event_id",))
+
+
+@query("""SELECT date_trunc('hour', ts) AS begins, event_type, count(*) AS events FROM events GROUP BY ALL""")
+def q_windowed_counts(spark, d):
+    return windowed_table(spark, d, "events.parquet")
+
+
+# formulas in brackets around every glossary term, and its listings left as they are
+@query("""SELECT doc_id, md5(text || ' $x_1$ and' || chr(10) || '$$a' || chr(10) || '+ b$$') AS digest FROM documents WHERE text IS NOT NULL AND NOT contains(text, '\\(') AND NOT contains(text, '\\[')""")
+def q_normalise_math(spark, d):
+    rows = documents(spark, d).where(~F.contains("text", F.lit("\\(")) & ~F.contains("text", F.lit("\\[")))
+    return rows.select("doc_id", F.md5(T.normalise_math(F.concat("text", F.lit(" \\( x_1 \\) and\n\\[ a\n+ b \\]")))).alias("digest"))
+
+
+# what a model is shown of a chunk beside a figure: 1200 characters round its caption, else the beginning
+@query("""WITH f AS (SELECT DISTINCT ON (figure_id) * FROM figures), m AS (SELECT chunk_id, figure_id, text, CASE WHEN length(caption) > 0 THEN instr(text, substring(caption, 1, 40)) ELSE 0 END AS place FROM f JOIN chunks c ON c.book = f.book AND f.page BETWEEN c.page_start AND c.page_end)
+SELECT chunk_id, figure_id, md5(substring(text, CASE WHEN place > 0 THEN greatest(place - 600, 1) ELSE 1 END, 1200)) AS digest FROM m""")
+def q_figure_context(spark, d):
+    drawn, chunks = figures.distinct_figures(table(spark, d, "figures")), table(spark, d, "chunks")
+    held = figures.in_chunks(drawn, chunks).join(drawn.select("figure_id", "caption"), "figure_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    return held.select("chunk_id", "figure_id", F.md5(stages.context_for(F.col("text"), F.col("caption"))).alias("digest"))
+
+
+# the embed of every figure with a description put in place of its caption line, and then another one
+@query(f"""WITH f AS (SELECT DISTINCT ON (figure_id) * FROM figures) SELECT figure_id, '![[' || book || '/' || id || '.png]]' || chr(10) || '*costs $' || figure_id || ' or \\*' AS note FROM f""")
+def q_insert_description(spark, d):
+    held = figures.embeds(figures.distinct_figures(table(spark, d, "figures")).withColumn("caption", F.lit("a caption"))).join(figures.distinct_figures(table(spark, d, "figures")).select("figure_id", "id"), "figure_id")
+    file = F.concat("id", F.lit(".png"))
+    first = stages.insert_description(F.col("embed"), file, F.lit("first"))
+    return held.select("figure_id", stages.insert_description(first, file, F.concat(F.lit("costs $"), F.col("figure_id").cast("string"), F.lit("  or \\"))).alias("note"))
+
+
+@query(f"WITH {_EV}, {_LAST} SELECT id, user_id FROM last WHERE status <> 'done' AND NOT starts_with(status, 'stop')")
+def q_without_stage(spark, d):
+    runs = state.latest(_events(spark, d), ["user_id"]).withColumn("stage", F.when(F.col("status").startswith("stop"), F.concat(F.lit("done:"), "status")).otherwise(F.col("status")))
+    return state.without_stage(runs, "done").select("id", "user_id")
 
 
 @query("SELECT event_type AS status, count(*) AS events, max(event_id) AS last_id FROM events GROUP BY event_type")

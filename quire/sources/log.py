@@ -17,9 +17,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def tail(events: DataFrame, n: int = 60) -> DataFrame:
-    """(line) of the newest events; malformed lines pass through."""
+def tail(events: DataFrame, n: int = 60, order: tuple[str, ...] = ()) -> DataFrame:
+    """(line) of the newest events; malformed lines pass through.  ``order``:
+    columns that rank events of one time."""
     stamp = F.date_format("ts", "HH:mm:ss")
     extra = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
     line = F.coalesce("_corrupt", F.concat_ws(" ", stamp, F.col("stage"), F.col("message"), F.nullif(extra, F.lit(""))))
-    return events.orderBy(F.desc_nulls_last("ts")).limit(n).select(line.alias("line"))
+    return events.orderBy(F.desc_nulls_last("ts"), *map(F.desc, order)).limit(n).select(line.alias("line"))

@@ -34,6 +34,18 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"))
 
 
+def windowed_table(spark: SparkSession, folder: str, pattern: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """(begins, event_type, events) of what is there, by a stream that takes it
+    and ends; one row per window and type."""
+    name = "windows_" + uuid.uuid4().hex
+    events = event_stream(spark, folder, pattern)
+    kind = events.schema["ts"].dataType.simpleString()
+    counted = windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), width, late)
+    flat = counted.select(F.col("window.start").cast(kind).alias("begins"), "event_type", "events")
+    flat.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def consume(jobs: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Run ``handle(batch, batch_id)`` on every batch.  The checkpoint keeps
     track of what was read; a handler that writes under the batch's id makes
