@@ -14,8 +14,8 @@ from quire.operators import notes, plan
 SOURCES, GLOSSARY_FILE, DOMAIN = "_source", "_Glossary.md", "general"
 # What chapter maps and the glossary say, by language.
 WORDS = {
-    "en": {"map": "chapter map", "order": "Notes in reading order:", "pages": "pages", "glossary": "Glossary"},
-    "pl": {"map": "mapa rozdziału", "order": "Notatki w kolejności czytania:", "pages": "strony", "glossary": "Słowniczek"},
+    "en": {"map": "chapter map", "order": "Notes in reading order:", "pages": "pages", "glossary": "Glossary", "sections": "Sections"},
+    "pl": {"map": "mapa rozdziału", "order": "Notatki w kolejności czytania:", "pages": "strony", "glossary": "Słowniczek", "sections": "Sekcje"},
 }
 
 
@@ -62,10 +62,13 @@ def note_paths(chunks: DataFrame, books: DataFrame) -> DataFrame:
     return placed(chunks, books).select("book", "chunk_id", F.concat("folder", F.lit("/"), "stem", F.lit(".md")).alias("path"))
 
 
-def figure_lines(figures: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(chunk_id, figures): links to the figures on a chunk's pages, in order."""
-    name = F.substring_index("path", "/", -1)
-    shown = F.concat(F.lit("!["), name, F.lit("](../figures/"), name, F.lit(")\n*"), F.coalesce(F.nullif("caption", F.lit("")), "id"), F.lit("*"))
+def figure_lines(figures: DataFrame, chunks: DataFrame, embedded: bool = False) -> DataFrame:
+    """(chunk_id, figures): the figures on a chunk's pages, in order, as links
+    or, for notes, embedded with a line that a description replaces."""
+    name, caption = F.substring_index("path", "/", -1), F.coalesce(F.nullif("caption", F.lit("")), "id")
+    shown = F.concat(F.lit("!["), name, F.lit("](../figures/"), name, F.lit(")\n*"), caption, F.lit("*"))
+    if embedded:
+        shown = F.concat(F.lit("![[attachments/"), "book", F.lit("/"), name, F.lit("]]\n*"), caption, F.lit(" — description pending.*"))
     held = pictures.in_chunks(figures, chunks).join(figures.select("figure_id", "page", shown.alias("shown")), "figure_id")
     per = held.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("page", "figure_id", "shown"))).alias("f"))
     return per.select("chunk_id", F.array_join("f.shown", "\n\n").alias("figures"))
@@ -87,6 +90,23 @@ def export_files(chunks: DataFrame, figures: DataFrame, books: DataFrame) -> Dat
     return held.select("book", "chunk_id", path.alias("path"), F.concat(F.concat_ws("\n\n", top, title, block, source), F.lit("\n")).alias("text"))
 
 
+def note_files(chunks: DataFrame, figures: DataFrame, books: DataFrame, model: str, day: Column) -> DataFrame:
+    """(book, chunk_id, path, text): the notes of chunks that have ``sections``
+    (a map by the names of the contract): header, title, the sections it
+    merges, and what was written, with the figures of its pages."""
+    held = placed(chunks.where("sections IS NOT NULL"), books).join(figure_lines(figures, chunks, embedded=True), "chunk_id", "left")
+    c = F.col
+    top = header(
+        c("book_title"), _of("chapter", c("chapter")), _of("section", c("section"), True), F.format_string("pages: [%d, %d]", "page_start", "page_end"), F.lit(f"model: {model}"),
+        F.concat(F.lit("generated: "), F.date_format(day, "yyyy-MM-dd")), F.lit("generator: quire"), _tags(c("domain"), c("book"), F.concat(F.lit("chapter-"), F.coalesce(two_digits(c("chapter")), F.lit("na")))),
+    )
+    parts = F.when(F.size("parts") > 0, F.concat(F.lit("*"), word("sections", c("language")), F.lit(": "), F.array_join("parts", " · "), F.lit("*")))
+    made = F.when(c("figures").isNull(), c("sections")).otherwise(F.map_concat("sections", F.create_map(F.lit("Figures"), c("figures"))))
+    title = T.strip(F.concat(F.lit("# "), F.concat_ws(" ", "section", "title")))
+    text = F.concat(F.concat_ws("\n\n", top, title, parts, F.nullif(notes.written(made, F.coalesce("language", F.lit("en"))), F.lit(""))), F.lit("\n"))
+    return held.select("book", "chunk_id", F.concat("folder", F.lit("/"), "stem", F.lit(".md")).alias("path"), text.alias("text"))
+
+
 def chapter_maps(chunks: DataFrame, books: DataFrame) -> DataFrame:
     """(book, chapter, path, text, clash): a file for every chapter with the
     links to its notes in order.  clash: its path is a note's."""

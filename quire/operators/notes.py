@@ -9,8 +9,8 @@ from quire.functions import text as T
 
 # Headings of a note by language, in the order of a note.
 HEADINGS = {
-    "en": ("In short", "Explanation", "Code", "Figures", "Glossary"),
-    "pl": ("W skrócie", "Wyjaśnienie", "Kod", "Rysunki", "Słowniczek"),
+    "en": ("In short", "Explanation", "Code", "Formulas", "Figures", "Glossary", "Pitfalls", "Exercises"),
+    "pl": ("W skrócie", "Wyjaśnienie", "Kod", "Wzory", "Rysunki", "Słowniczek", "Pułapki", "Ćwiczenia"),
 }
 GLOSSARY = r"(?m)^[-*] \*\*([^\n]+?)\*\* [–—-] ([^\n]+?) [—–-] "
 
@@ -46,6 +46,19 @@ def sections(docs: DataFrame, id_col: str, text_col: str, level: int = 2) -> Dat
     return grouped.select("id", "section", "title", T.strip(F.array_join("b.line", "\n")).alias("body"))
 
 
+def numbered_heads(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, number, title) of the lines that open a numbered section, in
+    order.  A digit that stands apart from the number belongs to it ("2.1 1 X"
+    is 2.11), entities of Markdown are resolved, contents entries and lines
+    that begin in lower case are none.  ``texts``: keys, text."""
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(T.NUMBERED_LINE), 1).alias("number"), F.regexp_extract_all("text", F.lit(T.NUMBERED_LINE), 2).alias("title"))
+    rows = texts.select(*keys, F.posexplode(found).alias("pos", "h")).select(*keys, "pos", "h.number", F.replace("h.title", F.lit("&amp;"), F.lit("&")).alias("title"))
+    apart = F.col("number").rlike("^[0-9]+[.][0-9]$") & F.col("title").rlike("^[0-9][ \t]+[^ \t]")
+    number = F.when(apart, F.concat("number", F.substring("title", 1, 1))).otherwise(F.col("number"))
+    title = F.when(apart, F.regexp_replace("title", "^[0-9][ \t]+", "")).otherwise(F.col("title"))
+    return rows.select(*keys, "pos", number.alias("number"), title.alias("title")).where(T.is_heading_title(F.col("title")))
+
+
 def running_head(heads: DataFrame, keys: list[str]) -> DataFrame:
     """Of the numbered headings of each group the most frequent number, of
     equals the earliest, with its first title.  ``heads``: keys, pos, title."""
@@ -60,19 +73,38 @@ def note_stem(section: Column, title: Column) -> Column:
     return T.file_stem(F.concat_ws(" ", T.padded_section(section), T.section_title(title)))
 
 
+def chapters(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, part, title, body): texts cut at the headings that open a chapter;
+    what comes before the first is part 0 with an empty title.  A text without
+    such a heading has no parts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(T.unix_lines(F.col(text_col)), "\n", -1)).alias("pos", "line"))
+    title = T.squeeze(F.regexp_extract("line", r"^#{1,6}[ \t]+([^\n]*)$", 1))
+    head = F.col("line").rlike(r"^#{1,6}[ \t]+[^ \t]") & T.is_chapter_heading(title)
+    over = Window.partitionBy("id").orderBy("pos")
+    held = rows.withColumn("head", head).withColumn("title", F.when(F.col("head"), title)).withColumn("part", F.count_if("head").over(over).cast("int"))
+    per = held.groupBy("id", "part").agg(F.max("title").alias("title"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    body = per.withColumn("body", T.strip(F.array_join("l.line", "\n"))).withColumn("parts", F.max("part").over(Window.partitionBy("id")))
+    return body.where("parts > 0 AND (part > 0 OR body <> '')").select("id", "part", F.coalesce("title", F.lit("")).alias("title"), "body")
+
+
 def front_matter(source: Column, chapter: Column, section: Column, first: Column, last: Column) -> Column:
     rows = [F.lit("---"), F.concat(F.lit("source: "), source), F.concat(F.lit("chapter: "), F.coalesce(chapter.cast("string"), F.lit("")))]
     rows += [F.concat(F.lit("section: "), section), F.format_string("pages: [%d, %d]", first, last), F.lit("generator: quire"), F.lit("---")]
     return F.concat_ws("\n", *rows)
 
 
-def assemble(title: Column, parts: Column, language: Column) -> Column:
-    """A note: its title, then the sections of a map in the order of the
-    contract under headings of the language; empty ones are left out."""
+def written(parts: Column, language: Column) -> Column:
+    """The sections of a map in the order of the contract under headings of
+    the language; empty ones are left out."""
     order = F.array(*(F.lit(h) for h in HEADINGS["en"]))
     local = F.when(language == "pl", F.array(*(F.lit(h) for h in HEADINGS["pl"]))).otherwise(order)
     shown = F.transform(F.arrays_zip(order.alias("k"), local.alias("h")), lambda x: F.when(T.strip(F.coalesce(parts[x["k"]], F.lit(""))) != "", F.concat(F.lit("## "), x["h"], F.lit("\n\n"), T.strip(parts[x["k"]]))))
-    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.array_join(F.array_compact(shown), "\n\n"))
+    return F.array_join(F.array_compact(shown), "\n\n")
+
+
+def assemble(title: Column, parts: Column, language: Column) -> Column:
+    """A note: its title, then its sections."""
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), written(parts, language))
 
 
 def missing_sections(parts: Column, required: tuple[str, ...] = ("In short", "Explanation")) -> Column:

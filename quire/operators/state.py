@@ -108,3 +108,25 @@ def progress(events: DataFrame, keys: list[str]) -> DataFrame:
     says so."""
     told = events.where("total IS NOT NULL").groupBy(*keys).agg(F.max(F.struct("ts", "id", F.coalesce("done", F.lit(0)).alias("done"), "total")).alias("e"))
     return told.select(*keys, "e.done", "e.total")
+
+
+def reusable(runs: DataFrame, batch: list[str], settings: list[str]) -> DataFrame:
+    """Of each batch the run that can be used again: the last that finished,
+    if its settings are those of the last that began.  ``runs``: batch,
+    settings, id, started, finished, ...; repeated rows count once."""
+    wanted = runs.where("started IS NOT NULL").groupBy(*batch).agg(F.max_by(F.struct(*settings), F.struct("started", "id")).alias("wanted"))
+    done = latest(runs.where("finished IS NOT NULL").distinct().withColumn("ts", F.col("finished")), batch).drop("ts")
+    return done.join(wanted, batch).where(F.struct(*settings).eqNullSafe(F.col("wanted"))).drop("wanted")
+
+
+def merged(runs: DataFrame, key: str) -> DataFrame:
+    """(key, batches, figures, ocr_pages, headings): the results of the runs of
+    a book, one per batch, put together in page order; headings has for each
+    batch the heading it begins under, the last one of the batches before."""
+    over = Window.partitionBy(key).orderBy("first_page").rowsBetween(Window.unboundedPreceding, -1)
+    held = runs.withColumn("under", F.last("last_heading", ignorenulls=True).over(over))
+    per = held.groupBy(key).agg(
+        F.count("*").alias("batches"), F.sum("figure_count").alias("figures"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ocr_pages")))).alias("ocr_pages"),
+        F.sort_array(F.collect_list(F.struct("first_page", F.coalesce("under", F.lit("")).alias("under")))).alias("h"),
+    )
+    return per.select(key, "batches", "figures", "ocr_pages", F.col("h.under").alias("headings"))

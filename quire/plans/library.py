@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import mathfont
 from quire.functions import text as T
-from quire.operators import cleaning, figures, listing, outline, plan, planning, titles
+from quire.operators import cleaning, figures, listing, notes, outline, plan, planning, titles
 from quire.operators.pages import holding, page_text, scanned_pages
 from quire.session import cut, table
 from quire.sources import html
@@ -354,6 +354,42 @@ def q_plan(spark, d):
     return chunks.drop("pages").join(texts, ["book", "ord"], "left")
 
 
+@query(_NUMBERED + "SELECT book, idx, apparatus, heads, coalesce(TRY_CAST(regexp_extract(section, '^([0-9]+)', 1) AS INTEGER), chapter) AS owner FROM t")
+def q_outline_titles(spark, d):
+    title = F.col("title")
+    return entries(spark, d).select("book", "idx", T.is_apparatus(title).alias("apparatus"), T.is_chapter_heading(title).alias("heads"), T.owner_chapter(title, F.lit(None).cast("int")).alias("owner"))
+
+
+_HEADS = rf"""WITH {{base}}, z AS (SELECT {{keys}}, u.pos, u.number, replace(u.title, '&amp;', '&') AS title FROM (SELECT {{keys}}, regexp_extract_all(text, '{T.NUMBERED_LINE}', 1) AS ns, regexp_extract_all(text, '{T.NUMBERED_LINE}', 2) AS ts FROM {{rows}}),
+  LATERAL (SELECT unnest(ns) AS number, unnest(ts) AS title, generate_subscripts(ns, 1) - 1 AS pos) u),
+y AS (SELECT *, regexp_full_match(number, '[0-9]+[.][0-9]') AND regexp_matches(title, '^[0-9][ \t]+[^ \t]') AS apart FROM z),
+x AS (SELECT {{keys}}, CAST(pos AS INTEGER) AS pos, CASE WHEN apart THEN number || title[1] ELSE number END AS number, CASE WHEN apart THEN regexp_replace(title, '^[0-9][ \t]+', '') ELSE title END AS title FROM y),
+h AS (SELECT * FROM x WHERE NOT regexp_matches(title, '(?:\. ?){{{{4,}}}}') AND regexp_matches(title, '^[\p{{{{Lu}}}}\p{{{{Lt}}}}\p{{{{Lo}}}}\p{{{{N}}}}]'))
+"""
+
+
+def _heads_sql(base: str, keys: str, rows: str) -> str:
+    return _HEADS.replace("{base}", base).replace("{keys}", keys).replace("{rows}", rows).replace("{{", "{").replace("}}", "}")
+
+
+@query(_heads_sql(PAGES, "book, page", "pages") + "SELECT * FROM h")
+def q_numbered_heads(spark, d):
+    return notes.numbered_heads(pages(spark, d), ["book", "page"])
+
+
+# the head a chunk shows most, of its own chapter where that is known
+@query(_heads_sql("cc AS (SELECT chunk_id, any_value(chapter) AS chapter, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id)", "chunk_id, chapter", "cc") + """,
+g AS (SELECT chunk_id, number, count(*) AS n, min(pos) AS first_pos, arg_min(title, pos) AS title FROM h WHERE chapter IS NULL OR CAST(split_part(number, '.', 1) AS INTEGER) = chapter GROUP BY chunk_id, number)
+SELECT chunk_id, number, title FROM g QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, first_pos) = 1""")
+def q_chunk_head(spark, d):
+    rows = table(spark, d, "chunks").where("text IS NOT NULL").select("chunk_id", "chapter", "text").dropDuplicates(["chunk_id"])
+    heads = notes.numbered_heads(rows, ["chunk_id", "chapter"])
+    own = heads.where(F.col("chapter").isNull() | (F.substring_index("number", ".", 1).cast("int") == F.col("chapter")))
+    often = own.groupBy("chunk_id", "number").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.min_by("title", "pos").alias("title"))
+    best = often.groupBy("chunk_id").agg(F.max_by(F.struct("number", "title"), F.struct("n", -F.col("first"))).alias("b"))
+    return best.select("chunk_id", "b.number", "b.title")
+
+
 @query("""WITH t AS (SELECT book, chapter, arg_min(coalesce(title, ''), ord) FILTER (WHERE section = CAST(chapter AS VARCHAR)) AS title FROM chunks WHERE chapter IS NOT NULL GROUP BY book, chapter)
 SELECT book, chapter, coalesce(title, '') AS title FROM t""")
 def q_chapter_titles(spark, d):
@@ -394,6 +430,24 @@ def _figures(spark, d):
     return figures.distinct_figures(table(spark, d, "figures"))
 
 
+# figures as glyphs: those whose middle lies in another figure's box of the page
+@query(f"""WITH {_FIGS}, b AS (SELECT figure_id, book, page, least(bbox.l, bbox.r) AS l, greatest(bbox.l, bbox.r) AS r, least(bbox.t, bbox.b) AS bo, greatest(bbox.t, bbox.b) AS t FROM f)
+SELECT g.figure_id AS id, b.figure_id AS box FROM b g JOIN b ON b.book = g.book AND b.page = g.page WHERE (g.l + g.r) / 2 BETWEEN b.l - 2 AND b.r + 2 AND (g.bo + g.t) / 2 BETWEEN b.bo - 2 AND b.t + 2""")
+def q_glyphs_inside(spark, d):
+    low, high = (lambda a, b: F.least(f"bbox.{a}", f"bbox.{b}")), (lambda a, b: F.greatest(f"bbox.{a}", f"bbox.{b}"))
+    rows = _figures(spark, d)
+    glyphs = rows.select(F.col("figure_id").alias("id"), "book", "page", low("l", "r").alias("left"), high("l", "r").alias("right"), low("t", "b").alias("bottom"), high("t", "b").alias("top"))
+    boxes = rows.select(F.col("figure_id").alias("box"), "book", "page", low("l", "r").alias("l"), high("l", "r").alias("r"), low("t", "b").alias("b"), high("t", "b").alias("t"))
+    return listing.inside(glyphs, boxes).select("id", "box")
+
+
+@query(f"""SELECT slug AS book, coalesce(lower(trim(domain)) IN ({", ".join(f"'{x}'" for x in listing.LISTING_DOMAINS)}), false) AS listings,
+ NOT coalesce(lower(trim(domain)) IN ({", ".join(f"'{x}'" for x in listing.LISTING_DOMAINS)}), false) OR coalesce(lower(trim(domain)) IN ({", ".join(f"'{x}'" for x in listing.FORMULA_DOMAINS)}), false) AS formulas FROM books""")
+def q_listing_wanted(spark, d):
+    domain = F.col("domain")
+    return table(spark, d, "books").select(F.col("slug").alias("book"), listing.wanted(domain).alias("listings"), listing.formulas_wanted(domain).alias("formulas"))
+
+
 @query(f"WITH {_FIGS} SELECT figure_id, abs(bbox.r - bbox.l) AS width FROM f WHERE coalesce(caption, '') = '' AND abs(bbox.r - bbox.l) <= 80")
 def q_decoration(spark, d):
     return figures.decorations(_figures(spark, d))

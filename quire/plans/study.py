@@ -402,8 +402,60 @@ def q_stream_state(spark, d):
     return status_counts(spark, d, "events.parquet")
 
 
-@query("""WITH r AS (SELECT DISTINCT * FROM (SELECT book, first_page, last_page, run_id, finished, figure_count FROM extract_results WHERE finished IS NOT NULL))
-SELECT book, first_page, last_page, run_id, figure_count FROM r QUALIFY row_number() OVER (PARTITION BY book, first_page, last_page ORDER BY finished DESC, run_id DESC) = 1""")
+_RUNS = """r AS (SELECT DISTINCT book, first_page, last_page, device, run_id AS id, started, finished, figure_count, ocr_pages, last_heading FROM extract_results),
+w AS (SELECT book, first_page, last_page, arg_max({'d': device}, (started, id)) AS wanted FROM r WHERE started IS NOT NULL GROUP BY ALL),
+d AS (SELECT * FROM r WHERE finished IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book, first_page, last_page ORDER BY finished DESC, id DESC) = 1)"""
+
+
+def _runs(spark, d):
+    return table(spark, d, "extract_results").select("book", "first_page", "last_page", "device", F.col("run_id").alias("id"), "started", "finished", "figure_count", "ocr_pages", "last_heading").distinct()
+
+
+@query(f"WITH {_RUNS} SELECT d.book, d.first_page, d.last_page, d.id AS run_id, d.figure_count FROM d JOIN w USING (book, first_page, last_page) WHERE d.device IS NOT DISTINCT FROM wanted.d")
 def q_reusable_batch(spark, d):
-    runs = table(spark, d, "extract_results").where("finished IS NOT NULL").select("book", "first_page", "last_page", F.col("run_id").alias("id"), F.col("finished").alias("ts"), "figure_count")
-    return state.latest(runs.distinct(), ["book", "first_page", "last_page"]).select("book", "first_page", "last_page", F.col("id").alias("run_id"), "figure_count")
+    return state.reusable(_runs(spark, d), ["book", "first_page", "last_page"], ["device"]).select("book", "first_page", "last_page", F.col("id").alias("run_id"), "figure_count")
+
+
+@query(f"""WITH {_RUNS}, u AS (SELECT *, coalesce(last_value(last_heading IGNORE NULLS) OVER (PARTITION BY book ORDER BY first_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS under FROM d)
+SELECT book, count(*) AS batches, CAST(sum(figure_count) AS BIGINT) AS figures, list_sort(list_distinct(flatten(list(coalesce(ocr_pages, []))))) AS ocr_pages, list(under ORDER BY first_page) AS headings FROM u GROUP BY book""")
+def q_merged_batches(spark, d):
+    runs = state.latest(_runs(spark, d).where("finished IS NOT NULL").withColumn("ts", F.col("finished")), ["book", "first_page", "last_page"])
+    return state.merged(runs.withColumn("ocr_pages", F.coalesce("ocr_pages", F.array().cast("array<int>"))), "book")
+
+
+# documents with a chapter that begins late
+@query(f"""WITH l AS (SELECT doc_id AS id, u.pos, u.line FROM (SELECT doc_id, string_split(regexp_replace(text || chr(10) || '# ' || doc_id % 7 || ' Late' || chr(10) || 'End', '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS pos) u),
+t AS (SELECT *, {_SQ("regexp_extract(line, '^#{1,6}[ " + chr(92) + "t]+([^" + chr(92) + "n]*)$', 1)")} AS title FROM l),
+h AS (SELECT *, regexp_matches(line, '^#{{1,6}}[ \\t]+[^ \\t]') AND regexp_matches(title, '{T.CHAPTER_NUMBER}') AND NOT regexp_matches(title, '{T.CHAPTER_SECTION}') AS head FROM t),
+p AS (SELECT *, CAST(sum(CAST(head AS INTEGER)) OVER (PARTITION BY id ORDER BY pos) AS INTEGER) AS part FROM h),
+b AS (SELECT id, part, coalesce(max(CASE WHEN head THEN title END), '') AS title, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^{B}+|{B}+$', '', 'g') AS body FROM p GROUP BY id, part)
+SELECT id, part, title, md5(body) AS body FROM b WHERE (part > 0 OR body <> '') AND id IN (SELECT id FROM b WHERE part > 0)""")
+def q_split_chapters(spark, d):
+    late = F.concat("text", F.lit("\n# "), (F.col("doc_id") % 7).cast("string"), F.lit(" Late\nEnd"))
+    return notes.chapters(documents(spark, d).withColumn("text", late), "doc_id", "text").withColumn("body", F.md5("body"))
+
+
+# every third chunk's note had a footer already
+@query(f"""WITH {_STEM}, n AS (SELECT id, '← [[' || lag(stem) OVER w || ']]' AS a, '[[' || lead(stem) OVER w || ']] →' AS b FROM s WINDOW w AS (PARTITION BY book ORDER BY ord, id)), f AS (SELECT id, nullif(concat_ws(' · ', a, b), '') AS footer FROM n)
+SELECT id, md5('Note ' || id || CASE WHEN footer IS NULL THEN chr(10) ELSE chr(10) || chr(10) || '---' || chr(10) || footer || chr(10) END) AS digest FROM f""")
+def q_apply_nav(spark, d):
+    held = _notes(spark, d).select("id").join(notes.navigation(_notes(spark, d)), "id")
+    old = F.concat(F.lit("Note "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, F.lit("\n\n---\n← [[an old one]]\n")).otherwise(""))
+    once = notes.apply_navigation(old, F.col("footer"))
+    return held.select("id", F.md5(notes.apply_navigation(once, F.col("footer"))).alias("digest"))
+
+
+# a note of every chunk: its first 80 characters in short, all of it explained
+@query(f"""WITH {_PLACED}, fg AS (SELECT DISTINCT ON (figure_id) * FROM figures),
+fl AS (SELECT c.chunk_id, string_agg('![[attachments/' || f.book || '/' || split_part(path, '/', -1) || ']]' || chr(10) || '*' || coalesce(nullif(caption, ''), id) || ' — description pending.*', chr(10) || chr(10) ORDER BY page, figure_id) AS figures
+  FROM fg f JOIN chunks c ON c.book = f.book AND f.page BETWEEN c.page_start AND c.page_end GROUP BY c.chunk_id),
+v AS (SELECT *, {_STRIP('substring(text, 1, 80)')} AS brief, {_STRIP('text')} AS whole, {_STRIP('figures')} AS shown FROM pl LEFT JOIN fl USING (chunk_id) WHERE text IS NOT NULL)
+SELECT book, chunk_id, folder || '/' || stem || '.md' AS path, md5(concat_ws(chr(10) || chr(10), concat_ws(chr(10), '---', 'source: "' || coalesce(book_title, '') || '"', 'chapter: ' || coalesce(CAST(chapter AS VARCHAR), 'null'), 'section: "' || coalesce(section, '') || '"',
+ format('pages: [{{}}, {{}}]', page_start, page_end), 'model: none', 'generated: 2024-01-02', 'generator: quire', {_TAGS("'chapter-' || coalesce(" + _TWO('chapter') + ", 'na')")}, '---'), {_STRIP("'# ' || concat_ws(' ', section, title)")},
+ CASE WHEN len(parts) > 0 THEN '*' || {_W('sections')} || ': ' || list_aggregate(parts, 'string_agg', ' · ') || '*' END,
+ CASE WHEN brief <> '' THEN '## ' || CASE WHEN language = 'pl' THEN 'W skrócie' ELSE 'In short' END || chr(10) || chr(10) || brief END, CASE WHEN whole <> '' THEN '## ' || CASE WHEN language = 'pl' THEN 'Wyjaśnienie' ELSE 'Explanation' END || chr(10) || chr(10) || whole END,
+ CASE WHEN shown <> '' THEN '## ' || CASE WHEN language = 'pl' THEN 'Rysunki' ELSE 'Figures' END || chr(10) || chr(10) || shown END) || chr(10)) AS digest FROM v""")
+def q_note_files(spark, d):
+    chunks = table(spark, d, "chunks").withColumn("sections", F.when(F.col("text").isNotNull(), F.create_map(F.lit("In short"), F.substring("text", 1, 80), F.lit("Explanation"), F.col("text"))))
+    made = files.note_files(chunks, figures.distinct_figures(table(spark, d, "figures")), table(spark, d, "books"), "none", F.lit("2024-01-02").cast("date"))
+    return made.withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")

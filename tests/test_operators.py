@@ -280,3 +280,19 @@ def test_files(spark):
     assert sinks.header(made[2].text) == {"source": '"A book"', "chapter": "1", "section": '"1.2"', "pages": "[3, 4]", "stage": "export", "generator": "quire", "tags": "[general, b, chapter-01]"}
     maps = {r.book: r for r in files.chapter_maps(chunks, books).collect()}
     assert maps["b"].path == "01-start-one/01 Start one — chapter map.md" and not maps["b"].clash and "- [[01.02 A - B]] — pages 3-4\n" in maps["b"].text
+
+
+def test_chapters_and_heads_of_texts(spark):
+    docs = spark.createDataFrame([(1, "before\n# 1.2 Section\n## Chapter 2 Two\nbody\n\n# 3 Three"), (2, "# No number\nx"), (3, ""), (4, None)], "id int, text string")
+    assert [tuple(r) for r in notes.chapters(docs, "id", "text").orderBy("part").collect()] == [(1, 0, "", "before\n# 1.2 Section"), (1, 1, "Chapter 2 Two", "## Chapter 2 Two\nbody"), (1, 2, "3 Three", "# 3 Three")]
+    heads = spark.createDataFrame([(1, "4.2 Ohm &amp; Co 17\n2.1 1 Split\n6.3 shows it\n7.1 Dots ..... 8\n0.25 (x)")], "id int, text string")
+    assert [(r.number, r.title) for r in notes.numbered_heads(heads, ["id"]).orderBy("pos").collect()] == [("4.2", "Ohm & Co"), ("2.11", "Split")]
+
+
+def test_batches_are_used_again(spark):
+    at = lambda k: datetime(2024, 1, 1, k)
+    rows = [("b", 1, 40, "cpu", 1, at(1), at(2), 3, [1], "A"), ("b", 1, 40, "cpu", 1, at(1), at(2), 3, [1], "A"), ("b", 1, 40, "cpu", 2, at(3), at(4), 4, [2, 1], None), ("b", 41, 80, "cpu", 3, at(1), at(2), 5, None, None), ("b", 41, 80, "gpu", 4, at(3), None, 6, None, None), ("b", 81, 90, "cpu", 5, None, None, 1, None, None)]
+    runs = spark.createDataFrame(rows, "book string, first_page int, last_page int, device string, id int, started timestamp, finished timestamp, figure_count int, ocr_pages array<int>, last_heading string")
+    assert [(r.first_page, r.id) for r in state.reusable(runs, ["book", "first_page", "last_page"], ["device"]).collect()] == [(1, 2)]
+    some = runs.where("id IN (1, 3)").distinct().withColumn("ocr_pages", F.coalesce("ocr_pages", F.array().cast("array<int>")))
+    assert tuple(state.merged(some, "book").first()) == ("b", 2, 8, [1], ["", "A"])
