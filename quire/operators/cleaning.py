@@ -89,6 +89,19 @@ def readable(pages: DataFrame) -> DataFrame:
     return pages.where(~T.is_contents_page(F.col("text")))
 
 
+def range_texts(ranges: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """(key, text, pages): the pages page_start to page_end of each range in
+    order, an empty line between; contents pages and pages without text are
+    left out.  A range reaches no further than its book; one that ends before
+    it begins is empty.  A text moves once, to its ranges."""
+    last = pages.groupBy("book").agg(F.max("page").alias("last"))
+    held = ranges.where("page_start IS NOT NULL AND page_end IS NOT NULL").select(key, "book", "page_start", "page_end").distinct().join(last, "book")
+    held = held.withColumn("a", F.greatest("page_start", F.lit(1))).withColumn("z", F.least("page_end", "last")).where("a <= z")
+    on_page = held.select(key, "book", F.explode(F.sequence("a", "z")).alias("page"))
+    met = on_page.join(readable(pages).where("text <> ''"), ["book", "page"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return met.select(key, F.array_join("p.text", "\n\n").alias("text"), F.size("p").cast("bigint").alias("pages"))
+
+
 def needing_ocr(pages: DataFrame, least: int = 180) -> DataFrame:
     """(book, page, chars) of pages with too little text in their layer."""
     return pages.select("book", "page", F.length(T.strip(F.col("text"))).alias("chars")).where(F.col("chars") < least)

@@ -47,13 +47,14 @@ def q_page_text(spark, d):
     return pages(spark, d).select("book", "page", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
+_CONTENTS = r"""(len(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){4,} *[0-9]{1,4}[ \t]*$')) >= 5
+ OR coalesce(length(list_aggregate(regexp_extract_all(text, '(?m)^[^\n]*?(?:\. ?){4,} *[0-9]{1,4}[ \t]*$'), 'string_agg', '')) >= length(text) * 0.5, false))"""
+
+
 @query(f"""WITH {PAGES} SELECT chunk_id, md5(string_agg(p.text, chr(10) || chr(10) ORDER BY p.page)) AS digest, count(*) AS pages
-FROM chunks c JOIN pages p ON p.book = c.book AND p.page BETWEEN c.page_start AND c.page_end WHERE p.text <> '' GROUP BY chunk_id""")
+FROM chunks c JOIN (SELECT * FROM pages WHERE NOT {_CONTENTS}) p ON p.book = c.book AND p.page BETWEEN c.page_start AND c.page_end WHERE p.text <> '' GROUP BY chunk_id""")
 def q_range_text(spark, d):
-    ranges = table(spark, d, "chunks").select("chunk_id", "book", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    held = ranges.join(pages(spark, d).where("text <> ''"), ["book", "page"]).groupBy("chunk_id")
-    held = held.agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
-    return held.select("chunk_id", F.md5(F.array_join("p.text", "\n\n")).alias("digest"), F.size("p").cast("bigint").alias("pages"))
+    return cleaning.range_texts(table(spark, d, "chunks"), pages(spark, d), "chunk_id").select("chunk_id", F.md5("text").alias("digest"), "pages")
 
 
 @query(rf"""WITH {PAGES} SELECT book, page, length(regexp_replace(text, '^{B}+|{B}+$', '', 'g')) AS chars FROM pages
