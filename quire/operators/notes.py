@@ -107,6 +107,12 @@ def assemble(title: Column, parts: Column, language: Column) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("# "), title), written(parts, language))
 
 
+def contract_name(heading: Column) -> Column:
+    """The name in the contract of a heading read back in any language."""
+    names = F.create_map(*(F.lit(x) for pair in zip(HEADINGS["pl"], HEADINGS["en"]) for x in pair))
+    return F.coalesce(F.try_element_at(names, heading), heading)
+
+
 def missing_sections(parts: Column, required: tuple[str, ...] = ("In short", "Explanation")) -> Column:
     return F.filter(F.array(*(F.lit(r) for r in required)), lambda n: T.strip(F.coalesce(parts[n], F.lit(""))) == "")
 

@@ -6,7 +6,7 @@ empty title are no entries (``entries`` drops them and whole repeated rows)."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -218,3 +218,14 @@ def outermost(outline: DataFrame) -> DataFrame:
 def subtree_ends(outline: DataFrame) -> DataFrame:
     """(book, idx, end_idx): the first later entry of a level no deeper."""
     return _following(outline, "level", -1).withColumnRenamed("at", "end_idx")
+
+
+def labels(outline: DataFrame) -> DataFrame:
+    """(book, idx, label): titles indented by level, with their page."""
+    label = F.concat(F.repeat(F.lit("    "), F.col("level")), "title", F.lit("  (p. "), F.col("page").cast("string"), F.lit(")"))
+    return outline.select("book", "idx", label.alias("label"))
+
+
+def label_title(label: Column) -> Column:
+    """The title in a label."""
+    return T.strip(F.regexp_replace(T.strip(label), r"  \(p\. [^(]*$", ""))

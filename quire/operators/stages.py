@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import state
+from quire.operators import listing, state
 from quire.session import cut
 
 REQUIRED = ("In short", "Explanation")
@@ -135,6 +135,58 @@ def advance(work: DataFrame, events: DataFrame, make_model: Callable[[], NoteMod
     return made, begun.unionByName(made.select("id", F.lit(1).alias("event"), "status", at.alias("ts"), "error"))
 
 
+#: What a note is asked for; listings, formulas and sections are added as a book has them.
+NOTE = """Write a note in {{language}} on {{section}} {{title}}, pages {{pages}} of {{source}} ({{material}}).
+Use the sections {{names}}.{{technical}}{{slides}}{{parts}}
+
+# Source
+
+{{text}}"""
+FIGURE = "Describe in {{language}} the figure under {{heading}}, captioned {{caption}}.\n\n# Source\n\n{{context}}"
+
+
+def note_prompt(chunks: DataFrame) -> DataFrame:
+    """(id, prompt, source) of chunks (id, section, title, page_start,
+    page_end, text, parts, book_title, domain, language, slides): a book with
+    listings is asked to keep them, one with formulas for these, slides to be
+    explained, and a note of several sections to cover each."""
+    c = F.col
+    domain = F.coalesce(c("domain"), F.lit("general"))
+    material = F.when(c("slides"), F.concat(domain, F.lit(" training slides"))).otherwise(F.concat(domain, F.lit(" textbook")))
+    code = F.when(listing.wanted(c("domain")), F.lit(" Copy every listing into a section Code, line by line."))
+    formulas = F.when(listing.formulas_wanted(c("domain")), F.lit(" Put formulas as LaTeX into a section Formulas."))
+    slides = F.when(c("slides"), F.lit(" Explain what the slides only name."))
+    parts = F.when(F.size("parts") > 0, F.concat(F.lit("\nCover each of these sections:\n"), F.array_join(F.transform("parts", lambda p: F.concat(F.lit("- "), p)), "\n")))
+    prompt = render(
+        NOTE, language=F.when(c("language") == "pl", "Polish").otherwise("English"), section=c("section"), title=c("title"), pages=F.concat_ws("-", "page_start", "page_end"),
+        source=c("book_title"), material=material, names=F.lit(", ".join(REQUIRED)), technical=F.concat_ws("", code, formulas), slides=slides, parts=parts, text=c("text"),
+    )
+    return chunks.select("id", prompt.alias("prompt"), c("text").alias("source"))
+
+
+def describe(work: DataFrame, make_model: Callable[[], NoteModel]) -> DataFrame:
+    """(id, status, error, description) for figures (id, heading, caption,
+    context, language).  A failure is a row; the model is made once per task."""
+    kind = work.schema["id"].dataType.simpleString()
+    c = F.col
+    named = lambda x, none: F.coalesce(F.nullif(c(x), F.lit("")), F.lit(none))
+    prompt = render(FIGURE, language=F.when(c("language") == "pl", "Polish").otherwise("English"), heading=named("heading", "no heading"), caption=named("caption", "nothing"), context=c("context"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make_model()
+        for batch in batches:
+            rows: list[tuple] = []
+            for asked in batch.column(1).to_pylist():
+                try:
+                    rows.append(("done", None, " ".join(model.complete(asked).split())))
+                except Exception as e:  # noqa: BLE001
+                    rows.append(("failed", str(e)[:400], None))
+            columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "status", "error", "description"])
+
+    return work.select("id", prompt.alias("prompt")).mapInArrow(run, f"id {kind}, status string, error string, description string")
+
+
 def insert_description(note: Column, file: Column, description: Column) -> Column:
     """Put a description under the embed of one figure, in place of the line
     that is there; doing it again replaces it."""

@@ -130,3 +130,15 @@ def merged(runs: DataFrame, key: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("first_page", F.coalesce("under", F.lit("")).alias("under")))).alias("h"),
     )
     return per.select(key, "batches", "figures", "ocr_pages", F.col("h.under").alias("headings"))
+
+
+def job_table(jobs: DataFrame, n: int = 20) -> DataFrame:
+    """(id, stage, status, done, minutes, model, error) of the newest jobs as
+    they are shown: a running job that is asked to stop is stopping, and only
+    a running one has time left.  ``jobs``: id, stage, model, status, stop,
+    started, now, done, total, error."""
+    running = F.col("status") == RUNNING
+    left = eta_minutes(jobs.where(running & F.col("started").isNotNull()))
+    shown = recent(jobs, n).join(left, "id", "left")
+    status = F.when(running & F.col("stop"), "stopping").otherwise(F.col("status"))
+    return shown.select("id", "stage", status.alias("status"), F.concat_ws("/", "done", "total").alias("done"), "minutes", "model", F.substring(F.coalesce("error", F.lit("")), 1, 120).alias("error"))

@@ -361,6 +361,11 @@ def q_outline_titles(spark, d):
     return entries(spark, d).select("book", "idx", T.is_apparatus(title).alias("apparatus"), T.is_chapter_heading(title).alias("heads"), T.owner_chapter(title, F.lit(None).cast("int")).alias("owner"))
 
 
+@query(f"""WITH {OUTLINE} SELECT book, idx, repeat('    ', level) || title || '  (p. ' || page || ')' AS label, regexp_replace(title, '^{B}+|{B}+$', '', 'g') AS back FROM o""")
+def q_outline_labels(spark, d):
+    return outline.labels(entries(spark, d)).withColumn("back", outline.label_title(F.col("label")))
+
+
 _HEADS = rf"""WITH {{base}}, z AS (SELECT {{keys}}, u.pos, u.number, replace(u.title, '&amp;', '&') AS title FROM (SELECT {{keys}}, regexp_extract_all(text, '{T.NUMBERED_LINE}', 1) AS ns, regexp_extract_all(text, '{T.NUMBERED_LINE}', 2) AS ts FROM {{rows}}),
   LATERAL (SELECT unnest(ns) AS number, unnest(ts) AS title, generate_subscripts(ns, 1) - 1 AS pos) u),
 y AS (SELECT *, regexp_full_match(number, '[0-9]+[.][0-9]') AND regexp_matches(title, '^[0-9][ \t]+[^ \t]') AS apart FROM z),

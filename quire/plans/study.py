@@ -391,6 +391,18 @@ def q_insert_description(spark, d):
     return held.select("figure_id", stages.insert_description(first, file, F.concat(F.lit("costs $"), F.col("figure_id").cast("string"), F.lit("  or \\"))).alias("note"))
 
 
+@query(f"""WITH {_EV}, {_LAST}, n AS (SELECT user_id, min(ts) AS started, max(ts) AS now, count(*) FILTER (WHERE status = 'done') AS done, count(*) AS total FROM ev GROUP BY user_id),
+j AS (SELECT last.*, n.started, n.done, n.total, n.now FROM last JOIN n USING (user_id) ORDER BY id DESC LIMIT 20)
+SELECT id, 'stage' AS stage, CASE WHEN status = 'running' AND stop THEN 'stopping' ELSE status END AS status, done || '/' || total AS done,
+ CASE WHEN status = 'running' AND done > 0 THEN CAST(ceil((CAST(floor(epoch(now)) AS BIGINT) - CAST(floor(epoch(started)) AS BIGINT)) / done * (total - done) / 60) AS BIGINT) END AS minutes, 'model' AS model, CASE WHEN status = 'failed' THEN 'error ' || id ELSE '' END AS error FROM j""")
+def q_job_table(spark, d):
+    events = _events(spark, d)
+    told = events.groupBy("user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("now"), F.count_if(F.col("status") == "done").alias("done"), F.count("*").alias("total"))
+    jobs = state.latest(events, ["user_id"]).join(told, "user_id")
+    error = F.when(F.col("status") == "failed", F.concat(F.lit("error "), F.col("id").cast("string")))
+    return state.job_table(jobs.withColumn("stage", F.lit("stage")).withColumn("model", F.lit("model")).withColumn("error", error))
+
+
 @query(f"WITH {_EV}, {_LAST} SELECT id, user_id FROM last WHERE status <> 'done' AND NOT starts_with(status, 'stop')")
 def q_without_stage(spark, d):
     runs = state.latest(_events(spark, d), ["user_id"]).withColumn("stage", F.when(F.col("status").startswith("stop"), F.concat(F.lit("done:"), "status")).otherwise(F.col("status")))

@@ -296,3 +296,21 @@ def test_batches_are_used_again(spark):
     assert [(r.first_page, r.id) for r in state.reusable(runs, ["book", "first_page", "last_page"], ["device"]).collect()] == [(1, 2)]
     some = runs.where("id IN (1, 3)").distinct().withColumn("ocr_pages", F.coalesce("ocr_pages", F.array().cast("array<int>")))
     assert tuple(state.merged(some, "book").first()) == ("b", 2, 8, [1], ["", "A"])
+
+
+def test_prompts_and_descriptions(spark):
+    schema = "id int, section string, title string, page_start int, page_end int, text string, parts array<string>, book_title string, domain string, language string, slides boolean"
+    rows = [(1, "1.2", "Loops", 3, 4, "for", ["1.2 Loops", "1.3 Ends"], "C", "Programming", "pl", False), (2, "2", None, 1, 1, None, None, None, None, None, True)]
+    asked = {r.id: r.prompt for r in stages.note_prompt(spark.createDataFrame(rows, schema)).collect()}
+    assert "in Polish on 1.2 Loops, pages 3-4 of C (Programming textbook)" in asked[1] and "section Code" in asked[1] and "Formulas" not in asked[1] and "- 1.3 Ends" in asked[1] and asked[1].endswith("# Source\n\nfor")
+    assert "general training slides" in asked[2] and "section Formulas" in asked[2] and "Cover each" not in asked[2]
+
+    class Sees:
+        def complete(self, prompt):
+            if "nothing" in prompt:
+                raise RuntimeError("no picture")
+            return f"A  {prompt.partition('captioned ')[2].partition('.')[0]}\n"
+
+    figures_ = spark.createDataFrame([(1, None, "gate", "near", "en"), (2, "H", "", "near", None)], "id int, heading string, caption string, context string, language string")
+    assert {r.id: (r.status, r.error, r.description) for r in stages.describe(figures_, Sees).collect()} == {1: ("done", None, "A gate"), 2: ("failed", "no picture", None)}
+    assert [one(spark, notes.contract_name(F.lit(x))) for x in ("Kod", "Code", "Other")] == ["Code", "Code", "Other"]

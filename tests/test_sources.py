@@ -73,3 +73,13 @@ def test_log(spark, tmp_path):
     (tmp_path / "log" / "day=2024-01-02").mkdir()
     (tmp_path / "log" / "day=2024-01-02" / "x.json").write_text("not json\n")
     assert [r.line for r in log.tail(log.read(spark, path)).collect()] == ["10:00:00 chunk ready n=3", "not json"]
+
+
+def test_copies(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"picture")
+    root = sinks.claim(str(tmp_path / "out"))
+    files = spark.createDataFrame([(str(tmp_path / "a.png"), "a.png"), (str(tmp_path / "gone.png"), "../gone.png"), (None, "x")], "source string, name string")
+    for _ in range(2):
+        found = {os.path.basename(r.source): r.outcome for r in sinks.copy_files(files, root, "attachments/b").collect()}
+        assert found == {"a.png": "written", "gone.png": "missing"}
+    assert (tmp_path / "out" / "attachments" / "b" / "a.png").read_bytes() == b"picture"
