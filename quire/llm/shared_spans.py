@@ -163,8 +163,8 @@ def _contexts(least: int):
                     if at >= 0:
                         start = max(0, at - around)
                         rows.append((doc, hit["digest"], start, at - start, text[start : at + least], None, None, None))
-                    else:
-                        start, stop = -1 - at, ends[-1 - at]
+                    elif stop := ends.get(-1 - at):
+                        start = -1 - at
                         rows.append((doc, hit["digest"], start, None, None, *_digest(text[start:stop]), stop))
             columns = list(zip(*rows)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _CONTEXT.split(", ")])
@@ -259,7 +259,8 @@ class SharedSpans:
     doc is the first document with the text.
 
     Null ids, null texts and texts under ``least`` code points share nothing.
-    Repeated rows count once.  Texts are compared character by character, case
+    Repeated rows count once; an id has one text, and where its rows differ
+    only what one of them holds is sure to be found.  Texts are compared character by character, case
     and white space included; repetition inside one text is no case.  Extra
     columns don't matter; an empty table gives empty results."""
 

@@ -56,6 +56,12 @@ def test_against_brute_force(spark, monkeypatch, compared, together):
     assert kept[20] == "" and kept[5] == docs[5] and kept[26] is None and kept[1] == docs[1] and len(kept[2]) < 45
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = "first text of the two " * 20, "quite another one than that " * 20
+    df = spark.createDataFrame([(1, a + "\n\n" + b), (1, b[:300] + "x"), (2, a), (3, b)], "doc_id bigint, text string")
+    assert {(r.doc_a, r.doc_b) for r in SharedSpans(df).pairs().collect()} <= {(1, 2), (1, 3)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert SharedSpans(df).pairs().count() == 0 and shared_characters(df).count() == 0
