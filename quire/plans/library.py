@@ -300,7 +300,18 @@ def q_slice_sections(spark, d):
     return planning.slice_pages(_opening(spark, d), 6000, 3000)
 
 
-@query()
+# every ceiling that is tried, from an even share on, and the greedy one; of those with as few slices as greedy the lowest holds
+@query(f"""WITH RECURSIVE {PAGES}, s AS (SELECT book, page, CASE WHEN text <> '' THEN length(text) + 2 ELSE 0 END AS size, {_OPENS} AS opens, row_number() OVER (PARTITION BY book ORDER BY page) AS n FROM pages),
+a AS (SELECT book, n, size AS held, 0 AS slice FROM s WHERE n = 1 UNION ALL
+ SELECT s.book, s.n, CASE WHEN x.new THEN s.size ELSE a.held + s.size END, a.slice + CAST(x.new AS INTEGER) FROM a JOIN s ON s.book = a.book AND s.n = a.n + 1, LATERAL (SELECT a.held > 0 AND (a.held + s.size > 24000 OR (a.held >= 12000 AND s.opens)) AS new) x),
+m AS (SELECT book, max(slice) + 1 AS slices, greatest(any_value(t.total) - 2, 0) // 4 // (max(slice) + 1) AS share FROM a JOIN (SELECT book, sum(size) AS total FROM s GROUP BY book) t USING (book) GROUP BY book),
+c AS (SELECT book, CAST(share AS BIGINT) AS ceiling FROM m WHERE slices > 1 AND share < 6000 UNION ALL SELECT book, CAST(ceiling + greatest(1, ceiling // 20) AS BIGINT) FROM c WHERE ceiling + greatest(1, ceiling // 20) < 6000),
+e AS (SELECT * FROM c UNION ALL SELECT book, CAST(6000 AS BIGINT) FROM m),
+g AS (SELECT s.book, e.ceiling, s.n, s.size AS held, s.page, s.size, 0 AS slice FROM s JOIN e USING (book) WHERE n = 1 UNION ALL
+ SELECT s.book, g.ceiling, s.n, CASE WHEN x.new THEN s.size ELSE g.held + s.size END, s.page, s.size, g.slice + CAST(x.new AS INTEGER)
+ FROM g JOIN s ON s.book = g.book AND s.n = g.n + 1, LATERAL (SELECT g.held > 0 AND (g.held + s.size > 4 * g.ceiling OR (g.held >= 4 * least(3000, g.ceiling) AND s.opens)) AS new) x),
+b AS (SELECT book, min(ceiling) AS ceiling FROM (SELECT g.book, g.ceiling, max(slice) + 1 AS made FROM g GROUP BY g.book, g.ceiling) JOIN m USING (book) WHERE made = slices GROUP BY book)
+SELECT book, slice, min(page) AS first_page, max(page) AS last_page, CAST(sum(size) AS BIGINT) AS chars FROM g JOIN b USING (book, ceiling) GROUP BY book, slice""")
 def q_balanced(spark, d):
     return planning.balanced_slices(_opening(spark, d))
 
@@ -494,7 +505,13 @@ def q_same_picture(spark, d):
     return figures.same_pictures(_sightings(spark, d), bits=20)
 
 
-@query()
+# in page order every picture goes to the first it looks like, or is a first itself
+@query("""WITH RECURSIVE h AS (SELECT CAST(label AS VARCHAR) AS book, vec_id AS id, CAST(vec_id % 60 AS INTEGER) AS page, list_transform(embedding, lambda x: x > 0) AS s, row_number() OVER (PARTITION BY label ORDER BY vec_id % 60, vec_id) AS n FROM embeddings),
+g AS (SELECT book, id, page, n, [s] AS firsts, 0 AS kind FROM h WHERE n = 1 UNION ALL
+ SELECT h.book, h.id, h.page, h.n, CASE WHEN x.at IS NULL THEN list_append(g.firsts, h.s) ELSE g.firsts END, CAST(coalesce(x.at - 1, len(g.firsts)) AS INTEGER)
+ FROM g JOIN h ON h.book = g.book AND h.n = g.n + 1, LATERAL (SELECT nullif(list_position(list_transform(g.firsts, lambda f: list_sum(list_transform(list_zip(f, h.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) <= 20), true), 0) AS at) x),
+k AS (SELECT book, kind FROM g GROUP BY book, kind HAVING count(DISTINCT page) >= 3 AND max(page) - min(page) >= 20)
+SELECT book, id FROM g JOIN k USING (book, kind)""")
 def q_repeated_figures(spark, d):
     rows = _sightings(spark, d).withColumn("page", (F.col("id") % 60).cast("int")).withColumn("width", F.lit(10.0)).withColumn("height", F.lit(10.0))
     return figures.repeated(rows, bits=20)
