@@ -12,6 +12,8 @@ def test_runs(spark, name):
     rows = [tuple(r) for r in df.collect()]
     if name in queries.ORACLE:
         con = duckdb.connect()
-        for name_ in ("chunks", "spans", "budgets", "page_texts"):
+        for name_ in ("chunks", "spans", "budgets", "page_texts", "bookmarks", "figures", "documents"):
             con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{FOLDER}/{name_}.parquet'")
-        assert sorted(rows) == sorted(con.execute(queries.ORACLE[name]).fetchall())
+        found = con.execute(queries.ORACLE[name])
+        assert df.columns == [c[0] for c in found.description]
+        assert sorted(rows, key=repr) == sorted(found.fetchall(), key=repr)
