@@ -82,12 +82,12 @@ def _in_order(cells: Column, other: Column) -> Column:
     return (F.size(cells) < F.size(other)) & (F.aggregate(cells, F.lit(0), step) >= 0)
 
 
-def lost_lines(note: Column, source: Column, least: int = 8) -> Column:
-    """Listing lines of the source that the note has nowhere in its code: not
-    as a line, nor, from ``least`` characters on, inside one.  Equal lines are
-    taken out as sets; only what is left is searched for inside the rest."""
-    have = F.array_distinct(F.concat(F.transform(code_lines(note), lambda x: T.squeezed_command(x)), inline_code(note), table_rows(note)))
-    wanted = F.filter(F.transform(code_lines(source), lambda x: T.squeezed_command(x)), lambda x: x != "")
+def _commands(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda x: T.squeezed_command(x)), lambda x: x != "")
+
+
+def _missing_lines(code: Column, inline: Column, rows: Column, wanted: Column, least: int) -> Column:
+    have = F.array_distinct(F.concat(_commands(code), inline, rows))
 
     def missing(both: Column) -> Column:
         rest = F.array_except(both["wanted"], both["have"])
@@ -95,15 +95,12 @@ def lost_lines(note: Column, source: Column, least: int = 8) -> Column:
         gone = T.let(F.array_join(both["have"], "\n"), lambda whole: F.filter(rest, lambda x: (F.length(x) < least) | ~F.contains(whole, x)))
         return T.let(gone, lambda g: F.filter(both["wanted"], lambda x: F.array_contains(g, x)))
 
-    return T.let(F.struct(wanted.alias("wanted"), have.alias("have")), missing)
+    none = F.array().cast("array<string>")
+    return F.when(F.size(wanted) == 0, none).otherwise(T.let(F.struct(wanted.alias("wanted"), have.alias("have")), missing))
 
 
-def lost_rows(note: Column, source: Column, least_words: int = 2) -> Column:
-    """Table rows of the source that the note doesn't have: whole; for rows
-    with an empty cell or of one cell, in order inside a longer row; or, for
-    rows that name ``least_words`` words, with all words in its code."""
+def _missing_rows(have: Column, code: Column, wanted: Column, least_words: int) -> Column:
     words = lambda c: F.transform(T.words(c), lambda w: F.lower(w))
-    in_code = words(F.array_join(code_lines(note), "\n"))
 
     def found(row: Column, have: Column, code: Column) -> Column:
         cells = F.split(row, r" \| ", -1)
@@ -113,10 +110,25 @@ def lost_rows(note: Column, source: Column, least_words: int = 2) -> Column:
         named = F.size(F.filter(row_words, lambda w: ~w.rlike(r"^[\p{N}]+$")))
         coded = (named >= least_words) & (F.size(F.array_except(row_words, code)) == 0)
         inside = lambda h: partial & _in_order(full, F.filter(F.split(h, r" \| ", -1), lambda x: x != ""))
-        return F.array_contains(have, row) | coded | F.exists(have, inside)
+        return coded | F.exists(have, inside)
 
-    both = F.struct(table_rows(note).alias("have"), F.array_distinct(in_code).alias("code"))
-    return T.let(both, lambda b: F.filter(table_rows(source), lambda r: ~found(r, b["have"], b["code"])))
+    both = F.struct(have.alias("have"), F.array_distinct(words(F.array_join(code, "\n"))).alias("code"))
+    left = lambda b: F.filter(wanted, lambda r: ~(F.array_contains(b["have"], r) | found(r, b["have"], b["code"])))
+    return F.when(F.size(F.array_except(wanted, have)) == 0, F.array().cast("array<string>")).otherwise(T.let(both, left))
+
+
+def lost_lines(note: Column, source: Column, least: int = 8) -> Column:
+    """Listing lines of the source that the note has nowhere in its code: not
+    as a line, nor, from ``least`` characters on, inside one.  Equal lines are
+    taken out as sets; only what is left is searched for inside the rest."""
+    return _missing_lines(code_lines(note), inline_code(note), table_rows(note), _commands(code_lines(source)), least)
+
+
+def lost_rows(note: Column, source: Column, least_words: int = 2) -> Column:
+    """Table rows of the source that the note doesn't have: whole; for rows
+    with an empty cell or of one cell, in order inside a longer row; or, for
+    rows that name ``least_words`` words, with all words in its code."""
+    return _missing_rows(table_rows(note), code_lines(note), table_rows(source), least_words)
 
 
 def report(pairs: DataFrame) -> DataFrame:
@@ -124,17 +136,22 @@ def report(pairs: DataFrame) -> DataFrame:
     Counts are of bags: repeated lines count each time.  With a column
     ``listings`` only pairs where it holds are checked for listing lines."""
     listings = F.coalesce("listings", F.lit(True)) if "listings" in pairs.columns else F.lit(True)
-    note, source = F.coalesce("note", F.lit("")), F.coalesce("source", F.lit(""))
-    exact = T.let(code_lines(note), lambda have: F.filter(code_lines(source), lambda x: F.array_contains(have, x)))
-    mails = F.array_except(F.regexp_extract_all(note, F.lit(T.MAIL), 0), F.regexp_extract_all(source, F.lit(T.MAIL), 0))
-    digest = lambda c: F.filter(F.regexp_extract_all(c, F.lit(DIGEST), 0), lambda x: x.rlike("[a-f]") & x.rlike("[0-9]"))
-    counted = pairs.select(
-        "id", "chapter", F.col("note").isNotNull().alias("written"),
-        F.when(listings, F.size(F.filter(F.transform(code_lines(source), lambda x: T.squeezed_command(x)), lambda x: x != ""))).otherwise(0).alias("lines"),
-        F.when(listings, F.size(lost_lines(note, source))).otherwise(0).alias("lines_lost"), F.when(listings, F.size(exact)).otherwise(0).alias("lines_exact"),
-        F.size(table_rows(source)).alias("rows"), F.size(lost_rows(note, source)).alias("rows_lost"),
-        F.array_min(mails).alias("stray_mail"), (F.size(F.array_except(digest(note), digest(source))) > 0).alias("stray_digest"),
-        F.size(T.words(note)).alias("note_words"), F.size(T.words(source)).alias("source_words"),
+    note, source, c = F.coalesce("note", F.lit("")), F.coalesce("source", F.lit("")), F.col
+    # parsed once per pair; what is compared with what comes after
+    read = pairs.select(
+        "id", "chapter", c("note").isNotNull().alias("written"), listings.alias("listings"), note.alias("note"), source.alias("source"), code_lines(note).alias("code"), code_lines(source).alias("wanted"),
+        inline_code(note).alias("inline"), table_rows(note).alias("have"), table_rows(source).alias("cells"),
+    )
+    commands = read.withColumn("commands", _commands(c("wanted")))
+    exact = F.filter("wanted", lambda x: F.array_contains("code", x))
+    mails = F.array_except(F.regexp_extract_all("note", F.lit(T.MAIL), 0), F.regexp_extract_all("source", F.lit(T.MAIL), 0))
+    digest = lambda x: F.filter(F.regexp_extract_all(x, F.lit(DIGEST), 0), lambda d: d.rlike("[a-f]") & d.rlike("[0-9]"))
+    counted = commands.select(
+        "id", "chapter", "written", F.when(c("listings"), F.size("commands")).otherwise(0).alias("lines"),
+        F.when(c("listings"), F.size(_missing_lines(c("code"), c("inline"), c("have"), c("commands"), 8))).otherwise(0).alias("lines_lost"), F.when(c("listings"), F.size(exact)).otherwise(0).alias("lines_exact"),
+        F.size("cells").alias("rows"), F.size(_missing_rows(c("have"), c("code"), c("cells"), 2)).alias("rows_lost"),
+        F.array_min(mails).alias("stray_mail"), (F.size(F.array_except(digest("note"), digest("source"))) > 0).alias("stray_digest"),
+        F.size(T.words(c("note"))).alias("note_words"), F.size(T.words(c("source"))).alias("source_words"),
     )
     lost = lambda part, whole, share: (F.col(whole) > 0) & (F.col(part) > (1 - share) * F.col(whole) + 1e-9)
     flags = {
